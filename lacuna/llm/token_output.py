@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -20,74 +21,88 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacuna.llm.bpe import byte_alphabet
 from lacuna.llm.common import arrow_map, new_path, per_worker, slices
 
-#: Words kept in a worker's memo, at most; beyond that the memo starts anew.
-MEMO_WORDS = 600_000
+#: Pieces kept in a worker's memo, at most; beyond that the memo starts anew.
+MEMO_PIECES = 400_000
 #: Bytes of a row group and of a page, rows of a page at most.
 ROW_GROUP_BYTES, PAGE_BYTES, PAGE_ROWS = 64 << 20, 256 << 10, 2_000
-_MARK = "\x01"
-_AFTER_WORD = ".,;:!?%*$&#)]}"
+#: Marks that are encoded apart from the word before them, and the first code point beyond the letters whose lower case and bytes are settled.
+_AFTER_WORD, _SETTLED = ".,;:!?%*$&#)]}", "\u0250"
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Encodes whole texts with a tokenizers file whose pre-tokenizer drops white space.
 
-    No token crosses a space, tab or newline, so the pieces between them are encoded one by one and remembered. Unknown
-    pieces go to the library many at a time, with a mark between them that stands alone as a token.
+    No token crosses a space, tab or newline, so the pieces between them are encoded one by one and remembered: as a key
+    of this dict with a number, by which offsets and lengths of its ids in one flat array are found. A piece that is a
+    word of settled letters and then marks is encoded as these two; the word goes to the library's model directly.
     """
 
     def __init__(self, path: str):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.mark = self._ids(_MARK)
-        probe = self._ids(f"a {_MARK} b")
-        self.batched = len(self.mark) == 1 and probe == [*self._ids("a"), *self.mark, *self._ids("b")]
-        self.memo: dict[str, list[int]] = {}
+        self.tokenize = self.library.model.tokenize
+        self.stand_in = {b: c for c, b in byte_alphabet().items()}
+        probes = ["the", "Straße", "niño", "xqzvw"]
+        self.direct = all([*self._word(w.lower())] == self._ids(w) for w in probes)
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.flat, self.offsets, self.lengths = array("i"), array("q"), array("q")
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, pieces: list[str]) -> None:
-        plain = [p for p in pieces if _MARK not in p] if self.batched else []
-        for piece in pieces if not self.batched else (p for p in pieces if _MARK in p):
-            self.memo[piece] = self._ids(piece)
-        for at in range(0, len(plain), 500):
-            some = plain[at : at + 500]
-            ids, begin, mark = self._ids(f" {_MARK} ".join(some)), 0, self.mark[0]
-            if ids.count(mark) != len(some) - 1:
-                for piece in some:
-                    self.memo[piece] = self._ids(piece)
-                continue
-            for piece in some[:-1]:
-                end = ids.index(mark, begin)
-                self.memo[piece] = ids[begin:end]
-                begin = end + 1
-            self.memo[some[-1]] = ids[begin:]
-
-    def _split(self, piece: str) -> tuple[str, str]:
-        """(word, marks after it) that are encoded apart to the same ids: letters, lower-cased if ASCII, then punctuation other than quotes."""
-        word = piece.rstrip(_AFTER_WORD)
-        return (word.lower() if word.isascii() else word, piece[len(word) :]) if word.isalpha() and word.lower().isalpha() else (piece, "")
+    def _word(self, word: str) -> list[int]:
+        return [t.id for t in self.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(self.stand_in))]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def __missing__(self, piece: str) -> int:
+        word = piece.rstrip(_AFTER_WORD)
+        low = word.lower()
+        if not (self.direct and (word.isascii() or max(word) < _SETTLED and max(low) < _SETTLED) and word.isalpha() and low.isalpha()):
+            return self._keep(piece, self._ids(piece))
+        if low == piece:
+            return self._keep(piece, self._word(piece))
+        if len(word) == len(piece):  # only its case differs
+            at = self[piece] = self[low]
+            return at
+        return self._keep(piece, self._known(low) + self._known(piece[len(word) :]))
+
+    def _known(self, piece: str) -> array:
+        begin = self.offsets[at := self[piece]]
+        return self.flat[begin : begin + self.lengths[at]]
+
+    def _keep(self, piece: str, ids) -> int:
+        at = self[piece] = len(self.offsets)
+        self.offsets.append(len(self.flat))
+        self.lengths.append(len(ids))
+        self.flat.extend(ids)
+        return at
+
+    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, one text after the other, and how many each text has), each text closed by end_id if there is one."""
+        if len(self) > MEMO_PIECES:
+            self._reset()
         rows = [t.replace("\t", " ").replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        memo = self.memo
-        if unknown := list({p for row in rows for p in row if p not in memo}):
-            parts = [self._split(p) for p in unknown]
-            if new := list({x for pair in parts for x in pair if x and x not in memo}):
-                self._learn(new)
-            memo[""] = []
-            for piece, (word, marks) in zip(unknown, parts, strict=True):
-                memo[piece] = memo[word] + memo[marks] if marks or word != piece else memo[word]
-        get = memo.__getitem__
-        return [list(chain.from_iterable(map(get, row))) for row in rows]
+        pieces = np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), np.int64)
+        sizes = np.frombuffer(self.lengths, np.int64)[pieces]
+        ends = np.cumsum(sizes)
+        places = np.repeat(np.frombuffer(self.offsets, np.int64)[pieces] - (ends - sizes), sizes)
+        flat = np.frombuffer(self.flat, np.int32)[places + np.arange(len(places))] if len(places) else np.zeros(0, np.int32)
+        of_text = np.cumsum([0, *map(len, rows)])
+        counts = np.diff(np.concatenate([[0], ends])[of_text])
+        if end_id is not None:
+            flat = np.insert(flat, np.cumsum(counts), end_id)
+            counts = counts + 1
+        return flat.astype(np.int32), counts
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -102,12 +117,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_c
         encoder, total, part = None, 0, TaskContext.get().partitionId()
         for batch in slices(batches):
             encoder = encoder or per_worker(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
-            rows = [ids + [end_id] for ids in encoder.encode(batch.column("text").to_pylist())]
-            counts = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat, counts = encoder.encode(batch.column("text").to_pylist(), end_id)
             ends = np.cumsum(counts)
-            flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(rows), part, np.int32)), pa.array(total + ends - counts), pa.array(counts), lists], ["doc_id", "part", "part_start", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.full(len(counts), part, np.int32)), pa.array(total + ends - counts), pa.array(counts), lists], ["doc_id", "part", "part_start", "n_tokens", "tokens"])
             total += int(ends[-1])
 
     return ordered.mapInArrow(run, f"doc_id {id_type}, part int, part_start long, n_tokens long, tokens array<int>")
