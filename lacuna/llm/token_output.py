@@ -56,7 +56,7 @@ class WordEncoder(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self.flat, self.offsets, self.lengths = array("i"), array("q"), array("q")
+        self.flat, self.offsets, self.lengths = array("i"), array("i"), array("i")
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -92,17 +92,19 @@ class WordEncoder(dict):
         if len(self) > MEMO_PIECES:
             self._reset()
         rows = [t.replace("\t", " ").replace("\n", " ").split(" ") for t in texts]
-        pieces = np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), np.int64)
-        sizes = np.frombuffer(self.lengths, np.int64)[pieces]
-        ends = np.cumsum(sizes)
-        places = np.repeat(np.frombuffer(self.offsets, np.int64)[pieces] - (ends - sizes), sizes)
-        flat = np.frombuffer(self.flat, np.int32)[places + np.arange(len(places))] if len(places) else np.zeros(0, np.int32)
-        of_text = np.cumsum([0, *map(len, rows)])
-        counts = np.diff(np.concatenate([[0], ends])[of_text])
         if end_id is not None:
-            flat = np.insert(flat, np.cumsum(counts), end_id)
-            counts = counts + 1
-        return flat.astype(np.int32), counts
+            if "\n" not in self:  # no piece holds a line end, so it can stand for the end of a text
+                self._keep("\n", [end_id])
+            for row in rows:
+                row.append("\n")
+        pieces = np.fromiter(map(self.__getitem__, chain.from_iterable(rows)), np.int32)
+        sizes = np.frombuffer(self.lengths, np.int32)[pieces]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        places = np.repeat(np.frombuffer(self.offsets, np.int32)[pieces] - (ends - sizes), sizes)
+        places += np.arange(len(places), dtype=np.int32)
+        flat = np.frombuffer(self.flat, np.int32)[places] if len(places) else np.zeros(0, np.int32)
+        of_text = np.cumsum([0, *map(len, rows)])
+        return flat, np.diff(np.concatenate([[0], ends])[of_text]).astype(np.int64)
 
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
