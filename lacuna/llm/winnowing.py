@@ -5,8 +5,8 @@ among equals, and a hash chosen by several windows is kept once, with its positi
 w + k - 1 code points thus shares a fingerprint, and none shorter than k does.
 
 A hash and its position share one long, hash above and position (counted down) below, so that the least long of a window
-is the least hash and, among equals, the rightmost. Window minima come by doubling: minima over 2, 4, 8 .. hashes each
-take one pass, so w is a power of two.
+is the least hash and, among equals, the rightmost. Window minima come by growing reach: minima over 4, then 16 ..
+hashes each take one pass, so w is a power of two.
 
 Cases: null texts count as empty; an empty text has no prints and is alike (1.0) to an empty one only; a text shorter
 than k is its own one gram, and fewer than w grams make one window; equal texts have equal prints; texts over 2**27 - 1
@@ -16,9 +16,12 @@ gives an empty result; other columns are not carried.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 
 GRAM, WINDOW = 8, 16
@@ -34,14 +37,25 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
         raise ValueError("window must be a power of two")
     grams = F.when(F.length(text) > gram, F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
     least = F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 64 - 36), _POSITION_BITS) + (F.lit(_LAST) - i))
-    reach = 1
-    while reach < window:
-        least = F.zip_with(least, F.slice(least, F.lit(reach + 1), F.lit(_LAST)), lambda a, b: F.least(a, b))
-        reach *= 2
+    reach, shift = window, 1
+    while reach > 1:
+        ways = 4 if reach % 4 == 0 else 2
+        least = bind(least, _spread(shift, ways))
+        reach, shift = reach // ways, shift * ways
     full = F.greatest(F.length(text) - (gram + window - 2), F.lit(1))
     return F.array_distinct(F.slice(least, F.lit(1), full))
 
 
+def _spread(shift: int, ways: int) -> Callable[[Column], Column]:
+    """Each element with those shift, 2 shift .. places on: the least of them; none beyond the end."""
+    return lambda v: F.transform(v, lambda x, i: F.least(x, *(F.get(v, i + F.lit(k * shift)) for k in range(1, ways))))
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), lambda v: use(v)), 1)
+
+
 def hashes(prints: Column) -> Column:
     return F.array_distinct(F.transform(prints, lambda p: F.shiftright(p, _POSITION_BITS)))
 
@@ -62,8 +76,8 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.select("doc_id", F.transform("prints", lambda p: F.shiftright(p, _POSITION_BITS)).alias("hashes"), positions(F.col("prints")).alias("positions"))
 
 
-def with_next(docs: DataFrame, order_col: str, text_col: str) -> DataFrame:
-    """order_col, text, next_text: the text of the next row in descending order, the first row's after the last.
+def in_ranges(docs: DataFrame, order_col: str, text_col: str) -> tuple[DataFrame, WindowSpec]:
+    """(o, text, r, h, copy; a window) for the next row in descending order, the first row's after the last.
 
     Rows are cut into ranges of the order, each sorted on its own; the first row of a range is copied to the end of the
     range before it, so no window spans the table. Range bounds are quantiles, so a range's size follows the data.
@@ -83,18 +97,23 @@ def with_next(docs: DataFrame, order_col: str, text_col: str) -> DataFrame:
     copies = placed.join(F.broadcast(heads), F.col("o").eqNullSafe(F.col("ho")) & (F.col("h") == F.col("hh")) & (F.col("r") == F.col("hr"))).select("o", "text", F.col("goes").alias("r"), "h", F.lit(True).alias("copy"))
     rows = placed.select("o", "text", "r", "h", F.lit(False).alias("copy")).union(copies)
     ahead = Window.partitionBy("r").orderBy("copy", F.col("o").desc(), F.col("h").desc())
-    return rows.withColumn("next_text", F.lead("text").over(ahead)).where(~F.col("copy")).select(F.col("o").alias(order_col), "text", "next_text")
+    return rows, ahead
 
 
 def edited_likeness_query(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_prints."""
-    pairs = with_next(docs, "doc_id", "text").withColumn("n_chars", F.length("text").cast("long"))
+    rows, ahead = in_ranges(docs, "doc_id", "text")
+    place = ["o", "r", "h", "copy"]
+    pairs = rows.withColumn("next_text", F.coalesce(F.lead("text").over(ahead), F.lit(""))).withColumn("n_chars", F.length("text").cast("long"))
     swap = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - swap).cast("int")), F.substring("next_text", F.lit(1), swap))
-    three = pairs.select("doc_id", "n_chars", F.sha2(edited.cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text"), gram, window).alias("own"), winnow(edited, gram, window).alias("changed"), hashes(winnow(F.col("next_text"), gram, window)).alias("after"))
+    texts = pairs.select(*place, "n_chars", "text", edited.alias("edited"))
+    prints = texts.select(*place, "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), winnow(F.col("text"), gram, window).alias("own"), winnow(F.col("edited"), gram, window).alias("changed"))
+    # Rows still lie and are sorted as the first window had them, so the second needs no exchange and no sort.
+    three = prints.withColumns({f"{c}_hashes": hashes(F.col(c)) for c in ("own", "changed")})
+    three = three.withColumn("after_hashes", F.lead("own_hashes").over(ahead)).where(~F.col("copy")).withColumnRenamed("o", "doc_id")
     digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda p: F.hex(p)), ",").cast("binary"), 256)
-    own = hashes(F.col("own"))
     return three.select(
         "doc_id", "n_chars", "edited_sha256", digest("own").alias("fingerprint"), digest("changed").alias("edited_fingerprint"),
-        likeness(own, hashes(F.col("changed"))).alias("near_edited"), likeness(own, F.col("after")).alias("near_next"), F.size("own").cast("long").alias("n_prints"),
+        likeness(F.col("own_hashes"), F.col("changed_hashes")).alias("near_edited"), likeness(F.col("own_hashes"), F.col("after_hashes")).alias("near_next"), F.size("own").cast("long").alias("n_prints"),
     )
