@@ -1,0 +1 @@
+"""No streaming operator exists yet: every operator here is a batch one, usable in foreachBatch."""
