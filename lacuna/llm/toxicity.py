@@ -31,6 +31,8 @@ from lacuna.llm.common import arrow_map, bucket_of, per_worker, ship
 TRAIN_ROWS = 6_000
 BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, RATE = 1 << 18, 8, 6, (1, 2, 3), 4, 0.02
 PREFIXES = (4, 5, 6)
+#: Positives that a threshold is chosen on, at least: of all languages, of one language.
+LEAST_CALIBRATING, LEAST_OF_LANGUAGE = 10, 20
 #: Words whose vectors a worker keeps, at most.
 MEMO_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -132,7 +134,8 @@ class ToxicityModel:
                 ids, y, _ = train[i]
                 self._train_one(ids, y, weights[y], RATE / (1 + epoch))
         self.trained = True
-        self._calibrate(held)
+        # Too few positives set no cut; then all rows set it.
+        self._calibrate(held if sum(y for _, y, _ in held) >= LEAST_CALIBRATING else train + held)
         return self
 
     def _log_odds(self, train: list, share: float, prior: float = 10.0) -> None:
@@ -150,7 +153,7 @@ class ToxicityModel:
         self.common = _threshold(z, y)
         for name in {d[2] for d in held}:
             own = np.array([d[2] == name for d in held])
-            if y[own].sum() >= 20 and (1 - y[own]).sum() >= 20:
+            if y[own].sum() >= LEAST_OF_LANGUAGE and (1 - y[own]).sum() >= LEAST_OF_LANGUAGE:
                 self.thresholds[name] = _threshold(z[own], y[own])
         self.scale = 2.0 / max(1e-3, float(np.std(z)))
 
