@@ -17,7 +17,7 @@ def _stem():
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (file name without its ending), raw_text of every .txt file."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(path).select(_stem().alias("doc_id"), F.col("value").alias("raw_text"))
+    return spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True).select(_stem().alias("doc_id"), F.col("value").alias("raw_text"))
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:

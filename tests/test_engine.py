@@ -86,3 +86,22 @@ def test_anchors_and_cache(spark):
     assert key == hashlib.sha256(b"5\x1fp").hexdigest()
     empty = spark.createDataFrame([], "key string, response string")
     assert cache.stats(cache.lookup(empty.select("key"), empty)).first().hit_rate == "n/a"
+
+
+def test_sources(spark, tmp_path):
+    import json
+
+    from lacuna.sources import files
+
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "p1.txt").write_text("line\nné")
+    (tmp_path / "g" / "deep").mkdir(parents=True)
+    (tmp_path / "g" / "deep" / "l1.json").write_text(json.dumps({"doc_id": "p1", "labels": [{"field_id": "f", "code": "GAP_ABSENT", "anchor_text": "x"}]}, indent=2))
+    (tmp_path / "g" / "other.json").write_text(json.dumps({"note": 1}))
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "p1.json").write_text(json.dumps({"doc_id": "p1", "findings": []}, indent=2))
+    assert [tuple(r) for r in files.read_texts(spark, str(tmp_path / "t")).collect()] == [("p1", "line\nné")]
+    assert [(r.doc_id, r.stem, r.labels[0].code) for r in files.read_labels(spark, str(tmp_path / "g")).collect()] == [("p1", "l1", "GAP_ABSENT")]
+    reports = files.read_reports(spark, str(tmp_path / "r"))
+    files.write_reports(reports.drop("stem"), str(tmp_path / "out"))
+    assert [(r.doc_id, r.stem) for r in reports.collect()] == [("p1", "p1")] and spark.read.json(str(tmp_path / "out")).count() == 1
