@@ -34,15 +34,22 @@ TREE_SAMPLE, LEAF_AIM, MAX_DEPTH = 20_000, 4_000, 11
 _CHUNK = 50_000
 
 
-def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> tuple[list[int], int]:
-    """(one unsigned 64-bit integer a lane, number of shingles)."""
+def shingle_bounds(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]:
+    """The text's words joined by spaces, and where each shingle starts and stops in it; a short text is one shingle."""
     parts = (text or "").encode().lower().split()  # ASCII only, as bytes
     if not parts:
-        return [0] * lanes, 0
+        return b"", [], []
     width = min(words, len(parts))
-    joined, ends = b" ".join(parts), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)
     starts = np.concatenate([[0], ends[:-1]])[: len(parts) - width + 1].tolist()
-    stops = (ends[width - 1 :] - 1).tolist()
+    return b" ".join(parts), starts, (ends[width - 1 :] - 1).tolist()
+
+
+def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> tuple[list[int], int]:
+    """(one unsigned 64-bit integer a lane, number of shingles)."""
+    joined, starts, stops = shingle_bounds(text, words)
+    if not starts:
+        return [0] * lanes, 0
     out = []
     for lane in range(lanes):
         digest, seed, counts = xxhash.xxh64_intdigest, SEED + lane, np.zeros(64, np.int64)
@@ -150,21 +157,71 @@ def simhash_query(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFra
     return prints.join(labels, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 2, max_bits: int = 22, size_ratio: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """fid and the distinct shingles of its text, as hashes."""
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = []
+            for text in batch.column("text").to_pylist():
+                joined, starts, stops = shingle_bounds(text, words)
+                hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+                sets.append(np.unique(hashes).view(np.int64))
+            return pa.RecordBatch.from_arrays([batch.column("fid"), pa.array(sets, pa.list_(pa.int64()))], ["fid", "shingle_set"])
+
+        return step
+
+    return arrow_map(texts.select("fid", "text"), make, "fid long, shingle_set array<long>")
+
+
+def _similar(a: str, b: str, least: float):
+    """Whether the Jaccard similarity of two set columns is at least so much."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= least * (F.size(a) + F.size(b) - both)
+
+
+def verified_components(groups: DataFrame, sets: DataFrame, lanes: int, max_bits: int, similarity: float) -> DataFrame:
+    """fid, root: the components of the candidate pairs whose sets have at least this similarity.
+
+    groups: fid, root (least fid of its candidate component), f0 .., shingles; sets: fid, shingle_set. Each member is
+    compared with its root first; only pairs that hold a member unlike its root are left to compare then, so a group of
+    like texts costs one comparison a text, and still no verified link is lost.
+    """
+    roots = sets.join(groups.where("fid = root").select("fid"), "fid").select(F.col("fid").alias("root"), F.col("shingle_set").alias("root_set"))
+    member = groups.where("fid <> root").join(sets, "fid").join(roots, "root")
+    member = materialize(member.select(*groups.columns, _similar("shingle_set", "root_set", similarity).alias("near")), "members")
+    a, b = member.where("not near").alias("a"), member.alias("b")
+    bits = sum((F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(lanes)), F.lit(0))
+    sized = F.least("a.shingles", "b.shingles") >= similarity * F.greatest("a.shingles", "b.shingles")
+    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("b.near") | (F.col("a.fid") < F.col("b.fid"))) & sized & (bits <= max_bits))
+    pairs = pairs.select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("other"), F.when(F.col("b.near"), F.col("b.root")).otherwise(F.col("b.fid")).alias("v"))
+    others = sets.select(F.col("fid").alias("other"), F.col("shingle_set").alias("other_set"))
+    edges = pairs.join(sets, "fid").join(others, "other").where(_similar("shingle_set", "other_set", similarity)).select(F.col("fid").alias("u"), "v")
+    joined = connected_components(edges)
+    first = member.select("fid", F.when(F.col("near"), F.col("root")).otherwise(F.col("fid")).alias("node")).union(groups.where("fid = root").select("fid", "root"))
+    return first.join(joined.withColumnRenamed("root", "top"), "node", "left").select("fid", F.coalesce("top", "node").alias("root"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 2, max_bits: int = 26, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without near copies: of each component the row with the least id stays (null ids last, then by a hash of the row).
 
-    The default links texts whose SimHash estimate of the similarity of their five-word shingles is about 0.8 or more:
-    two sets of Jaccard similarity 0.8 have vectors at cosine 8/9, and so differ in 128 * acos(8/9) / pi = 19.4 bits
-    expected (deviation 4); unrelated texts differ in 64 (deviation 5.7). Balls that wide overlap most shards, so the
-    search within one band of lengths compares most pairs; see the README.
+    Fingerprints propose pairs, the shingle sets decide: texts link if the Jaccard similarity of their five-word shingles
+    is 0.8 or more. Such sets have vectors at cosine 8/9 or more, and so differ in 128 * acos(8/9) / pi = 19.4 bits
+    expected at most (deviation 4); 26 bits miss about one in twenty of those that stand at 0.8 itself, and fewer above;
+    unrelated texts differ in 64 (deviation 5.7). Balls that wide overlap most shards, so the search within one band of
+    lengths compares most pairs; see the README. Texts with one fingerprint and one number of shingles count as alike.
     """
     row, key = fresh(docs, "lacuna_row"), fresh(docs, "lacuna_fid")
     marked = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
     source = marked.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     prints = materialize(fingerprints(source, words, lanes, keep=("doc_id", "row")), "docprints")
-    roots = simhash_components(prints, lanes, max_bits, size_ratio)
+    roots = simhash_components(prints, lanes, max_bits, similarity)
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    best = prints.groupBy(fid_of(lanes).alias("fid")).agg(F.min(rank).alias("rank"))
+    best = materialize(prints.groupBy(fid_of(lanes).alias("fid")).agg(F.min(rank).alias("rank"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(lanes)), F.first("shingles").alias("shingles")), "best")
+    groups = materialize(best.join(roots, "fid"), "groups")
+    chosen = groups.select("fid", F.col("rank.doc_id").alias("chosen_id"), F.col("rank.row").alias("chosen_row"))
+    texts = source.join(chosen, (F.col("row") == F.col("chosen_row")) & F.col("doc_id").eqNullSafe(F.col("chosen_id"))).dropDuplicates(["fid"])
+    roots = verified_components(groups.drop("rank"), materialize(shingle_sets(texts, words), "sets"), lanes, max_bits, similarity)
     stay = best.join(roots, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("rank").alias("rank"))
     stay = stay.select(F.col("rank.doc_id").alias(key), F.col("rank.row").alias(row))
     own = fresh(docs, "lacuna_own")

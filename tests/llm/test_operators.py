@@ -115,6 +115,20 @@ def test_near_duplicates_leave_one_of_each(spark):
     assert simhash.drop_near_duplicates(empty(spark)).count() == 0
 
 
+def test_near_duplicates_compare_shingle_sets(spark):
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+
+    def changed(source, places):
+        return [f"x{rng.randrange(9000)}" if i in places else w for i, w in enumerate(source)]
+
+    b = changed(words, {20, 60, 100, 140})  # 0.90 to the first
+    c = changed(b, {200, 240, 280, 320, 360, 390})  # 0.86 to b, 0.78 to the first
+    far = changed(words, {10, 40, 70, 110, 150, 190, 230, 270, 310, 350, 380})  # 0.75 to the first, so it stays
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate((words, b, c, far))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 3]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 100), (101, 100)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
