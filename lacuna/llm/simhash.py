@@ -157,8 +157,19 @@ def simhash_query(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFra
     return prints.join(labels, "f0").select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def centres(groups: DataFrame, lanes: int) -> DataFrame:
+    """root, centre: the member of each candidate component that differs least from the majority of its members, bit by bit."""
+    bit = lambda k, j: F.sum(F.shiftright(f"f{k}", j).bitwiseAND(F.lit(1)))
+    votes = groups.groupBy("root").agg(F.count("*").alias("n"), *(bit(k, j).alias(f"v{k}_{j}") for k in range(lanes) for j in range(64)))
+    lane = lambda k: sum((F.when(2 * F.col(f"v{k}_{j}") > F.col("n"), F.shiftleft(F.lit(1).cast("long"), j)).otherwise(F.lit(0)) for j in range(64)), F.lit(0).cast("long"))
+    major = materialize(votes.select("root", *(lane(k).alias(f"m{k}") for k in range(lanes))), "majorities")
+    off = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"m{k}"))) for k in range(lanes)), F.lit(0))
+    return groups.join(major, "root").groupBy("root").agg(F.min_by("fid", F.struct(off, "fid")).alias("centre"))
+
+
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
-    """fid and the distinct shingles of its text, as hashes."""
+    """The columns of texts but text, and the distinct shingles of it, as hashes."""
+    kept = [f for f in texts.schema if f.name != "text"]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -167,11 +178,11 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
                 joined, starts, stops = shingle_bounds(text, words)
                 hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
                 sets.append(np.unique(hashes).view(np.int64))
-            return pa.RecordBatch.from_arrays([batch.column("fid"), pa.array(sets, pa.list_(pa.int64()))], ["fid", "shingle_set"])
+            return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(sets, pa.list_(pa.int64()))], [*(f.name for f in kept), "shingle_set"])
 
         return step
 
-    return arrow_map(texts.select("fid", "text"), make, "fid long, shingle_set array<long>")
+    return arrow_map(texts, make, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "shingle_set array<long>"]))
 
 
 def _similar(a: str, b: str, least: float):
@@ -180,25 +191,26 @@ def _similar(a: str, b: str, least: float):
     return both >= least * (F.size(a) + F.size(b) - both)
 
 
-def verified_components(groups: DataFrame, sets: DataFrame, lanes: int, max_bits: int, similarity: float) -> DataFrame:
+def verified_components(members: DataFrame, lanes: int, max_bits: int, similarity: float) -> DataFrame:
     """fid, root: the components of the candidate pairs whose sets have at least this similarity.
 
-    groups: fid, root (least fid of its candidate component), f0 .., shingles; sets: fid, shingle_set. Each member is
-    compared with its root first; only pairs that hold a member unlike its root are left to compare then, so a group of
-    like texts costs one comparison a text, and still no verified link is lost.
+    members: fid, root (of its candidate component), centre, f0 .., shingles, shingle_set. Each member is compared with the
+    centre of its component first; only pairs that hold a member unlike the centre are left to compare then, so copies of
+    one text cost one comparison each, and still no verified link is lost.
     """
-    roots = sets.join(groups.where("fid = root").select("fid"), "fid").select(F.col("fid").alias("root"), F.col("shingle_set").alias("root_set"))
-    member = groups.where("fid <> root").join(sets, "fid").join(roots, "root")
-    member = materialize(member.select(*groups.columns, _similar("shingle_set", "root_set", similarity).alias("near")), "members")
-    a, b = member.where("not near").alias("a"), member.alias("b")
-    bits = sum((F.bit_count(F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}"))) for k in range(lanes)), F.lit(0))
+    names = [f"f{k}" for k in range(lanes)]
+    centre = members.where("fid = centre").select("root", F.col("shingle_set").alias("centre_set"))
+    small = materialize(members.join(centre, "root").select("fid", "root", "centre", *names, "shingles", _similar("shingle_set", "centre_set", similarity).alias("near")), "members")
+    a, b = small.where("not near").alias("a"), small.where("fid <> centre").alias("b")
+    bits = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in names), F.lit(0))
     sized = F.least("a.shingles", "b.shingles") >= similarity * F.greatest("a.shingles", "b.shingles")
     pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("b.near") | (F.col("a.fid") < F.col("b.fid"))) & sized & (bits <= max_bits))
-    pairs = pairs.select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("other"), F.when(F.col("b.near"), F.col("b.root")).otherwise(F.col("b.fid")).alias("v"))
+    pairs = materialize(pairs.select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("other"), F.when(F.col("b.near"), F.col("b.centre")).otherwise(F.col("b.fid")).alias("v")), "pairs")
+    sets = members.select("fid", "shingle_set")
     others = sets.select(F.col("fid").alias("other"), F.col("shingle_set").alias("other_set"))
     edges = pairs.join(sets, "fid").join(others, "other").where(_similar("shingle_set", "other_set", similarity)).select(F.col("fid").alias("u"), "v")
     joined = connected_components(edges)
-    first = member.select("fid", F.when(F.col("near"), F.col("root")).otherwise(F.col("fid")).alias("node")).union(groups.where("fid = root").select("fid", "root"))
+    first = small.select("fid", F.when(F.col("near"), F.col("centre")).otherwise(F.col("fid")).alias("node"))
     return first.join(joined.withColumnRenamed("root", "top"), "node", "left").select("fid", F.coalesce("top", "node").alias("root"))
 
 
@@ -211,21 +223,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 2, max_bi
     unrelated texts differ in 64 (deviation 5.7). Balls that wide overlap most shards, so the search within one band of
     lengths compares most pairs; see the README. Texts with one fingerprint and one number of shingles count as alike.
     """
-    row, key = fresh(docs, "lacuna_row"), fresh(docs, "lacuna_fid")
-    marked = docs.withColumn(row, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)))
+    row = fresh(docs, "lacuna_row")
+    named = F.concat_ws(":", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).cast("string"), F.col(id_col).cast("string"))
+    marked = docs.withColumn(row, named)  # one key without nulls, so that joins and windows on it share one shuffle
     source = marked.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
     prints = materialize(fingerprints(source, words, lanes, keep=("doc_id", "row")), "docprints")
     roots = simhash_components(prints, lanes, max_bits, similarity)
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
     best = materialize(prints.groupBy(fid_of(lanes).alias("fid")).agg(F.min(rank).alias("rank"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(lanes)), F.first("shingles").alias("shingles")), "best")
     groups = materialize(best.join(roots, "fid"), "groups")
-    chosen = groups.select("fid", F.col("rank.doc_id").alias("chosen_id"), F.col("rank.row").alias("chosen_row"))
-    texts = source.join(chosen, (F.col("row") == F.col("chosen_row")) & F.col("doc_id").eqNullSafe(F.col("chosen_id"))).dropDuplicates(["fid"])
-    roots = verified_components(groups.drop("rank"), materialize(shingle_sets(texts, words), "sets"), lanes, max_bits, similarity)
-    stay = best.join(roots, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("rank").alias("rank"))
-    stay = stay.select(F.col("rank.doc_id").alias(key), F.col("rank.row").alias(row))
-    own = fresh(docs, "lacuna_own")
-    both = marked.join(stay.withColumnRenamed(row, own), (F.col(row) == F.col(own)) & F.col(id_col).eqNullSafe(F.col(key)), "semi")
+    chosen = groups.join(centres(groups, lanes), "root").select("fid", "root", "centre", *(f"f{k}" for k in range(lanes)), "shingles", F.col("rank.row").alias("row"))
+    texts = source.select("row", "text").join(chosen, "row").dropDuplicates(["row"]).drop("row")
+    roots = verified_components(materialize(shingle_sets(texts, words), "sets"), lanes, max_bits, similarity)
+    stay = best.join(roots, "fid", "left").groupBy(F.coalesce("root", "fid").alias("root")).agg(F.min("rank").alias("rank")).select(F.col("rank.row").alias(row))
     first = Window.partitionBy(row).orderBy(F.lit(0))  # identical rows only
-    turn = fresh(both, "lacuna_turn")
-    return both.withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).select(*(f"`{c}`" for c in docs.columns))
+    turn = fresh(marked, "lacuna_turn")
+    return marked.join(stay, row, "semi").withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1).select(*(f"`{c}`" for c in docs.columns))
