@@ -195,17 +195,31 @@ def verified_components(members: DataFrame, lanes: int, max_bits: int, similarit
     """fid, root: the components of the candidate pairs whose sets have at least this similarity.
 
     members: fid, root (of its candidate component), centre, f0 .., shingles, shingle_set. Each member is compared with the
-    centre of its component first; only pairs that hold a member unlike the centre are left to compare then, so copies of
-    one text cost one comparison each, and still no verified link is lost.
+    centre c of its component first, so copies of one text cost one comparison each. A pair a, b with a member unlike the
+    centre is compared in two cases, which between them lose no pair: the two share a shingle that c lacks; or they don't,
+    and then their sets have at most min(|a & c|, |b & c|) shingles in common, which must suffice for the similarity.
     """
     names = [f"f{k}" for k in range(lanes)]
     centre = members.where("fid = centre").select("root", F.col("shingle_set").alias("centre_set"))
-    small = materialize(members.join(centre, "root").select("fid", "root", "centre", *names, "shingles", _similar("shingle_set", "centre_set", similarity).alias("near")), "members")
-    a, b = small.where("not near").alias("a"), small.where("fid <> centre").alias("b")
-    bits = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in names), F.lit(0))
-    sized = F.least("a.shingles", "b.shingles") >= similarity * F.greatest("a.shingles", "b.shingles")
-    pairs = a.join(b, (F.col("a.root") == F.col("b.root")) & (F.col("b.near") | (F.col("a.fid") < F.col("b.fid"))) & sized & (bits <= max_bits))
-    pairs = materialize(pairs.select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("other"), F.when(F.col("b.near"), F.col("b.centre")).otherwise(F.col("b.fid")).alias("v")), "pairs")
+    shared = F.size(F.array_intersect("shingle_set", "centre_set"))
+    met = members.join(centre, "root").select("fid", "root", "centre", *names, "shingles", F.size("shingle_set").alias("size"), shared.alias("of_centre"), F.array_except("shingle_set", "centre_set").alias("own"), (F.size("centre_set") - shared).alias("lacks"))
+    small = materialize(met.withColumn("near", F.col("of_centre") >= similarity * (F.col("size") + F.col("lacks"))), "members")
+
+    def between(x: DataFrame, y: DataFrame, keys: list[str], more=None) -> DataFrame:
+        a, b = x.alias("a"), y.alias("b")
+        bits = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in names), F.lit(0))
+        meet = (F.least("a.shingles", "b.shingles") >= similarity * F.greatest("a.shingles", "b.shingles")) & (bits <= max_bits) & (F.col("b.near") | (F.col("a.fid") < F.col("b.fid")))
+        for key in keys:
+            meet = meet & (F.col(f"a.{key}") == F.col(f"b.{key}"))
+        return a.join(b, meet if more is None else meet & more).select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("other"), F.when(F.col("b.near"), F.col("b.centre")).otherwise(F.col("b.fid")).alias("v"))
+
+    rest = small.where("fid <> centre")
+    thin = rest.drop("own").where(F.col("of_centre") >= similarity * F.col("size"))
+    common = F.least("a.of_centre", "b.of_centre")
+    within = between(thin.where("not near"), thin, ["root"], common >= similarity * (F.col("a.size") + F.col("b.size") - common))
+    spread = rest.withColumn("shingle", F.explode("own")).drop("own")
+    outside = between(spread.where("not near"), spread, ["root", "shingle"])
+    pairs = materialize(within.union(outside).distinct(), "pairs")
     sets = members.select("fid", "shingle_set")
     others = sets.select(F.col("fid").alias("other"), F.col("shingle_set").alias("other_set"))
     edges = pairs.join(sets, "fid").join(others, "other").where(_similar("shingle_set", "other_set", similarity)).select(F.col("fid").alias("u"), "v")
