@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
+from lacuna.functions import verdicts as V
 from lacuna.operators import anchors, cache, retrieve, score, structure
 from lacuna.plans.pack import STARTER, keyword_frame, pack_frame
 
@@ -108,7 +109,13 @@ def missing_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pred.join(gold, "doc_id", "anti").select("doc_id")
 
 
-_NAMES = (canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
+def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence of a named test and of replicates in each document's text."""
+    replicates = next(f for f in ALWAYS if f.type == "enum").enum_values
+    return _docs(spark, sf_dir).select("doc_id", V.relevant(F.col("canonical_text"), "stats.test_named").alias("test_named"), V.enum_value(F.col("canonical_text"), replicates).alias("replicates"))
+
+
+_NAMES = (relevance_gate, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _CANON = r"""canon AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)"""
@@ -121,7 +128,11 @@ _RATES = """, c AS (SELECT bucket, count(*) FILTER (WHERE outcome = 'tp') AS tp,
 r AS (SELECT *, tp + fn AS support, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r1 FROM c)
 SELECT bucket, tp, fp, fn, support, round(p1, 9) AS precision, round(r1, 9) AS recall, round(CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END, 9) AS f1 FROM r"""
 _BUCKETS = f"WITH {_PLANTED}, b AS (SELECT field_id AS bucket, outcome FROM o UNION ALL SELECT 'code:' || code, outcome FROM o UNION ALL SELECT 'ALL', outcome FROM o){_RATES}"
+# RE2 takes the evidence patterns as they are.
+_EVIDENCE = " OR ".join(f"regexp_matches(t, '{p.replace(chr(39), chr(39) * 2)}', '{'i' if ci else 'c'}')" for p, ci in V.EVIDENCE["stats.test_named"])
+_VALUES = " ".join(f"WHEN regexp_matches(t, '\\b{v}\\b', 'i')" + "".join(f" OR regexp_matches(t, '{p}', 'i')" for p in V.SURFACE.get(v, ())) + f" THEN '{v}'" for v in ("biological", "technical", "both"))
 ORACLE_SQL = {
+    "relevance_gate": f"WITH {_CANON} SELECT doc_id, {_EVIDENCE} AS test_named, CASE {_VALUES} END AS replicates FROM canon",
     "canonicalize_sha": f"WITH {_CANON} SELECT doc_id, sha256(t) AS text_sha, length(t) AS n FROM canon",
     "sentence_split": rf"WITH {_CANON}, s AS (SELECT doc_id, string_split(regexp_replace(t, '([.!?])\s+([A-Z(])', '\1' || chr(30) || '\2', 'g'), chr(30)) AS a FROM canon) SELECT doc_id, CAST(i - 1 AS BIGINT) AS sent_idx, a[i] AS sentence FROM s, unnest(range(1, len(a) + 1)) AS u(i)",
     "finding_id": f"WITH {_CANON} SELECT doc_id, substr(sha256(concat_ws(chr(31), doc_id, sha256(t), '0', CAST(length(t) AS VARCHAR), 'stats.test_named', 'GAP_ABSENT')), 1, 32) AS finding_id FROM canon",

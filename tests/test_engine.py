@@ -105,3 +105,49 @@ def test_sources(spark, tmp_path):
     reports = files.read_reports(spark, str(tmp_path / "r"))
     files.write_reports(reports.drop("stem"), str(tmp_path / "out"))
     assert [(r.doc_id, r.stem) for r in reports.collect()] == [("p1", "p1")] and spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+QUANTITY_CASES = [
+    ("culture.temperature", "cells were maintained at 37 °C", None),
+    ("culture.temperature", "incubated at 4 C before lysis", "GAP_OUT_OF_RANGE"),
+    ("culture.temperature", "heat-inactivated at 56 °C for 30 min", "GAP_OUT_OF_RANGE"),
+    ("culture.co2_fraction", "in a humidified 5% CO2 incubator", None),
+    ("centrifugation.force", "spun at 12,000 × g for 10 min", None),
+    ("centrifugation.force", "spun at 5 × g", "GAP_OUT_OF_RANGE"),
+    ("centrifugation.force", "spun at 5000 rpm", "GAP_DIMENSION_MISMATCH"),
+    ("centrifugation.force", "at the rcf of the maker", None),
+    ("xenograft.cell_number", "1 × 10^6 cells were injected", None),
+    ("xenograft.cell_number", "12 cells were injected", "GAP_OUT_OF_RANGE"),
+    ("xenograft.cell_number", "1000-4000 cells were injected", "GAP_RANGE_NOT_POINT"),
+    ("xenograft.cell_number", "EC109 cells were injected", "GAP_ABSENT"),
+    ("xenograft.cell_number", "MDA-MB-231 cells were injected", "GAP_ABSENT"),
+    ("xenograft.cell_number", "5 x 10^6 EC109 cells were injected", None),
+    ("xenograft.cell_number", "2 × 10^6 MDA-MB-231 cells were injected", None),
+    ("culture.co2_fraction", "grown to 80% confluence in 5% CO2", None),
+    ("culture.temperature", "A549 and HCT116 grown at 37 °C", None),
+    ("treatment.duration", "treated for 4-6 h", "GAP_RANGE_NOT_POINT"),
+    ("treatment.duration", "between 2 and 4 days", "GAP_RANGE_NOT_POINT"),
+    ("treatment.concentration", "for 5 min", "GAP_ABSENT"),
+    ("treatment.concentration", "with 0, 50, 100, and 150 µM", None),
+    ("treatment.concentration", "with 5% serum", "GAP_DIMENSION_MISMATCH"),
+    ("animal.age_or_weight", "mice weighing 20-25 g", "GAP_RANGE_NOT_POINT"),
+    ("animal.sex", "ten female mice", None),
+    ("animal.sex", "ten mice", "GAP_ABSENT"),
+    ("qpcr.primer_sequences", "forward ACGTACGTACGTAC", None),
+    ("qpcr.primer_sequences", "forward ACGT", "GAP_ABSENT"),
+    ("stats.test_named", "by Student's t-test", None),
+    ("stats.test_named", "by inspection", "GAP_ABSENT"),
+    ("antibody.identifier", "anything", None),
+    ("stats.test_named", None, "GAP_ABSENT"),
+]
+
+
+def test_verdicts(spark):
+    from lacuna.functions.verdicts import verdict
+
+    by_id = {f.field_id: f for f in STARTER}
+    for name in sorted({c[0] for c in QUANTITY_CASES}):
+        rows = [(i, t) for i, (n, t, _) in enumerate(QUANTITY_CASES) if n == name]
+        df = spark.createDataFrame(rows, "i int, t string").select("i", verdict(F.col("t"), by_id[name]).alias("v"))
+        for r in df.collect():
+            assert r.v.code == QUANTITY_CASES[r.i][2], QUANTITY_CASES[r.i]
