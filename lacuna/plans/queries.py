@@ -115,7 +115,15 @@ def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", V.relevant(F.col("canonical_text"), "stats.test_named").alias("test_named"), V.enum_value(F.col("canonical_text"), replicates).alias("replicates"))
 
 
-_NAMES = (relevance_gate, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
+def quantity_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every quantity field against each sentence: how many sentences have which verdict and code."""
+    fields = [f for f in STARTER if f.type == "quantity"]
+    found = F.array(*(F.struct(F.lit(f.field_id).alias("field_id"), V.verdict(F.col("sentence"), f).alias("v")) for f in fields))
+    flat = T.sentences(_docs(spark, sf_dir)).select(F.explode(found).alias("x")).select("x.field_id", "x.v.verdict", "x.v.code")
+    return flat.groupBy("field_id", "verdict", "code").agg(F.count("*").alias("n"))
+
+
+_NAMES = (relevance_gate, quantity_verdict, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _CANON = r"""canon AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)"""
