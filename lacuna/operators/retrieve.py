@@ -11,14 +11,14 @@ from lacuna.functions.text import sentences, strip, substantive
 from lacuna.plans.pack import STARTER, Field
 
 
-def applicable(profiles: DataFrame, fields: DataFrame) -> DataFrame:
-    """doc_id, field_ordinal, field_id where all features of all_of hold and, if any_of isn't empty, one of it.
+def applicable(profiles: DataFrame, fields: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, field_ordinal, field_id and the columns of keep, where all features of all_of hold and, if any_of isn't empty, one of it.
 
     profiles: doc_id, features (map<string, boolean>; a missing key is false). The checklist is a few dozen rows.
     """
     has = lambda x: F.coalesce(F.try_element_at("features", x), F.lit(False))
     gate = F.forall("all_of", has) & ((F.size("any_of") == 0) | F.exists("any_of", has))
-    return profiles.crossJoin(F.broadcast(fields)).where(gate).select("doc_id", "field_ordinal", "field_id")
+    return profiles.crossJoin(F.broadcast(fields)).where(gate).select("doc_id", "field_ordinal", "field_id", *keep)
 
 
 def ranked_candidates(docs: DataFrame, pack: tuple[Field, ...] = STARTER, text_col: str = "canonical_text") -> DataFrame:

@@ -21,6 +21,11 @@ def lines(docs: DataFrame, text_col: str = "canonical_text") -> DataFrame:
 def running_headers(docs: DataFrame, text_col: str = "canonical_text") -> DataFrame:
     """doc_id, key, hits, mean_gap: lines (digits masked) that recur in a document at even distances."""
     keyed = lines(docs, text_col).withColumn("key", digits_masked(strip(F.col("line")))).where("key <> ''")
+    return even_repeats(keyed)
+
+
+def even_repeats(keyed: DataFrame) -> DataFrame:
+    """doc_id, key, hits, mean_gap of the keys that recur in a document at even distances. keyed: doc_id, key, line_start."""
     order = Window.partitionBy("doc_id", "key").orderBy("line_start")
     gaps = keyed.withColumn("gap", F.col("line_start") - F.lag("line_start").over(order))
     found = gaps.groupBy("doc_id", "key").agg(F.count("*").alias("hits"), F.avg("gap").alias("mean_gap"), F.stddev_pop("gap").alias("spread"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
 from lacuna.functions import verdicts as V
-from lacuna.operators import anchors, cache, retrieve, score, structure
+from lacuna.operators import anchors, audit, cache, profile, retrieve, score, sections, structure
 from lacuna.plans.pack import STARTER, keyword_frame, pack_frame
 
 ALWAYS = tuple(f for f in STARTER if not f.all_of and not f.any_of)
@@ -123,7 +123,23 @@ def quantity_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.groupBy("field_id", "verdict", "code").agg(F.count("*").alias("n"))
 
 
-_NAMES = (relevance_gate, quantity_verdict, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
+def study_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's methods window and its features, with the first evidence of each."""
+    found = profile.study_profiles(_docs(spark, sf_dir))
+    return found.select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("m_start", "m_end")), F.to_json("features").alias("features"), F.to_json("evidence").alias("evidence"))
+
+
+def subsection_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sections.subsections(profile.with_methods(_docs(spark, sf_dir))).select("doc_id", "header", *(F.col(c).cast("long").alias(c) for c in ("sub_idx", "start", "end")))
+
+
+def gap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole audit by the starter checklist."""
+    found = audit.findings(_docs(spark, sf_dir))
+    return found.select("doc_id", "finding_id", "field_id", "code", "verdict", "raw_text", "sensitivity", *(F.col(c).cast("long").alias(c) for c in ("field_ordinal", "start", "end")), F.to_json("detail").alias("detail"))
+
+
+_NAMES = (study_profile, subsection_tree, gap_findings, relevance_gate, quantity_verdict, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 _CANON = r"""canon AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)"""
