@@ -151,3 +151,23 @@ def reports(docs: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
     nested = found.select("doc_id", F.transform(in_order, lambda x: x["f"]).alias("findings"))
     profiled = study_profiles(docs.select("doc_id", "canonical_text", "text_sha"))
     return profiled.join(nested, "doc_id", "left").select("doc_id", "text_sha", F.lit(VERSION).alias("field_pack_version"), "features", "evidence", F.coalesce("findings", F.array().cast(nested.schema["findings"].dataType)).alias("findings"))
+
+
+# The codes that each verdict can have; the other verdicts are no findings.
+LEGAL = {
+    "FIELD_ABSENT": ("GAP_ABSENT",),
+    "FIELD_UNRESOLVED": ("GAP_VAGUE", "GAP_UNPARSEABLE", "GAP_DIMENSION_MISMATCH", "GAP_OUT_OF_RANGE", "GAP_RANGE_NOT_POINT", "GAP_DEFERRED_TO_REF", "GAP_DEFERRED_TO_DISPLAY"),
+}
+
+
+def illegal(found: DataFrame) -> DataFrame:
+    """The findings whose code doesn't go with their verdict (nulls included) or whose span isn't a forward one."""
+    fits = reduce(lambda a, b: a | b, ((F.col("verdict") == v) & F.col("code").isin(*codes) for v, codes in LEGAL.items()))
+    return found.where(~F.coalesce(fits & (F.col("start") >= 0) & (F.col("end") > F.col("start")), F.lit(False)))
+
+
+def document_counts(found: DataFrame, pack_rows: DataFrame) -> DataFrame:
+    """doc_id, applicable, findings, absent, unresolved of each document that has an applicable field. pack_rows: as of applicable()."""
+    due = pack_rows.groupBy("doc_id").agg(F.count("*").alias("applicable"))
+    gaps = found.groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("verdict") == "FIELD_ABSENT").alias("absent"), F.count_if(F.col("verdict") == "FIELD_UNRESOLVED").alias("unresolved"))
+    return due.join(gaps, "doc_id", "left").fillna(0, ["findings", "absent", "unresolved"])

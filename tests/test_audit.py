@@ -130,3 +130,12 @@ def test_trigger_tier(spark):
     d = T.canonicalize(spark.createDataFrame([("d", "Reporter cells were placed and left overnight. Nothing more was said.")], "doc_id string, text string"))
     rows = audit.candidates(profile.study_profiles(d), (field("treatment.duration"),)).collect()
     assert [(r.detector, r.raw_text) for r in rows] == [("trigger:fills-slot", "Reporter cells were placed and left overnight.")]
+
+
+def test_legality_and_counts(spark):
+    rows = [("a", "FIELD_ABSENT", "GAP_ABSENT", 0, 5), ("a", "FIELD_ABSENT", "GAP_VAGUE", 0, 5), ("b", "FIELD_UNRESOLVED", "GAP_VAGUE", 5, 5), ("c", None, "GAP_ABSENT", 0, 5), ("d", "FIELD_OK", None, 0, 5), ("e", "FIELD_UNRESOLVED", "GAP_VAGUE", 1, 2)]
+    found = spark.createDataFrame(rows, "doc_id string, verdict string, code string, start int, end int")
+    assert sorted(r.doc_id for r in audit.illegal(found).collect()) == ["a", "b", "c", "d"]
+    due = spark.createDataFrame([("a", "x"), ("a", "y"), ("z", "x")], "doc_id string, field_id string")
+    got = {r.doc_id: tuple(r)[1:] for r in audit.document_counts(found, due).collect()}
+    assert got == {"a": (2, 2, 2, 0), "z": (1, 0, 0, 0)}
