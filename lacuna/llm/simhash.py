@@ -1,7 +1,7 @@
 """SimHash near-duplicates over vantage-point trees.
 
 Each text gets a fingerprint of 64 bits a word (word k: XXH64 of its shingles with seed 42 + k; a bit is 1 if set in
-over half of the hashes). Distinct fingerprints are searched for pairs within max_bits in vantage-point shards: for
+over half of the hashes). The query counts a shingle as often as it occurs, the filter once a text. Distinct fingerprints are searched for pairs within max_bits in vantage-point shards: for
 max_bits of 3 the 64 bits are halved, since two fingerprints that differ in at most 3 bits differ in at most 1 in one of
 the halves, and each half has its own tree with radius 1, where triangle bounds prune well; wider radii search one tree
 over all bits. A shard joins its pairs in memory and gives out a star for each local component, never all pairs;
@@ -60,6 +60,44 @@ def fingerprint(text: str | None, words: int = 3, lanes: int = 1) -> tuple[list[
     return out, len(starts)
 
 
+def shingle_hashes(joined: bytes, starts: list[int], stops: list[int], seed: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
+
+
+def set_fingerprint(text: str | None, words: int = 5, lanes: int = 2) -> tuple[list[int], int, int]:
+    """(one unsigned 64-bit integer a lane, number of shingles, hash of the set), from the distinct shingles."""
+    joined, starts, stops = shingle_bounds(text, words)
+    repeats = len(starts)
+    found, first = np.unique(shingle_hashes(joined, starts, stops, SEED), return_index=True)
+    if not len(found):
+        return [0] * lanes, 0, 0
+    starts, stops = ([bounds[i] for i in first.tolist()] for bounds in (starts, stops))
+    out = []
+    for lane in range(lanes):
+        counts = np.zeros(64, np.int64)
+        for at in range(0, len(starts), _CHUNK):
+            hashes = shingle_hashes(joined, starts[at : at + _CHUNK], stops[at : at + _CHUNK], SEED + lane) if lane else found[at : at + _CHUNK]
+            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0]))
+    return out, repeats, xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def set_fingerprints(docs: DataFrame, words: int, lanes: int, keep: tuple[str, ...]) -> DataFrame:
+    """The kept columns with f0 .. and shingles as set_fingerprint has them, and fid: the hash of the shingle set."""
+    names = [f"f{k}" for k in range(lanes)]
+    kept = [docs.schema[c] for c in keep]
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = [set_fingerprint(t, words, lanes) for t in batch.column("text").to_pylist()]
+            bits = np.array([[*f, fid] for f, _, fid in found], np.uint64).reshape(-1, lanes + 1).view(np.int64)
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(bits[:, k]) for k in range(lanes + 1)), pa.array([n for _, n, _ in found], pa.int64())], [*keep, *names, "fid", "shingles"])
+
+        return step
+
+    return arrow_map(docs.select(*keep, "text"), make, ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in kept), *(f"{n} long" for n in names), "fid long, shingles long"]))
+
+
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns with f0 .. (signed 64-bit integers of the lanes) and shingles."""
     names = [f"f{k}" for k in range(lanes)]
@@ -132,24 +170,20 @@ def link_fingerprints(distinct: DataFrame, n: int, lanes: int, max_bits: int, si
 
 
 def simhash_components(prints: DataFrame, lanes: int, max_bits: int, size_ratio: float | None = None) -> DataFrame:
-    """fid, root for the distinct fingerprints of prints (materialized; f0 .., shingles) that have a partner.
+    """fid, root for the distinct fid of prints (materialized; fid, f0 .., shingles) that have a partner.
 
-    fid: the fingerprint itself (one lane), or a 64-bit hash of its lanes and the shingle count.
+    fid: the fingerprint itself, or a hash of the shingle set that it was made from.
     """
     names = [f"f{k}" for k in range(lanes)]
-    distinct = prints.select(fid_of(lanes).alias("fid"), *names, "shingles").groupBy("fid").agg(*(F.first(c).alias(c) for c in names), F.min("shingles").alias("shingles"))
+    distinct = prints.select("fid", *names, "shingles").groupBy("fid").agg(*(F.first(c).alias(c) for c in names), F.min("shingles").alias("shingles"))
     distinct = materialize(distinct, "prints")
     return connected_components(link_fingerprints(distinct, distinct.count(), lanes, max_bits, size_ratio)).withColumnRenamed("node", "fid")
 
 
-def fid_of(lanes: int):
-    return F.col("f0") if lanes == 1 else F.xxhash64(*(f"f{k}" for k in range(lanes)), "shingles")
-
-
 def simhash_query(docs: DataFrame, words: int = 3, max_bits: int = 3) -> DataFrame:
     """doc_id, fingerprint (hex), component_id (the least doc_id reachable)."""
     prints = materialize(fingerprints(docs, words).drop("shingles").withColumn("shingles", F.lit(0).cast("long")), "docprints")
-    roots = simhash_components(prints, 1, max_bits)
+    roots = simhash_components(prints.withColumn("fid", F.col("f0")), 1, max_bits)
     least = prints.groupBy(F.col("f0").alias("fid")).agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "fid", "left").withColumn("root", F.coalesce("root", "fid"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -176,8 +210,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
             sets = []
             for text in batch.column("text").to_pylist():
                 joined, starts, stops = shingle_bounds(text, words)
-                hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)), np.uint64, len(starts))
-                sets.append(np.unique(hashes).view(np.int64))
+                sets.append(np.unique(shingle_hashes(joined, starts, stops, SEED)).view(np.int64))
             return pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(sets, pa.list_(pa.int64()))], [*(f.name for f in kept), "shingle_set"])
 
         return step
@@ -235,16 +268,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 2, max_bi
     is 0.8 or more. Such sets have vectors at cosine 8/9 or more, and so differ in 128 * acos(8/9) / pi = 19.4 bits
     expected at most (deviation 4); 26 bits miss about one in twenty of those that stand at 0.8 itself, and fewer above;
     unrelated texts differ in 64 (deviation 5.7). Balls that wide overlap most shards, so the search within one band of
-    lengths compares most pairs; see the README. Texts with one fingerprint and one number of shingles count as alike.
+    lengths compares most pairs; see the README. Only texts with one shingle set (by its 64-bit hash) are alike without a check.
     """
     row = fresh(docs, "lacuna_row")
     named = F.concat_ws(":", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).cast("string"), F.col(id_col).cast("string"))
     marked = docs.withColumn(row, named)  # one key without nulls, so that joins and windows on it share one shuffle
     source = marked.select(F.col(id_col).alias("doc_id"), F.col(row).alias("row"), F.col(text_col).alias("text"))
-    prints = materialize(fingerprints(source, words, lanes, keep=("doc_id", "row")), "docprints")
+    prints = materialize(set_fingerprints(source, words, lanes, ("doc_id", "row")), "docprints")
     roots = simhash_components(prints, lanes, max_bits, similarity)
     rank = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "row")
-    best = materialize(prints.groupBy(fid_of(lanes).alias("fid")).agg(F.min(rank).alias("rank"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(lanes)), F.first("shingles").alias("shingles")), "best")
+    best = materialize(prints.groupBy("fid").agg(F.min(rank).alias("rank"), *(F.first(f"f{k}").alias(f"f{k}") for k in range(lanes)), F.first("shingles").alias("shingles")), "best")
     groups = materialize(best.join(roots, "fid"), "groups")
     chosen = groups.join(centres(groups, lanes), "root").select("fid", "root", "centre", *(f"f{k}" for k in range(lanes)), "shingles", F.col("rank.row").alias("row"))
     texts = source.select("row", "text").join(chosen, "row").dropDuplicates(["row"]).drop("row")

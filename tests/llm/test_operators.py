@@ -129,6 +129,20 @@ def test_near_duplicates_compare_shingle_sets(spark):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 3]
 
 
+def repeated_line(line, times, body):
+    return "\n".join([line] * times + [" ".join(body)])
+
+
+def test_near_duplicates_keep_texts_that_share_a_repeated_line(spark):
+    rng = random.Random(6)
+    texts = [repeated_line(" ".join(f"l{k}x{j}" for j in range(k)), 400, [f"w{rng.randrange(9999)}" for _ in range(100)]) for k in (5, 7, 9, 11) for _ in range(4)]
+    prints = [simhash.fingerprint(t, 5, 2) for t in texts]
+    assert any(a == b for i, a in enumerate(prints) for b in prints[:i])  # with repeats they are one
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for lanes in (1, 2):
+        assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df, lanes=lanes).collect()) == [*range(16)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 100), (101, 100)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
