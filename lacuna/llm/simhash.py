@@ -65,9 +65,8 @@ def shingle_hashes(joined: bytes, starts: list[int], stops: list[int], seed: int
 
 
 def set_fingerprint(text: str | None, words: int = 5, lanes: int = 2) -> tuple[list[int], int, int]:
-    """(one unsigned 64-bit integer a lane, number of shingles, hash of the set), from the distinct shingles."""
+    """(one unsigned 64-bit integer a lane, number of distinct shingles, hash of their set); repeats count for nothing."""
     joined, starts, stops = shingle_bounds(text, words)
-    repeats = len(starts)
     found, first = np.unique(shingle_hashes(joined, starts, stops, SEED), return_index=True)
     if not len(found):
         return [0] * lanes, 0, 0
@@ -79,7 +78,7 @@ def set_fingerprint(text: str | None, words: int = 5, lanes: int = 2) -> tuple[l
             hashes = shingle_hashes(joined, starts[at : at + _CHUNK], stops[at : at + _CHUNK], SEED + lane) if lane else found[at : at + _CHUNK]
             counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
         out.append(int(np.packbits(2 * counts > len(starts), bitorder="little").view(np.uint64)[0]))
-    return out, repeats, xxhash.xxh64_intdigest(found.tobytes(), SEED)
+    return out, len(starts), xxhash.xxh64_intdigest(found.tobytes(), SEED)
 
 
 def set_fingerprints(docs: DataFrame, words: int, lanes: int, keep: tuple[str, ...]) -> DataFrame:
@@ -265,10 +264,11 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 2, max_bi
     """docs without near copies: of each component the row with the least id stays (null ids last, then by a hash of the row).
 
     Fingerprints propose pairs, the shingle sets decide: texts link if the Jaccard similarity of their five-word shingles
-    is 0.8 or more. Such sets have vectors at cosine 8/9 or more, and so differ in 128 * acos(8/9) / pi = 19.4 bits
-    expected at most (deviation 4); 26 bits miss about one in twenty of those that stand at 0.8 itself, and fewer above;
-    unrelated texts differ in 64 (deviation 5.7). Balls that wide overlap most shards, so the search within one band of
-    lengths compares most pairs; see the README. Only texts with one shingle set (by its 64-bit hash) are alike without a check.
+    is 0.8 or more. Fingerprints and counts are of distinct shingles too, so the ratio of counts bounds the similarity.
+    Such sets have vectors at cosine 8/9 or more, and so differ in 128 * acos(8/9) / pi = 19.4 bits expected at most
+    (deviation 4); 26 bits miss about one in twenty of those that stand at 0.8 itself, and fewer above; unrelated texts
+    differ in 64 (deviation 5.7). Balls that wide overlap most shards, so the search within one band of set sizes compares
+    most pairs; see the README. Only texts with one shingle set (by its 64-bit hash) are alike without a check.
     """
     row = fresh(docs, "lacuna_row")
     named = F.concat_ws(":", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).cast("string"), F.col(id_col).cast("string"))

@@ -143,6 +143,14 @@ def test_near_duplicates_keep_texts_that_share_a_repeated_line(spark):
         assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df, lanes=lanes).collect()) == [*range(16)]
 
 
+def test_near_duplicates_link_texts_that_repeat_a_line_unequally(spark):
+    rng = random.Random(7)
+    line, bodies = "this very line stands here quite often", [[f"w{rng.randrange(9999)}" for _ in range(300)] for _ in range(2)]
+    texts = [repeated_line(line, times, body) for body, pair in zip(bodies, ((5, 40), (1, 20))) for times in pair]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 2]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (100, 100), (101, 100)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
