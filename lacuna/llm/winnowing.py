@@ -35,7 +35,8 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """Array of longs, in text order: (hash << 27) + (2**27 - 1 - position)."""
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
-    grams = F.when(F.length(text) > gram, F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    # A search goes on at the second half of a surrogate pair too, which starts no gram.
+    grams = F.when(F.length(text) > gram, F.regexp_extract_all(text, F.lit(f"(?s)(?=(\\P{{Cs}}.{{{gram - 1}}}))"), F.lit(1))).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
     least = F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 64 - 36), _POSITION_BITS) + (F.lit(_LAST) - i))
     reach, shift = window, 1
     while reach > 1:

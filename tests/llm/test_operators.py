@@ -182,6 +182,14 @@ def test_winnowing(spark, docs):
     assert winnowing.edited_likeness_query(empty(spark)).count() == 0
 
 
+def test_winnowing_reads_texts_above_the_basic_plane_to_their_end(spark):
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefgh \n" + "😀🎉𝒳") for _ in range(1500))
+    texts = [long, long[:-40] + "".join(rng.choice("opqrst") for _ in range(40)), "😀" * 30, "a" + "😀" * 8]
+    prints = {r.doc_id: list(zip(r.positions, r.hashes)) for r in winnowing.fingerprint_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(prints[i] == brute_prints(t) for i, t in enumerate(texts)) and prints[0] != prints[1]
+
+
 def test_decontamination(spark):
     item = "a quick benchmark question about seven red stones in the deep blue river by the old mill"
     clean = "nothing of the kind stands here, only plain words about rivers and mills and stones."
