@@ -2,7 +2,9 @@
 
 A page is cut into blocks at block-level tags. Containers that hold no article text (menus, headers outside the article,
 footers, sidebars, forms, scripts, elements whose class, id or role names a notice, an advert, comments ..) are left out
-with all they hold. First pass: link density, length and stop-word density call a block good, bad or undecided. Second
+with all they hold. A name counts as a whole (sidebar, site-footer, cookie-notice; not has-sidebar or category-notices).
+Names drop neither article nor main, nor a container that holds main; one that holds articles is dropped for its name
+(comments and teasers are articles on many pages) only if the page has article text elsewhere. First pass: link density, length and stop-word density call a block good, bad or undecided. Second
 pass: undecided blocks take the label of the nearest decided neighbour in the page, and a tie goes to the one before.
 Where a page has an article or main element, blocks outside it are bad, and undecided ones in it without any decided
 neighbour are good.
@@ -23,18 +25,19 @@ from pyspark.sql import functions as F
 from lacuna.llm.common import arrow_map
 
 _MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*\Z", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _NEVER = {"head", "nav", "footer", "aside", "form", "button", "select", "option", "dialog", "menu", "svg", "math", "canvas", "audio", "video", "object", "datalist", "fieldset", "label", "map"}
 _SCOPE = _BLOCK - {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
-#: Words of class, id and role values that name what is no article text.
-_ROLES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertis\w*|adsense|adslot|banner|sponsor\w*|promo\w*|sidebar|side-bar|aside|widget\w*|menu\w*|navbar|navigation|nav|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|notification|alert|newsletter|subscri\w*|popup|modal|overlay|dialog|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|login|signin|signup|register|search|searchbox|pagination|pager|toolbar|complementary|contentinfo|skip-link|disclaimer|paywall|teaser)(?:$|[\s_-])",
-    re.I,
-)
-_OUTSIDE = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|site-title)(?:$|[\s_-])", re.I)
+#: Words of class, id and role values that name what is no article text, and words that may stand before and after them in such a name.
+_ROLE = r"(?:ads?|adverts?|advertis\w*|adsense|adslot|banners?|sponsor\w*|promo\w*|side-?bar|aside|widgets?|menus?|menubar|navbar|navigation|nav|breadcrumbs?|footer|cookies?|consent|gdpr|notices?|notification|alert|newsletter|subscri\w*|popup|modal|overlay|dialog|social|share|sharing|related|recommend\w*|comments?|commentlist|disqus|repl(?:y|ies)|respond|login|signin|signup|register|search|searchbox|pagination|pager|toolbar|complementary|contentinfo|skip-link|disclaimer|paywall|teaser)"
+_HEADER = r"(?:header|masthead|topbar|site-title)"
+_BEFORE = r"(?:site|page|global|main|primary|secondary|top|bottom|left|right|mobile|post|article|entry|wp|block|google|dfp|gpt|div)"
+_AFTER = r"(?:wrapper|wrap|container|box|area|inner|outer|list|items?|links?|bar|section|buttons?|form|text|title|heading|icons?|primary|secondary|left|right|top|bottom|first|second|posts|articles|slot|unit|[\dx]+)"
+_ROLES = re.compile(rf"(?:{_BEFORE}[-_]+)*{_ROLE}(?:[-_]+(?:{_ROLE}|{_AFTER}))*[-_]*", re.I)
+_OUTSIDE = re.compile(rf"(?:{_BEFORE}[-_]+)*{_HEADER}(?:[-_]+{_AFTER})*[-_]*", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Stop words of English, German, French and Spanish (fixed values).
 STOP_WORDS = frozenset(
@@ -54,26 +57,38 @@ class _Block:
         self.parts, self.linked, self.chars, self.inside = [], 0, 0, inside
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """Names in lower case with their whole values; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
+        out.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+    return out
+
+
+def _unwanted(tag: str, attributes: str, inside: bool) -> int:
+    """0: wanted, 1: left out, 2: left out for its name."""
     if tag in _NEVER or tag == "header" and not inside:
-        return True
+        return 1
     if not attributes or tag in ("html", "body"):
-        return False
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id", "role") and (_ROLES.search(value) or not inside and tag not in ("article", "main") and _OUTSIDE.search(value)):
-            return True
-    return False
+        return 0
+    found = _attributes(attributes)
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
+        return 1
+    if tag in ("article", "main"):
+        return 0
+    names = [n for k in ("class", "id", "role") for n in found.get(k, "").split()]
+    return 2 if any(_ROLES.fullmatch(n) or not inside and _OUTSIDE.fullmatch(n) for n in names) else 0
+
 
+def blocks(page: str, holders: bool = False) -> tuple[list[tuple[str, float, bool]], bool]:
+    """((text, link density, inside the article) of each block outside unwanted containers, whether there is an article).
 
-def blocks(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
-    """((text, link density, inside the article) of each block outside unwanted containers, whether there is an article)."""
+    holders: containers of articles aren't left out for their names. Set where there is no article text without.
+    """
     out: list[_Block] = []
-    stack: list[tuple[str, bool]] = []  # tag, whether unwanted from here on
+    stack: list[tuple[str, int]] = []  # tag, whether unwanted from here on
     dropped = links = articles = 0
-    found_article = False
+    found_article = named = False
     now = _Block(False)
 
     def close() -> None:
@@ -85,7 +100,7 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
     def pop() -> None:
         nonlocal dropped, links, articles
         tag, unwanted = stack.pop()
-        dropped -= unwanted
+        dropped -= unwanted > 0
         links -= tag == "a"
         articles -= tag in ("article", "main")
 
@@ -140,8 +155,12 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
             at = end.end() if end else len(page)
             continue
         if tag not in _VOID:
+            if dropped and tag in ("article", "main") and all(u != 1 for _, u in stack):
+                if tag == "main" or holders:
+                    stack, dropped = [(t, 0) for t, _ in stack], 0
+                named |= dropped > 0
             stack.append((tag, unwanted := _unwanted(tag, m[3], articles > 0)))
-            dropped += unwanted
+            dropped += unwanted > 0
             links += tag == "a"
             if tag in ("article", "main"):
                 articles += 1
@@ -151,7 +170,10 @@ def blocks(page: str) -> tuple[list[tuple[str, float, bool]], bool]:
     add(page[at:])
     close()
     found = [(" ".join("".join(b.parts).split()), b.linked / max(1, b.chars), b.inside) for b in out]
-    return [b for b in found if b[0]], found_article
+    found = [b for b in found if b[0]]
+    if named and not any(inside for _, _, inside in found):
+        return blocks(page, True)
+    return found, found_article
 
 
 def first_pass(text: str, links: float, inside: bool) -> bool | None:

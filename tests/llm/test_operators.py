@@ -212,6 +212,19 @@ def test_html(spark):
     assert (got[2].text, got[2].n_chars, got[4].text, got[None].text) == ("", 0, "unclosed", "plain")
 
 
+def test_html_drops_by_whole_names_and_keeps_articles():
+    story = "The main text of it is long enough to be seen here and now, as it has to be."
+    text = html_extract.main_text
+    for tag in ('<article class="hentry category-notices">', '<main class="has-sidebar">', '<div class="no-sidebar">', '<article class="notice">', '<main id=search>', '<div title="Hidden costs" data-id=comments>', '<div class="sidebar"><main>', '<div class="widget"><article>'):
+        assert text(f"{tag}<p>{story}") == story, tag
+    linked = '<p>The reader of <a href="/the-hidden-valley?id=comments">this valley</a> is told by <b title="class=ad">us</b> what there is in it.</p>'
+    assert text(linked) == "The reader of this valley is told by us what there is in it."
+    for tag in ("<div class='big sidebar'>", "<div id=comment-12>", "<div hidden>", '<div class="site-header">', "<p role=alert>", "<div class='cookie-notice__inner'>", "<div hidden><main>", "<ul class=comment-list><article class=comment>", '<section class="related-posts"><article>'):
+        assert text(f"<article><p>{story}</p></article>{tag}{story}") == story, tag
+    assert text(f"<div class='site-header'>{story}</div><p>{story}</p>") == text(f"<section class=sidebar-1>{story}</section>{story}") == story
+    assert text(f"<article><p>{story}</p><div class=comments><article>{story}</article>x</div></article>") == story
+
+
 def test_warc(spark, tmp_path):
     rows = [(1, "http://a/", '<html lang="en"><title>T</title><body><p>Hello</p><a href="/x">x</a>'), (2, None, None)]
     made = warc.derive(warc.responses_from_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), date="2020-01-01T00:00:00Z"))
