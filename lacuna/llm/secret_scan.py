@@ -42,12 +42,16 @@ BASE_RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]+", least=24),
 )
+#: What may follow the first line of a key: all up to the END line, or, where the next dashes aren't one, headers and base64 lines (\\n may stand for a line's end).
+_TO_END = r"[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]{0,30}PRIVATE KEY-----"
+_HEADERS = r"(?:[ \t]*+[\r\n]++[A-Za-z][A-Za-z0-9-]*+:[^\r\n]*+)*+"
+_BASE64 = r"(?:(?:[ \t\r\n]|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)++(?:[ \t]*+[\r\n]++[ \t]*+[A-Za-z0-9+/]{1,15}+={0,2}+(?![^\r\n]))?+"
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
-    Rule("code_host", r"gh[opsur]_[A-Za-z0-9]{36,255}"),
-    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,255}"),
+    Rule("private_key", rf"-----BEGIN [A-Z ]{{0,30}}PRIVATE KEY-----(?:{_TO_END}|{_HEADERS}{_BASE64})?+"),
+    Rule("code_host", r"gh[opsur]_[A-Za-z0-9]{36,}"),
+    Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,255}"),
+    Rule("payment", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%-]{1,64}:[A-Za-z0-9._~%!$&*+-]{3,128}@"),
 )
