@@ -4,13 +4,14 @@ Texts are lower-cased and each run of white space becomes one space. An item of
 document if their edit distance is at most e = floor(rate * m). By the q-gram lemma such a region shares at least
 m - q + 1 - q * e positional q-grams with the item, all on e + 1 neighbouring diagonals (document position minus item
 position). Hits are counted in bands of 2 (e + 1) diagonals, each overlapping the next by half, so some band holds them
-all; bands that reach the bound are verified by alignment within the band.
+all; bands that reach the bound are verified by alignment within the band. An item whose edits q-grams don't bound is
+searched by shorter ones. Items under min_chars have no edits: they match where they stand as they are, and not within
+a longer word.
 
 The index of the items goes to every task; it holds at most BLOCK_CHARS characters of items, and larger benchmarks are
 searched in blocks of that size.
 
-Cases: null, empty and blank texts match nothing; items shorter than min_chars after normalising (null ones too) are
-passed over, as are items too short for the lemma to bound anything; repeated items each give rows, repeated documents
+Cases: null, empty and blank texts match nothing; null, empty and blank items are passed over; repeated items each give rows, repeated documents
 too; an empty table on either side gives no match; null ids are carried; other columns are kept by the filter.
 """
 
@@ -28,6 +29,8 @@ from lacuna.llm.common import arrow_map, per_worker
 GRAM, EDIT_RATE, MIN_CHARS = 8, 0.1, 24
 #: The lemma is asked again with shorter q-grams, which bind more tightly, before an alignment.
 FINE_GRAM = 4
+#: Sizes of q-grams for items whose edits longer ones do not bound.
+SHORTER_GRAMS = (4, 2, 1)
 #: Characters of items in one index, and characters of documents hashed at once.
 BLOCK_CHARS, STREAM_CHARS = 4_000_000, 1_000_000
 #: No character.
@@ -43,6 +46,19 @@ def codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _joins(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word; scripts from U+2E80 on don't part words."""
+    return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+
+
+def find_whole(text: str, item: str, start: int, stop: int) -> int:
+    """Where the item first stands in the text, from start and up to stop, other than within a longer word; -1: nowhere."""
+    at = text.find(item, start, stop)
+    while at >= 0 and (at and _joins(text[at - 1], item[0]) or at + len(item) < len(text) and _joins(item[-1], text[at + len(item)])):
+        at = text.find(item, at + 1, stop)
+    return at
+
+
 def gram_hashes(points: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of each q-gram, by doubling for the powers of two in q."""
     with np.errstate(over="ignore"):
@@ -91,17 +107,26 @@ class ItemIndex:
 
     def __init__(self, ids: list, texts: list[str | None], gram: int, rate: float, min_chars: int):
         self.gram = gram
-        self.ids, self.items, self.texts, budgets, bounds = [], [], [], [], []
+        self.ids, self.items, self.texts, self.whole, budgets, bounds = [], [], [], [], [], []
+        others: dict[int, tuple[list, list]] = {}
         for item_id, text in zip(ids, texts, strict=True):
             text = normalize(text)
-            m = len(text)
-            e = min(math.floor(rate * m), (m - gram) // gram)
-            if m >= min_chars and e >= 0:
-                self.ids.append(item_id)
-                self.texts.append(text)
-                self.items.append(codes(text))
-                budgets.append(e)
-                bounds.append(m - gram + 1 - gram * e)
+            if not text:
+                continue
+            m, whole = len(text), len(text) < min_chars
+            e = 0 if whole else math.floor(rate * m)
+            fits = next(g for g in (gram, *SHORTER_GRAMS) if g <= gram and m - g + 1 - g * e > 0 or g == 1)
+            if fits < gram:
+                of_ids, of_texts = others.setdefault(fits, ([], []))
+                of_ids.append(item_id), of_texts.append(text)
+                continue
+            self.ids.append(item_id)
+            self.texts.append(text)
+            self.items.append(codes(text))
+            self.whole.append(whole)
+            budgets.append(e)
+            bounds.append(m - gram + 1 - gram * e)
+        self.others = [ItemIndex(*listed, fits, rate, min_chars) for fits, listed in others.items()]
         self.budgets, self.bounds = np.array(budgets, np.int64), np.array(bounds, np.int64)
         hashes = [gram_hashes(x, gram) for x in self.items]
         self.fine = [gram_hashes(x, FINE_GRAM) for x in self.items]
@@ -134,11 +159,9 @@ class ItemIndex:
 
     def search(self, texts: list[str | None]) -> list[tuple[int, object, int, int, int]]:
         """(row, item id, distance, start, end) of the best match of each document and item; offsets in the normalised text."""
-        if not self.items:
-            return []
         normal = [normalize(t) for t in texts]
-        out, at = [], 0
-        while at < len(normal):
+        out, at = [hit for index in self.others for hit in index.search(normal)], 0
+        while self.items and at < len(normal):
             until, size = at, 0
             while until < len(normal) and (until == at or size + len(normal[until]) <= STREAM_CHARS):
                 size += len(normal[until]) + 1
@@ -173,8 +196,9 @@ class ItemIndex:
                 continue
             text = texts[d]
             start, stop = max(0, low - e), min(len(text), low + 2 * (e + 1) + m + e)
-            if (exact := text.find(self.texts[i], start, stop)) >= 0:
+            if (exact := find_whole(text, self.texts[i], start, stop) if self.whole[i] else text.find(self.texts[i], start, stop)) >= 0:
                 best[d, i] = (0, exact, exact + m)
+            if exact >= 0 or self.whole[i]:
                 continue
             region, pad = codes(text[start:stop]), np.full(e, _NONE, np.uint32)
             shared = np.isin(self.fine[i], gram_hashes(region, FINE_GRAM)).sum()

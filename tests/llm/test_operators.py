@@ -204,6 +204,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df, items.limit(0)).count() == 0 == decontaminate.contaminated(empty(spark), items).count()
 
 
+def test_decontamination_takes_short_items_and_all_their_edits(spark):
+    thirty = "seven red stones lay in a river"[:30]
+    edited = thirty[:6] + "x" + thirty[7:14] + "x" + thirty[15:22] + "x" + thirty[23:]
+    items = spark.createDataFrame([(1, thirty), (2, "a red stone"), (3, "Fox"), (4, "é"), (5, " "), (6, "石頭")], "item_id long, text string")
+    texts = ["xx a Red  stone, yy", "a red stones", f"pp {edited} qq", "foxes, firefox", "the fox.", "fé é", "紅石頭們", "a red stono", "fooa red stone a red stone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in decontaminate.contaminated(df, items).collect())
+    assert got == [(0, 2, 0, 3, 14), (2, 1, 3, 3, 33), (4, 3, 0, 4, 7), (5, 4, 0, 3, 4), (6, 6, 0, 1, 3), (8, 2, 0, 15, 26)]
+
+
 def test_html(spark):
     page = '<nav>Menu</nav><div class="cookie-notice">We use the</div><article><h1>T &amp; U</h1><p>The main text of it is long enough\n to be <b>seen<br>here</b> and <script>var a="</p>"</script>now<p>Short.</p><div class=comments><p>The reader says</p></div></article><aside>x</aside><footer>f'
     rows = [(1, "u", page), (2, None, None), (3, "u", ""), (4, "u", "<p>unclosed <b"), (None, "u", "<p>plain</p>")]
