@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -40,20 +40,33 @@ def canonicalize(df: DataFrame, column: str = "text") -> DataFrame:
     return out.withColumn("text_sha", F.sha2(F.col("canonical_text").cast("binary"), 256))
 
 
+#: Elements summed at a time: the cost of a running sum grows with this times their number, not with its square.
+BLOCK = 256
+
+
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def sums_before(sizes: Column) -> Column:
+    """For each element of an array of ints, the sum of those before it."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    run = lambda part: F.aggregate(part, begin, lambda a, n: F.struct((a["at"] + n).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda i: run(F.slice(v, i * BLOCK + 1, F.lit(BLOCK))))
+    shifted = lambda parts: F.flatten(F.zip_with(parts, run(F.transform(parts, lambda p: p["at"]))["out"], lambda p, base: F.transform(p["out"], lambda n: n + base)))
+    return bind(sizes, lambda v: F.when(F.size(v) <= BLOCK, run(v)["out"]).otherwise(bind(blocks(v), shifted)))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """array<struct<start, end, text>> of all matches, in code points; the pattern must not match the empty string."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g")))
+    pairs = F.zip_with(found, gaps, lambda m, g: F.struct(m.alias("m"), F.length(g).alias("g"), F.length(m).alias("n")))
+    before = lambda v: sums_before(F.transform(v, lambda p: p["g"] + p["n"]))
+    span = lambda p, at: F.struct((at + p["g"]).alias("start"), (at + p["g"] + p["n"]).alias("end"), p["m"].alias("text"))
     none = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    begin = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + p["g"]
-        span = F.struct(start.alias("start"), (start + F.length(p["m"])).alias("end"), p["m"].alias("text"))
-        return F.struct((start + F.length(p["m"])).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
-
-    return F.when(text.rlike(pattern), F.aggregate(pairs, begin, step, lambda a: a["out"])).otherwise(none)
+    return F.when(text.rlike(pattern), bind(pairs, lambda v: F.zip_with(v, before(v), span))).otherwise(none)
 
 
 #: Where sentences part (fixed value): white space after an end mark, before a capital or a bracket.
@@ -65,9 +78,7 @@ def sentences(df: DataFrame, column: str = "canonical_text", base: Column | None
     text, base = F.col(column), F.lit(0) if base is None else base
     pieces = F.split(text, SENTENCE_BREAK, -1)
     breaks = F.concat(F.transform(F.regexp_extract_all(text, F.lit(SENTENCE_BREAK), F.lit(0)), lambda s: F.length(s)), F.array(F.lit(0)))
-    sized = F.zip_with(pieces, breaks, lambda p, b: F.struct(p.alias("p"), (F.length(p) + b).alias("n")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(sized, begin, lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+    starts = sums_before(F.zip_with(pieces, breaks, lambda p, b: F.length(p) + b))
     rows = df.select(*df.columns, F.posexplode(F.arrays_zip(pieces.alias("p"), starts.alias("s"))).alias("sent_idx", "x"))
     return rows.select(*df.columns, "sent_idx", F.col("x.p").alias("sentence"), (base + F.col("x.s")).alias("sent_start"), (base + F.col("x.s") + F.length("x.p")).alias("sent_end"))
 

@@ -35,6 +35,15 @@ def test_match_spans(spark, pattern):
         assert [(s.start, s.end, s.text) for s in row[0]] == [(m.start(), m.end(), m[0]) for m in re.finditer(pattern, t)]
 
 
+def test_running_sums_over_many_blocks(spark):
+    sizes = [[(7 * i) % 11 for i in range(n)] for n in (0, 1, T.BLOCK, T.BLOCK + 1, 5 * T.BLOCK + 3)]
+    df = spark.createDataFrame([(s,) for s in sizes], "s array<int>")
+    for s, row in zip(sizes, df.select(T.sums_before(F.col("s"))).collect(), strict=True):
+        assert row[0] == [sum(s[:i]) for i in range(len(s))]
+    text = "é1 " * (2 * T.BLOCK + 5)
+    assert [r.start for r in spark.createDataFrame([(text,)], "t string").select(T.match_spans(F.col("t"), r"\d")).first()[0]] == [m.start() for m in re.finditer(r"\d", text)]
+
+
 def test_sentences(spark):
     texts = [canonical(t) for t in TEXTS]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, canonical_text string")
