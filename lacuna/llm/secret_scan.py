@@ -3,7 +3,8 @@
 From each rule's regex a Boolean trigram query is derived: which trigrams (of the lower-cased text) any match must hold.
 The index keeps, for the trigrams that queries name, the texts that hold them. Postings are intersected and united as
 the query says, and the rule's regex verifies the candidate texts only. A rule without a mandatory trigram scans all.
-Texts are known to the index by a 64-bit hash, so copies share postings; a clash of hashes adds a candidate, no more.
+Rows are known to the index by a 64-bit hash of all their columns, so copies of a text under other ids have keys, and so
+tasks, of their own; a clash of hashes adds a candidate, no more.
 
 Cases: null texts count as empty and hold no secret; overlapping spans of several kinds are all reported, ordered by
 start, then kind; repeated rows are all returned; an empty table gives an empty result; other columns are ignored by the
@@ -19,6 +20,7 @@ from re import IGNORECASE, _constants as K, _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import bind, sums_before
 from lacuna.llm.common import fresh
 
 
@@ -67,6 +69,9 @@ def _join(op: str, parts) -> object:
         parts = [p for p in parts if p is not None]
     elif any(p is None for p in parts):
         return None
+    else:  # what another alternative implies adds nothing
+        needs = {p: trigrams_of(p) for p in parts if isinstance(p, str) or (p[0] == "and" and all(isinstance(q, str) for q in p[1]))}
+        parts = [p for p in parts if p not in needs or not any(needs[q] < needs[p] for q in needs)]
     return None if not parts else parts[0] if len(parts) == 1 else (op, tuple(parts))
 
 
@@ -128,25 +133,49 @@ def trigrams_of(query: object) -> set[str]:
     return set() if query is None else {query} if isinstance(query, str) else set().union(*map(trigrams_of, query[1]))
 
 
-def _holds(query: object, held: Column) -> Column:
-    if isinstance(query, str):
-        return F.array_contains(held, query)
-    parts = [_holds(q, held) for q in query[1]]
-    return reduce((lambda a, b: a & b) if query[0] == "and" else (lambda a, b: a | b), parts)
+#: Trigrams whose bits share one long.
+_BITS = 62
+
+
+def wanted_trigrams(rules: tuple[Rule, ...]) -> list[str]:
+    return sorted(set().union(*(trigrams_of(trigram_query(r.pattern, r.any_case)) for r in rules)))
+
+
+def _holds(query: object, places: dict[str, int]) -> Column:
+    """Whether the posting bits w0 .. of a key fulfil the query."""
+    needs = [0] * (len(places) // _BITS + 1)
+    parts = []
+    for q in [query] if isinstance(query, str) or query[0] == "or" else query[1]:
+        if isinstance(q, str):
+            needs[places[q] // _BITS] |= 1 << places[q] % _BITS
+        else:
+            parts.append(reduce(lambda a, b: a | b, (_holds(x, places) for x in q[1])) if q[0] == "or" else _holds(q, places))
+    parts += [F.col(f"w{i}").bitwiseAND(F.lit(n)) == n for i, n in enumerate(needs) if n]
+    return reduce(lambda a, b: a & b, parts)
 
 
 def build_index(texts: DataFrame, rules: tuple[Rule, ...] = RULES, key_col: str = "key", text_col: str = "text") -> DataFrame:
-    """Postings (trigram, key) of the trigrams that the rules' queries name."""
-    wanted = sorted(set().union(*(trigrams_of(trigram_query(r.pattern, r.any_case)) for r in rules)))
-    low = F.lower(F.col(text_col))
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in wanted))) if wanted else F.array().cast("array<string>")
-    return texts.select(F.col(key_col).alias("key"), F.explode(held).alias("trigram"))
+    """Postings (trigram, key) of the trigrams that the rules' queries name, a trigram as its place among wanted_trigrams."""
+    wanted = wanted_trigrams(rules)
+    # Step by step, so that the text is lower-cased once and the search for trigrams, as sums of bits, is compiled code.
+    low = texts.select(F.col(key_col).alias("key"), F.lower(F.col(text_col)).alias("low"))
+    bit = lambda i, t: F.when(F.contains("low", F.lit(t)), F.lit(1 << i)).otherwise(F.lit(0))
+    words = [reduce(lambda a, b: a + b, (bit(i, t) for i, t in enumerate(wanted[at : at + _BITS])), F.lit(0).cast("long")) for at in range(0, len(wanted), _BITS)]
+    held = low.select("key", F.array(*words).cast("array<bigint>").alias("words"))
+    places = F.filter(F.sequence(F.lit(0), F.lit(len(wanted) - 1)), lambda i: F.getbit(F.get("words", F.floor(i / _BITS).cast("int")), i % _BITS) == 1) if wanted else F.array().cast("array<int>")
+    return held.select("key", F.explode(places).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """key, mask: bit i is set if the text fulfils the query of rule i. Postings of a text meet by partial sums."""
-    held = index.groupBy("key").agg(F.collect_set("trigram").alias("held"))
-    bits = [F.when(_holds(q, F.col("held")), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules) if (q := trigram_query(r.pattern, r.any_case)) is not None]
+    """key, mask: bit i is set if the text fulfils the query of rule i.
+
+    The posting lists of all trigrams are intersected and united at once: each posting sets its trigram's bit at its key,
+    by partial sums, so the list of a frequent trigram is never gathered.
+    """
+    places = {t: i for i, t in enumerate(wanted_trigrams(rules))}
+    bit = lambda w: F.bit_or(F.when(F.floor(F.col("trigram") / _BITS) == w, F.expr(f"shiftleft(1L, cast(trigram % {_BITS} as int))")).otherwise(F.lit(0)))
+    held = index.groupBy("key").agg(*(bit(w).alias(f"w{w}") for w in range(len(places) // _BITS + 1)))
+    bits = [F.when(_holds(q, places), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules) if (q := trigram_query(r.pattern, r.any_case)) is not None]
     mask = reduce(lambda a, b: a + b, bits) if bits else F.lit(0)
     return held.select("key", mask.cast("long").alias("mask")).where("mask > 0")
 
@@ -165,9 +194,10 @@ def matches(text: Column, rule: Rule) -> Column:
         rows = F.zip_with(rows, F.regexp_extract_all(text, rx, F.lit(rule.group)), lambda r, g: F.struct(r["gap"].alias("gap"), r["size"].alias("size"), F.length(g).alias("part")))
     else:
         rows = F.transform(rows, lambda r: F.struct(r["gap"].alias("gap"), r["size"].alias("size"), r["size"].alias("part")))
+    before = lambda v: sums_before(F.transform(v, lambda r: r["gap"] + r["size"]))
+    span = lambda r, at: F.struct((at + r["gap"]).alias("start"), (at + r["gap"] + r["size"]).alias("end"), r["part"].alias("part"))
+    spans = bind(rows, lambda v: F.zip_with(v, before(v), span))
     none = F.array().cast("array<struct<start:int,end:int,part:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    spans = F.aggregate(rows, start, lambda a, r: F.struct((a["at"] + r["gap"] + r["size"]).alias("at"), F.concat(a["out"], F.array(F.struct((a["at"] + r["gap"]).alias("start"), (a["at"] + r["gap"] + r["size"]).alias("end"), r["part"].alias("part")))).alias("out")), lambda a: a["out"])
     return F.when(text.rlike(rule.java), F.filter(spans, lambda s: s["part"] >= rule.least)).otherwise(none)
 
 
@@ -178,7 +208,7 @@ def _ranked(spans: Column, rank: int) -> Column:
 def _with_spans(docs: DataFrame, text_col: str, out: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with out: array<struct<start, rank, end>> of all rules' matches, by start, then rule."""
     key, mask, other = (fresh(docs, n) for n in ("lacuna_key", "lacuna_mask", "lacuna_other"))
-    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    keyed = docs.withColumn(key, F.xxhash64(*(F.to_json(F.struct(f"`{f.name}`")) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema)))
     index = build_index(keyed.select(F.col(key).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), rules)
     found = candidates(index, rules).select(F.col("key").alias(other), F.col("mask").alias(mask))
     joined = keyed.join(found, F.col(key) == F.col(other), "left")
