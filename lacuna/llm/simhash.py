@@ -1,12 +1,13 @@
 """SimHash near-duplicates over vantage-point trees.
 
 Each text gets a fingerprint of 64 bits a word (word k: XXH64 of its shingles with seed 42 + k; a bit is 1 if set in
-over half of the hashes). The query counts a shingle as often as it occurs, the filter once a text. Distinct fingerprints are searched for pairs within max_bits in vantage-point shards: for
-max_bits of 3 the 64 bits are halved, since two fingerprints that differ in at most 3 bits differ in at most 1 in one of
-the halves, and each half has its own tree with radius 1, where triangle bounds prune well; wider radii search one tree
-over all bits. A shard joins its pairs in memory and gives out a star for each local component, never all pairs;
-distributed star rounds then connect the shards. Trees are fitted to a bounded sample of the distinct fingerprints; all
-fingerprints are routed.
+over half of the hashes). The query counts a shingle as often as it occurs, the filter once a text. Distinct fingerprints
+are searched for pairs within max_bits in vantage-point shards: for max_bits of 3 the 64 bits are halved, since two
+fingerprints that differ in at most 3 bits differ in at most 1 in one of the halves, and each half has its own tree with
+radius 1, where triangle bounds prune well; wider radii search one tree over all bits. A shard of more than CELL
+fingerprints is cut into cells, CELL members against CELL visitors, so no task grows with a shard. A cell joins its pairs
+in memory and gives out a star for each local component, never all pairs; distributed star rounds then connect the cells.
+Trees are fitted to a bounded sample of the distinct fingerprints; all fingerprints are routed.
 
 Cases: null and blank texts have fingerprint 0, linked like any other; fewer words than a shingle: the whole sequence is
 one; repeated rows link; null ids are no candidates for component_id (a component of null ids only has a null one);
@@ -29,8 +30,11 @@ from lacuna.llm.components import connected_components
 from lacuna.llm.vptree import Links, VPTree, link_leaf
 
 SEED = 42
-#: Distinct fingerprints that the trees are fitted to, at most, and those aimed at in a leaf.
-TREE_SAMPLE, LEAF_AIM, MAX_DEPTH = 20_000, 4_000, 11
+#: Distinct fingerprints aimed at in a leaf; levels of a tree, at most (leaves beyond are larger and cut into cells); distinct fingerprints
+#: that a tree is fitted to: so many for each leaf, and so many at least.
+LEAF_AIM, MAX_DEPTH, LEAF_SAMPLE, LEAST_SAMPLE = 4_000, 14, 16, 20_000
+#: Members and visitors of a cell, about.
+CELL = 4_096
 _CHUNK = 50_000
 
 
@@ -131,7 +135,8 @@ def link_fingerprints(distinct: DataFrame, n: int, lanes: int, max_bits: int, si
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, n) / LEAF_AIM))))
     if max_bits > 3:
         depth = min(depth, 3)  # wide balls overlap most shards; deeper trees would only copy the queries
-    sample = distinct.orderBy(F.xxhash64(*names)).select(*names).limit(TREE_SAMPLE).toPandas().to_numpy(np.int64).reshape(-1, lanes).view(np.uint64)
+    size = max(LEAST_SAMPLE, LEAF_SAMPLE << depth)
+    sample = distinct.orderBy(F.xxhash64(*names)).select(*names).limit(size).toPandas().to_numpy(np.int64).reshape(-1, lanes).view(np.uint64)
     trees = [(mask, radius, VPTree(np.unique(sample & mask, axis=0), depth)) for mask, radius in _trees(lanes, max_bits)]
     band = -math.log(size_ratio) if size_ratio else None
 
@@ -152,20 +157,39 @@ def link_fingerprints(distinct: DataFrame, n: int, lanes: int, max_bits: int, si
 
         return step
 
-    def link(key, group: pd.DataFrame) -> pd.DataFrame:
+    def link(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         mask, radius, _ = trees[int(key[0]) % len(trees)]
         points = np.ascontiguousarray(group[names].to_numpy(np.int64)).view(np.uint64)
-        fid, home, sizes = group["fid"].to_numpy(), group["home"].to_numpy(bool), group["shingles"].to_numpy()
+        fid, member, visitor, sizes = group["fid"].to_numpy(), group["member"].to_numpy(bool), group["visitor"].to_numpy(bool), group["shingles"].to_numpy()
         links, at = Links(len(group)), np.arange(len(group))
         ratio = (lambda a, b: np.minimum(sizes[a], sizes[b]) >= size_ratio * np.maximum(sizes[a], sizes[b])) if size_ratio else None
-        link_leaf(points[home], points, (radius, max_bits), links, at[home], at, mask, ratio)
+        link_leaf(points[member], points[visitor], (radius, max_bits), links, at[member], at[visitor], mask, ratio)
         roots = links.roots()
         far = roots != at
         return pd.DataFrame({"u": fid[far], "v": fid[roots[far]]})
 
     schema = ", ".join(["shard long, home boolean, fid long, shingles long", *(f"{c} long" for c in names)])
-    visits = arrow_map(distinct.select("fid", "shingles", *names), route, schema)
-    return visits.groupBy("shard").applyInPandas(link, "u long, v long")
+    visits = materialize(arrow_map(distinct.select("fid", "shingles", *names), route, schema), "visits")
+    return in_cells(visits).groupBy("shard", "cell").applyInPandas(link, "u long, v long")
+
+
+def in_cells(visits: DataFrame) -> DataFrame:
+    """visits (shard, home, fid ..) with cell, member and visitor for home: each home row meets each row of its shard in one cell.
+
+    A shard of up to CELL home rows and CELL rows is one cell. Others are a grid: a home row is a member of a row of cells,
+    and any row a visitor of a column, both by a hash of fid. Only shards, counted with partial sums, are joined.
+    """
+    parts = lambda n: F.ceil(n / CELL).cast("int")
+    sizes = visits.groupBy("shard").agg(parts(F.count_if("home")).alias("down"), parts(F.count("*")).alias("across")).where("across > 1")
+    row, column = F.pmod(F.xxhash64("fid"), "down").cast("int"), F.pmod(F.xxhash64("fid", F.lit(1)), "across").cast("int")
+    cell = lambda at, member, visitor: F.struct(at.alias("cell"), member.alias("member"), visitor.alias("visitor"))
+    counted = lambda n: F.sequence(F.lit(0), n - 1)
+    as_member = F.when(F.col("home"), F.transform(counted(F.col("across")), lambda j: cell(row * F.col("across") + j, F.lit(True), F.lit(False))))
+    as_visitor = F.when(F.col("down") > 0, F.transform(counted(F.col("down")), lambda i: cell(i * F.col("across") + column, F.lit(False), F.lit(True))))
+    none = F.array().cast("array<struct<cell:int,member:boolean,visitor:boolean>>")
+    cells = F.when(F.col("across").isNull(), F.array(cell(F.lit(0), F.col("home"), F.lit(True)))).otherwise(F.concat(F.coalesce(as_member, none), F.coalesce(as_visitor, none)))
+    spread = visits.join(sizes, "shard", "left").withColumn("x", F.explode(cells))
+    return spread.select("x.*", *(c for c in visits.columns if c != "home"))
 
 
 def simhash_components(prints: DataFrame, lanes: int, max_bits: int, size_ratio: float | None = None) -> DataFrame:
