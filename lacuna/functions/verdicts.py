@@ -1,7 +1,7 @@
 """Typed verdicts on one candidate text for one checklist field, as Column expressions without joins or Python code.
 
 verdict(text, field) gives struct<verdict, code, value>. Triggers (vague or deferred wording) aren't part of it. A null
-text is a missing candidate: absent. Meant for sentences: on whole long texts the look at what stands before each number
+text is a missing candidate: absent. Meant for sentences: in a long text the look at all that stands before each number
 is slow.
 """
 
@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lacuna.functions.text import match_spans
 from lacuna.plans.pack import Field
 
 # How numbers, units and separators are written.
@@ -31,10 +32,16 @@ STATED = {
     "relative_centrifugal_force": [("", NUMBER, r"\s*[×x✕*]\s*g\b")],
     "time_or_mass": [("", NUMBER, _TIME), ("", NUMBER, _MASS)],
 }
+# A unit without a number; the two forms of a range.
 _UNIT_ONLY = {"relative_centrifugal_force": r"\brcf\b"}
 _RANGE_FORMS = (r"({low})\s*(?:–|—|-|\bto\b)\s*", r"\b(?:between|from)\s+({low})\s+(?:and|to)\s+")
-#: What is added to a stated number to have it in the checklist's unit; dimensions not named here aren't checked.
-TO_UNIT = {"temperature": 273.15, "fraction": 0.0, "count": 0.0, "relative_centrifugal_force": 0.0}
+# What is added to a stated number of a dimension to have it in a unit. Other pairs aren't checked against a range.
+TO_UNIT = {
+    ("temperature", "K"): 273.15,
+    ("fraction", "percent"): 0.0,
+    ("count", "cells"): 0.0,
+    ("relative_centrifugal_force", "g_rcf"): 0.0,
+}
 # Words that state an enumerated value besides the value itself.
 SURFACE = {
     "Mus musculus": (r"\bmice\b", r"\bmouse\b", r"\bmurine\b", r"\bMus\s+musculus\b"),
@@ -64,8 +71,8 @@ EVIDENCE = {
     "xenograft.tumour_measurement_method": ((r"\bcalip", True), (r"(?:length|L)\s*[×x*]\s*(?:width|W)", True), (r"width\s*\^?\s*2|W\s*\^?\s*2|W²", True), ("tumou?r volume.{0,40}(?:calculat|determin|formula|=)", True), (r"\b(?:bioluminescen|IVIS|micro-?CT|MRI|ultrasound)\w*", True)),
     "cellline.name": ((r"\b[A-Z][A-Za-z]{0,6}[- ]?\d{1,4}[A-Za-z]?\b", False), (r"\b(?:HeLa|Jurkat|Vero|Raji|K562|MCF7|A549|PC3|LNCaP)\b", False), (r"cell line[s]?\s+(?:named|designated|called)", True)),
 }
-#: No letter in the run of letters, digits and hyphens left of a number, and no digit right before it.
-_FREE = r"(?=\d)(?<!\d)(?<![\p{L}\p{N}-]{0,40}\p{L}[\p{L}\p{N}-]{0,40})"
+#: A letter in the run of letters, digits and hyphens that ends here.
+_IN_NAME = r"\p{L}[\p{L}\p{N}-]*$"
 
 
 def _any(tests: list[Column]) -> Column:
@@ -90,10 +97,18 @@ def _flags(dimension: str) -> str:
     return "(?U)" if dimension == "concentration" else "(?iU)"
 
 
+def _tokens(text: Column, flags: str, before: str, n: str, after: str) -> Column:
+    """array<string> of the numbers of one way to state a dimension, but for those within names such as EC109."""
+    pattern = f"{flags}{before}({n}){after}"
+    lead = lambda m: F.length(F.regexp_extract(m, f"{flags}^{before}", 0)) if before else F.lit(0)
+    found = F.zip_with(match_spans(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x, t: F.struct((x["start"] + lead(x["text"])).alias("at"), t.alias("t")))
+    kept = F.filter(found, lambda x: ~F.substring(text, F.lit(1), x["at"]).rlike(_IN_NAME))
+    return F.when(text.rlike(pattern), F.transform(kept, lambda x: x["t"])).otherwise(F.array().cast("array<string>"))
+
+
 def stated_values(text: Column, dimension: str) -> Column:
-    """array<double> of what the text states of a dimension; numbers within names such as EC109 don't count."""
-    found = [F.regexp_extract_all(text, F.lit(f"{_flags(dimension)}{before}{_FREE}({n}){after}"), F.lit(1)) for before, n, after in STATED[dimension]]
-    return F.transform(F.concat(*found), number)
+    """array<double> of what the text states of a dimension; numbers within names such as EC109 or B1.5 don't count."""
+    return F.transform(F.concat(*(_tokens(text, _flags(dimension), *way) for way in STATED[dimension])), number)
 
 
 def states_range(text: Column, dimension: str) -> Column:
@@ -101,9 +116,9 @@ def states_range(text: Column, dimension: str) -> Column:
     tests = []
     for before, n, after in STATED[dimension]:
         for form in _RANGE_FORMS:
-            pattern = F.lit(f"(?iU){form.replace("{low}", NUMBER)}(?:{before}({n}){after})")
-            ends = F.zip_with(F.regexp_extract_all(text, pattern, F.lit(1)), F.regexp_extract_all(text, pattern, F.lit(2)), lambda a, b: F.coalesce(number(a) < number(b), F.lit(False)))
-            tests.append(F.exists(ends, lambda x: x))
+            pattern = f"(?iU){form.replace('{low}', NUMBER)}(?:{before}({n}){after})"
+            ends = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)), lambda a, b: F.coalesce(number(a) < number(b), F.lit(False)))
+            tests.append(text.rlike(pattern) & F.exists(ends, lambda x: x))
     return _any(tests)
 
 
@@ -121,14 +136,17 @@ def quantity(text: Column, f: Field) -> Column:
     if f.dimension not in STATED:
         return F.when(percent, wrong("GAP_DIMENSION_MISMATCH")).otherwise(wrong("GAP_UNPARSEABLE"))
     values = stated_values(text, f.dimension)
-    found = (F.size(values) > 0) | text.rlike("(?iU)" + _UNIT_ONLY.get(f.dimension, r"(?!)"))
+    unit_only = text.rlike("(?iU)" + _UNIT_ONLY.get(f.dimension, r"(?!)"))
+    found = (F.size(values) > 0) | unit_only
     plausible = F.lit(True)
-    if f.low is not None and f.dimension in TO_UNIT:
-        add = TO_UNIT[f.dimension]
+    if f.low is not None and (f.dimension, f.canonical_unit) in TO_UNIT:
+        add = TO_UNIT[f.dimension, f.canonical_unit]
         plausible = (F.size(values) == 0) | F.exists(values, lambda v: F.coalesce((v + add).between(f.low, f.high), F.lit(False)))
     rpm = text.rlike(rf"(?iU){NUMBER}\s*rpm\b") & F.lit(f.dimension == "relative_centrifugal_force")
     out = F.when(states_range(text, f.dimension), wrong("GAP_RANGE_NOT_POINT")).when(found & plausible, _OK("FIELD_OK")).when(found, wrong("GAP_OUT_OF_RANGE"))
-    return out.when(rpm | percent, wrong("GAP_DIMENSION_MISMATCH")).otherwise(_ABSENT())
+    out = out.when(rpm | percent, wrong("GAP_DIMENSION_MISMATCH")).otherwise(_ABSENT())
+    # Nothing but a unit of its own can be stated without a digit.
+    return F.when(text.rlike(r"(?U)\d"), out).when(unit_only, _OK("FIELD_OK")).otherwise(_ABSENT())
 
 
 def enum_value(text: Column, values: tuple[str, ...]) -> Column:

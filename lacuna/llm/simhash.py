@@ -170,7 +170,9 @@ def link_fingerprints(distinct: DataFrame, n: int, lanes: int, max_bits: int, si
 
     schema = ", ".join(["shard long, home boolean, fid long, shingles long", *(f"{c} long" for c in names)])
     visits = materialize(arrow_map(distinct.select("fid", "shingles", *names), route, schema), "visits")
-    return in_cells(visits).groupBy("shard", "cell").applyInPandas(link, "u long, v long")
+    # Comparing costs much more than the rows' bytes tell, so the number of tasks follows the rows, not their bytes.
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (CELL // 2))
+    return in_cells(visits).repartition(tasks, "shard", "cell").groupBy("shard", "cell").applyInPandas(link, "u long, v long")
 
 
 def in_cells(visits: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
 from lacuna.operators import anchors, cache, retrieve, score
-from lacuna.plans.pack import STARTER, keyword_frame, pack_frame
+from lacuna.functions import verdicts as V
+from lacuna.plans.pack import STARTER, Field, keyword_frame, pack_frame
 
 
 def canonical(raw):
@@ -160,3 +161,10 @@ def test_verdicts(spark):
         df = spark.createDataFrame(rows, "i int, t string").select("i", verdict(F.col("t"), by_id[name]).alias("v"))
         for r in df.collect():
             assert r.v.code == QUANTITY_CASES[r.i][2], QUANTITY_CASES[r.i]
+
+
+def test_numbers_within_names_and_units_of_other_checklists(spark):
+    volume, count, celsius = (Field("x.y", "quantity", d, *r, canonical_unit=u) for d, r, u in (("volume", (), None), ("count", (), None), ("temperature", (20.0, 42.0), "C")))
+    cases = [("B1.5 ml tubes", volume, "GAP_ABSENT"), ("A1,000 cells", count, "GAP_ABSENT"), ("a 1.5 ml tube", volume, None), ("kept at 37 °C", celsius, None), ("kept at 900 °C", celsius, None), ("B1.5 ml tubes of 2 ml", volume, None), ("passage number 12 of X", count, None), ("x" * 60 + "5 ml", volume, "GAP_ABSENT")]
+    for text, f, code in cases:
+        assert spark.createDataFrame([(text,)], "t string").select(V.verdict(F.col("t"), f).alias("v")).first().v.code == code, text
