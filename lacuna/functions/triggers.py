@@ -3,46 +3,44 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lacuna.functions import verdicts as V
 from lacuna.functions.headings import CATEGORIES, first_place
-from lacuna.functions.text import match_spans
+from lacuna.functions.text import bind, match_spans
 from lacuna.plans.pack import Field
 
 ANY = ("*",)
-_TIMES, _GROWTH, _ENDPOINT = ("time", "time_or_mass"), ("time", "time_or_mass", "count"), ("time", "volume")
-# Vague terms with the dimensions they can stand for.
-QUALITATIVE = {
+# What vague terms stand in for, dimensions or types; first by the term, else by the list it stands in.
+TERM_FILLS = {
     "high speed": ("relative_centrifugal_force",),
     "low speed": ("relative_centrifugal_force",),
     "maximum speed": ("relative_centrifugal_force",),
     "full speed": ("relative_centrifugal_force",),
-    "briefly": _TIMES,
-    "quickly": _TIMES,
-    "rapidly": _TIMES,
-    "gently": ("agitation",),
-    "thoroughly": ("agitation",),
-    "as needed": ANY,
-    "appropriate": ANY,
-    "standard conditions": ANY,
-    "routine conditions": ANY,
+    "briefly": ("time", "time_or_mass"),
+    "quickly": ("time", "time_or_mass"),
+    "rapidly": ("time", "time_or_mass"),
     "room temperature": ("temperature",),
     "on ice": ("temperature",),
+    "gently": ("agitation",),
+    "thoroughly": ("agitation",),
+    "overnight": ("time", "time_or_mass"),
+    "until confluent": ("time", "time_or_mass", "count"),
+    "to confluence": ("time", "time_or_mass", "count"),
+    "log phase": ("time", "time_or_mass", "count"),
+    "logarithmic growth": ("time", "time_or_mass", "count"),
+    "exponential phase": ("time", "time_or_mass", "count"),
+    "until endpoint": ("time", "volume"),
+    "until the desired": ("time", "volume"),
+    "when tumours became palpable": ("time", "volume"),
 }
-RELATIVE = {
-    "overnight": _TIMES,
-    "until confluent": _GROWTH,
-    "to confluence": _GROWTH,
-    "log phase": _GROWTH,
-    "logarithmic growth": _GROWTH,
-    "exponential phase": _GROWTH,
-    "until the desired": _ENDPOINT,
-    "when tumours became palpable": _ENDPOINT,
-    "until endpoint": _ENDPOINT,
-}
+LIST_FILLS = {"qualitative_quantity": ANY, "relative_condition": ("time", "time_or_mass", "count", "volume")}
+# The starter lexicon's two lists.
+QUALITATIVE = ("high speed", "low speed", "maximum speed", "full speed", "briefly", "quickly", "rapidly", "gently", "thoroughly", "as needed", "appropriate", "standard conditions", "routine conditions", "room temperature", "on ice")
+RELATIVE = ("overnight", "until confluent", "to confluence", "log phase", "logarithmic growth", "exponential phase", "until the desired", "when tumours became palpable", "until endpoint")
 # Deferrals to another text, which can stand for these types, and to a display, which can stand for anything.
 TO_REFERENCE = (
     r"as\s+(?:previously\s+)?described",
@@ -68,45 +66,68 @@ def _terms(terms) -> str:
     return r"(?iU)\b(?:" + "|".join(rf"\Q{t}\E" for t in sorted(terms, key=len, reverse=True)) + r")\b"
 
 
-_PATTERNS = {"qualitative_quantity": _terms(QUALITATIVE), "relative_condition": _terms(RELATIVE), "deferred_reference": "(?iU)" + "|".join(TO_REFERENCE), "deferred_display": "(?iU)" + "|".join(TO_DISPLAY)}
 _CODES = {"qualitative_quantity": "GAP_VAGUE", "relative_condition": "GAP_VAGUE", "deferred_reference": "GAP_DEFERRED_TO_REF", "deferred_display": "GAP_DEFERRED_TO_DISPLAY"}
-SOME_TRIGGER = "|".join(f"(?:{p})" for p in _PATTERNS.values())
 
 
-def _fillable(family: str, f: Field) -> list[str] | None:
+@dataclass(frozen=True)
+class Lexicon:
+    """The two lists of vague terms; an empty list matches nothing."""
+
+    qualitative_quantity: tuple[str, ...] = QUALITATIVE
+    relative_condition: tuple[str, ...] = RELATIVE
+
+    def fills(self, family: str) -> dict[str, tuple[str, ...]]:
+        """term, in lower case -> what it stands in for."""
+        return {t.lower(): TERM_FILLS.get(t.lower(), LIST_FILLS[family]) for t in getattr(self, family, ())}
+
+    @property
+    def patterns(self) -> dict[str, str]:
+        lists = {family: _terms(terms) if (terms := getattr(self, family)) else "(?!)" for family in LIST_FILLS}
+        return lists | {"deferred_reference": "(?iU)" + "|".join(TO_REFERENCE), "deferred_display": "(?iU)" + "|".join(TO_DISPLAY)}
+
+
+STARTER_LEXICON = Lexicon()
+
+
+def _fillable(family: str, f: Field, lexicon: Lexicon) -> list[str] | None:
     """The family's terms that can stand for the field; None: whatever the family matches."""
     slot = {f.dimension, f.type}
     if family == "deferred_display" or (family == "deferred_reference" and slot & set(REFERENCE_FILLS)):
         return None
-    table = {"qualitative_quantity": QUALITATIVE, "relative_condition": RELATIVE}.get(family, {})
-    return [t for t, fills in table.items() if fills == ANY or slot & set(fills)]
-
+    return [] if family not in LIST_FILLS else [t for t, fills in lexicon.fills(family).items() if fills == ANY or slot & set(fills)]
 
-def _named(found: Column, terms: list[str]) -> Column:
-    return F.filter(found, lambda x: F.lower(x["text"]).isin(terms))
 
+def trigger_spans(text: Column, lexicon: Lexicon = STARTER_LEXICON) -> Column:
+    """struct of array<struct<start, end, text>>, one for each family of triggers, and breaks, the ends of clauses. The same for every field."""
+    some = text.rlike("|".join(f"(?:{p})" for p in lexicon.patterns.values()))
+    found = F.struct(*(match_spans(text, p).alias(family) for family, p in lexicon.patterns.items()), match_spans(text, CLAUSE_END).alias("breaks"))
+    return F.when(some, found)
 
-def _coded(found: Column, code: str) -> Column:
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(code).alias("code")))
 
+def triggers(spans: Column, f: Field, lexicon: Lexicon = STARTER_LEXICON) -> Column:
+    """array<struct<start, end, text, family>> of the triggers that can stand for the field, by place; spans: as of trigger_spans."""
 
-def triggers(text: Column, f: Field) -> Column:
-    """array<struct<start, end, text, code>> of the triggers that can stand for the field, by place."""
-    parts = []
-    for family, pattern in _PATTERNS.items():
-        terms = _fillable(family, f)
+    def of(family: str) -> Column | None:
+        terms = _fillable(family, f, lexicon)
         if terms == []:
-            continue
-        found = match_spans(text, pattern)
-        parts.append(_coded(found if terms is None else _named(found, terms), _CODES[family]))
-    return F.array_sort(F.concat(*parts))
+            return None
+        found = spans[family] if terms is None else F.filter(spans[family], lambda x: F.lower(x["text"]).isin(terms))
+        return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["text"].alias("text"), F.lit(family).alias("family")))
 
+    return F.array_sort(F.concat(*(c for c in map(of, _CODES) if c is not None)))
 
-def names_slot(text: Column, f: Field) -> Column:
-    """Whether a vague term in the text stands for the field's own slot, not for any."""
-    terms = [t for t, fills in (QUALITATIVE | RELATIVE).items() if fills != ANY and {f.dimension, f.type} & set(fills)]
-    inside = [F.exists(F.regexp_extract_all(text, F.lit(_PATTERNS[family]), F.lit(0)), lambda x: F.lower(x).isin(terms)) for family in ("qualitative_quantity", "relative_condition")]
-    return text.rlike(_terms(terms)) & (inside[0] | inside[1]) if terms else F.lit(False)
+
+def vague_terms(text: Column, lexicon: Lexicon = STARTER_LEXICON) -> Column:
+    """array<string> of the text's vague terms, in lower case. The same for every field."""
+    lists = [lexicon.patterns[family] for family in LIST_FILLS]
+    found = F.transform(F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in lists)), F.lower)
+    return F.when(text.rlike("|".join(f"(?:{p})" for p in lists)), found).otherwise(F.array().cast("array<string>"))
+
+
+def names_slot(terms: Column, f: Field, lexicon: Lexicon = STARTER_LEXICON) -> Column:
+    """Whether one of the vague terms stands for the field's own slot, not for any."""
+    own = [t for family in LIST_FILLS for t, fills in lexicon.fills(family).items() if fills != ANY and {f.dimension, f.type} & set(fills)]
+    return F.arrays_overlap(terms, F.array(*map(F.lit, own))) if own else F.lit(False)
 
 
 def clause(breaks: Column, length: Column, at: Column) -> Column:
@@ -130,21 +151,21 @@ def target(text: Column, f: Field) -> Column:
     return F.coalesce(*(first_place(text, p)["start"] for p in out), F.lit(None).cast("int"))
 
 
-def trigger_verdict(text: Column, f: Field) -> Column:
-    """struct<code, low, high> of the trigger that governs the field's clause, with the clause; null if none does.
+def trigger_verdict(text: Column, f: Field, lexicon: Lexicon = STARTER_LEXICON, spans: Column | None = None) -> Column:
+    """struct<code, low, high, text, family> of the trigger that governs the field's clause, with the clause; null if none does.
 
-    Without a target in the text any trigger governs; out of the target's clause only if one of them is a deferral.
+    Without a target in the text any trigger governs; out of the target's clause only if one of them is a deferral. spans:
+    a column of trigger_spans, for use with many fields.
     """
-    none = F.lit(None).cast("struct<code:string,low:int,high:int>")
-    clauses = F.transform(
-        F.array(F.struct(triggers(text, f).alias("t"), match_spans(text, CLAUSE_END).alias("b"), target(text, f).alias("at"))),
-        lambda z: F.struct(z["at"].alias("at"), F.transform(z["t"], lambda t: F.struct(t["code"].alias("code"), clause(z["b"], F.length(text), t["start"]).alias("c"))).alias("t")),
-    )
+    spans = trigger_spans(text, lexicon) if spans is None else spans
+    none = F.lit(None).cast("struct<code:string,low:int,high:int,text:string,family:string>")
 
     def choose(z: Column) -> Column:
-        inside = F.filter(z["t"], lambda t: z["at"].isNull() | ((t["c"]["low"] <= z["at"]) & (z["at"] < t["c"]["high"])))
-        deferred = F.exists(z["t"], lambda t: t["code"].startswith("GAP_DEFERRED"))
-        pick = F.try_element_at(F.when((F.size(inside) == 0) & deferred, z["t"]).otherwise(inside), F.lit(1))
-        return F.when(pick.isNotNull(), F.struct(pick["code"].alias("code"), pick["c"]["low"].alias("low"), pick["c"]["high"].alias("high")))
-
-    return F.when(text.rlike(SOME_TRIGGER), F.transform(clauses, choose)[0]).otherwise(none)
+        around = F.transform(z["t"], lambda t: F.struct(t.alias("t"), clause(spans["breaks"], F.length(text), t["start"]).alias("c")))
+        inside = F.filter(around, lambda x: z["at"].isNull() | ((x["c"]["low"] <= z["at"]) & (z["at"] < x["c"]["high"])))
+        deferred = F.exists(z["t"], lambda t: t["family"].startswith("deferred"))
+        return bind(F.try_element_at(F.when((F.size(inside) == 0) & deferred, around).otherwise(inside), F.lit(1)), lambda x: F.when(x.isNotNull(), F.struct(F.element_at(codes, x["t"]["family"]).alias("code"), x["c"]["low"].alias("low"), x["c"]["high"].alias("high"), x["t"]["text"].alias("text"), x["t"]["family"].alias("family"))))
+
+    codes = F.create_map(*(F.lit(x) for pair in _CODES.items() for x in pair))
+    found = F.struct(triggers(spans, f, lexicon).alias("t"), target(text, f).alias("at"))
+    return F.when(spans.isNotNull(), bind(found, choose)).otherwise(none)

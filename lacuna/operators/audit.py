@@ -51,11 +51,12 @@ def scopes(profiled: DataFrame, pack: tuple[Field, ...]) -> DataFrame:
     return rows.select("doc_id", "text_sha", "features", F.col("s.sub_idx").alias("scope"), "s.header", "s.start", "s.end", body.alias("scope_text"), "nodes")
 
 
-def _bearing(profiled: DataFrame, pack: tuple[Field, ...]) -> DataFrame:
+def _bearing(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon = G.STARTER_LEXICON) -> DataFrame:
     """doc_id, field_id (null: the heads of scopes), obs, anchor, head: the least option of each kind; and what the document carries."""
     rows = sentences(scopes(profiled, pack), "scope_text", F.col("start")).drop("scope_text", "start", "end")
     lead = F.length(F.regexp_extract("sentence", r"(?U)^\s*", 0))
     rows = rows.withColumn("body", strip(F.col("sentence"))).withColumn("low", F.lower("sentence")).withColumn("a_start", F.col("sent_start") + lead)
+    rows = rows.withColumn("vague", F.when(F.col("scope") == METHODS, G.vague_terms(F.col("sentence"), lexicon)))
     inner, whole = F.col("scope") >= 0, F.col("scope") == METHODS
     parts = []
     for f in pack:
@@ -64,7 +65,7 @@ def _bearing(profiled: DataFrame, pack: tuple[Field, ...]) -> DataFrame:
         if f.type == "quantity":
             usable = usable & F.col("sentence").rlike(r"(?U)\d")
         belongs = (category_hits(F.col("header"), _category(f)) > 0) if _category(f) in CATEGORIES else F.lit(False)
-        tier = F.when(inner & belongs & usable, 1).when(whole & usable, 2).when(whole & G.names_slot(F.col("sentence"), f), 3)
+        tier = F.when(inner & belongs & usable, 1).when(whole & usable, 2).when(whole & G.names_slot(F.col("vague"), f, lexicon), 3)
         level = F.when(F.col("scope") == node["sub_idx"], 0).when(whole, 1).when(F.col("scope") == DOCUMENT, 2)
         level = F.when((score > 0) & (F.length("body") > 0), level)
         parts.append(F.struct(F.lit(f.field_id).alias("field_id"), score.alias("score"), tier.alias("tier"), level.alias("level")))
@@ -105,7 +106,7 @@ def _by_field(pack: tuple[Field, ...], make) -> Column:
     return out
 
 
-def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
+def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON) -> DataFrame:
     """The gaps of each document, one at most a field: doc_id, field_ordinal, finding_id, field_id, code, start, end, text_sha, verdict, raw_text, sensitivity, detail.
 
     docs: doc_id (unique, not null), canonical_text, text_sha. A field without a candidate is absent and anchored at the
@@ -113,7 +114,7 @@ def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
     score, else the first substantive sentence; without any the finding is dropped. Null and empty texts have no findings.
     """
     profiled = study_profiles(docs.select("doc_id", "canonical_text", "text_sha"))
-    bearing = _observed(_bearing(profiled, pack))
+    bearing = _observed(_bearing(profiled, pack, lexicon))
     option_of = F.when(F.col("field_id").isNotNull(), F.struct("field_id", F.struct("obs", "anchor", "detector")))
     head_at = F.when(F.col("field_id").isNull(), F.struct("head_of", "head"))
     # at most one entry for each field and each scope of the document
@@ -122,7 +123,8 @@ def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
     option_here = F.try_element_at("options", F.col("field_id"))
     rows = rows.withColumn("obs", option_here["obs"]).withColumn("anchor", option_here["anchor"]).withColumn("detector", option_here["detector"]).drop("options")
     rows = rows.withColumn("node", _by_field(pack, lambda f: F.col(f"nodes.{_category(f)}"))).withColumn("raw", F.col("obs.raw_text"))
-    rows = rows.withColumn("trigger", _by_field(pack, lambda f: G.trigger_verdict(F.col("raw"), f))).withColumn("typed", _by_field(pack, lambda f: V.verdict(F.col("raw"), f)))
+    rows = rows.withColumn("spans", G.trigger_spans(F.col("raw"), lexicon))
+    rows = rows.withColumn("trigger", _by_field(pack, lambda f: G.trigger_verdict(F.col("raw"), f, lexicon, F.col("spans")))).withColumn("typed", _by_field(pack, lambda f: V.verdict(F.col("raw"), f)))
     rows = rows.withColumn("verdict", F.when(F.col("trigger").isNotNull(), F.lit("FIELD_UNRESOLVED")).otherwise(F.col("typed.verdict"))).withColumn("code", F.coalesce("trigger.code", "typed.code"))
     rows = rows.where(F.col("verdict").isin("FIELD_ABSENT", "FIELD_UNRESOLVED"))
 
