@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions import triggers as G
@@ -26,6 +26,16 @@ METHODS, DOCUMENT = -1, -2
 TITLE_WIDTH = 34
 
 
+#: Why a candidate, or the lack of one, is a gap, where no trigger says so.
+REASONS = {
+    "GAP_ABSENT": "nothing states the field",
+    "GAP_RANGE_NOT_POINT": "a range stands where one value is needed",
+    "GAP_OUT_OF_RANGE": "every stated value is outside the plausible range",
+    "GAP_DIMENSION_MISMATCH": "a value of another dimension is stated",
+    "GAP_UNPARSEABLE": "the field's type or dimension can't be read",
+}
+
+
 def _category(f: Field) -> str:
     return f.field_id.split(".")[0]
 
@@ -140,19 +150,21 @@ def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexi
     narrowed = F.coalesce((begin < end) & (end <= F.col("obs.sent_end")), F.lit(False))
     rows = rows.withColumn("start", F.when(narrowed, begin).otherwise(F.coalesce("obs.sent_start", "place.start")))
     rows = rows.withColumn("end", F.when(narrowed, end).otherwise(F.coalesce("obs.sent_end", F.col("place.start") + F.length("place.text"))))
-    detail = F.create_map(F.lit("detector"), F.col("detector"), F.lit("anchor_text"), F.col("place.text"), F.lit("anchor_detector"), F.when(F.col("place").isNotNull(), anchored))
+    reason = F.when(F.col("trigger").isNotNull(), F.concat(F.lit("'"), F.col("trigger.text"), F.lit("' ("), F.col("trigger.family"), F.lit(") occupies the "), F.col("field_id"), F.lit(" slot without supplying a value"))).otherwise(F.element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), F.col("code")))
+    phrase = F.when(narrowed, F.substring("raw", F.col("trigger.low") + 1, F.col("trigger.high") - F.col("trigger.low")))
+    detail = F.create_map(F.lit("reason"), reason, F.lit("phrase"), phrase, F.lit("detector"), F.col("detector"), F.lit("anchor_text"), F.col("place.text"), F.lit("anchor_detector"), F.when(F.col("place").isNotNull(), anchored))
     name = finding_id(F.col("doc_id"), F.col("text_sha"), F.col("start"), F.col("end"), F.col("field_id"), F.col("code"))
     return rows.select("doc_id", "field_ordinal", name.alias("finding_id"), "field_id", "code", "start", "end", "text_sha", "verdict", F.col("raw").alias("raw_text"), "sensitivity", F.map_filter(detail, lambda k, v: v.isNotNull()).alias("detail"))
 
 
-def reports(docs: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
+def reports(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON, version: str = VERSION) -> DataFrame:
     """A row for each document: doc_id, text_sha, field_pack_version, features, evidence and its findings, in the checklist's order."""
     columns = ["finding_id", "field_id", "code", "start", "end", "verdict", "raw_text", "sensitivity", "detail"]
-    found = findings(docs, pack).groupBy("doc_id").agg(F.collect_list(F.struct("field_ordinal", F.struct(*columns).alias("f"))).alias("found"))
+    found = findings(docs, pack, lexicon).groupBy("doc_id").agg(F.collect_list(F.struct("field_ordinal", F.struct(*columns).alias("f"))).alias("found"))
     in_order = F.array_sort("found", lambda a, b: a["field_ordinal"] - b["field_ordinal"])
     nested = found.select("doc_id", F.transform(in_order, lambda x: x["f"]).alias("findings"))
     profiled = study_profiles(docs.select("doc_id", "canonical_text", "text_sha"))
-    return profiled.join(nested, "doc_id", "left").select("doc_id", "text_sha", F.lit(VERSION).alias("field_pack_version"), "features", "evidence", F.coalesce("findings", F.array().cast(nested.schema["findings"].dataType)).alias("findings"))
+    return profiled.join(nested, "doc_id", "left").select("doc_id", "text_sha", F.lit(version).alias("field_pack_version"), "features", "evidence", F.coalesce("findings", F.array().cast(nested.schema["findings"].dataType)).alias("findings"))
 
 
 # The codes that each verdict can have; the other verdicts are no findings.
@@ -169,7 +181,49 @@ def illegal(found: DataFrame) -> DataFrame:
 
 
 def document_counts(found: DataFrame, pack_rows: DataFrame) -> DataFrame:
-    """doc_id, applicable, findings, absent, unresolved of each document that has an applicable field. pack_rows: as of applicable()."""
+    """doc_id, applicable, findings, ok, absent, unresolved of each document that has an applicable field. pack_rows: as of applicable().
+
+    ok: the rest of the applicable fields. Absent fields without an anchor have no finding and would count as ok; only
+    texts without a substantive sentence have such.
+    """
     due = pack_rows.groupBy("doc_id").agg(F.count("*").alias("applicable"))
     gaps = found.groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("verdict") == "FIELD_ABSENT").alias("absent"), F.count_if(F.col("verdict") == "FIELD_UNRESOLVED").alias("unresolved"))
-    return due.join(gaps, "doc_id", "left").fillna(0, ["findings", "absent", "unresolved"])
+    counted = due.join(gaps, "doc_id", "left").fillna(0, ["findings", "absent", "unresolved"])
+    return counted.select("doc_id", "applicable", "findings", (F.col("applicable") - F.col("findings")).alias("ok"), "absent", "unresolved")
+
+
+def span_text(text: Column, start: Column, end: Column) -> Column:
+    """The text of a span; null unless it is a forward one inside the text."""
+    return F.when((start >= 0) & (end > start) & (end <= F.length(text)), F.substring(text, start + 1, end - start))
+
+
+def acceptance(found: DataFrame, docs: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
+    """One row of checks that every set of findings must pass: legal, located, within, known, identified, explained, once_a_field; and findings."""
+    ids = F.array(*(F.lit(f.field_id) for f in pack))
+    rows = found.join(docs.select("doc_id", F.length("canonical_text").alias("n_text")), "doc_id", "left")
+    once = Window.partitionBy("doc_id", "field_id")
+    rows = rows.withColumn("of_field", F.count("*").over(once))
+    legal = reduce(lambda a, b: a | b, ((F.col("verdict") == v) & F.col("code").isin(*codes) for v, codes in LEGAL.items()))
+    name = finding_id(F.col("doc_id"), F.col("text_sha"), F.col("start"), F.col("end"), F.col("field_id"), F.col("code"))
+    has = lambda key: F.map_contains_key("detail", key)
+    checks = {"legal": legal, "located": (F.col("start") >= 0) & (F.col("end") > F.col("start")), "within": F.col("end") <= F.col("n_text"), "known": F.array_contains(ids, F.col("field_id")), "identified": F.col("finding_id") == name, "explained": has("reason") & (has("detector") | has("anchor_detector")), "once_a_field": F.col("of_field") == 1}
+    return rows.agg(*(F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True)).alias(n) for n, c in checks.items()), F.count("*").alias("findings"))
+
+
+def configurations(runs: DataFrame) -> DataFrame:
+    """One row: the distinct versions and models that reports were made with, sorted. runs: field_pack_version, model."""
+    return runs.agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in ("field_pack_version", "model")))
+
+
+def scoping_misses(profiled: DataFrame, absent: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
+    """doc_id, field_id, sentence, start: absent fields that some sentence of the methods window has keywords (and for quantities a digit) of.
+
+    absent: doc_id, field_id. The best sentence by score, the first on ties.
+    """
+    window = F.substring(F.col("canonical_text"), F.col("m_start") + 1, F.col("m_end") - F.col("m_start"))
+    rows = sentences(profiled.select("doc_id", "m_start", window.alias("window")), "window", F.col("m_start")).withColumn("low", F.lower("sentence"))
+    digit = F.col("sentence").rlike(r"(?U)\d")
+    hits = F.array(*(F.struct(F.lit(f.field_id).alias("field_id"), (F.when(digit, _score(F.col("low"), f)).otherwise(0) if f.type == "quantity" else _score(F.col("low"), f)).alias("score")) for f in pack))
+    flat = rows.select("doc_id", "sent_idx", "sent_start", "sentence", F.explode(F.filter(hits, lambda x: x["score"] > 0)).alias("x"))
+    best = flat.groupBy("doc_id", "x.field_id").agg(F.min(F.struct((-F.col("x.score")).alias("s"), "sent_idx", "sentence", "sent_start")).alias("b"))
+    return absent.select("doc_id", "field_id").join(best, ["doc_id", "field_id"]).select("doc_id", "field_id", strip(F.col("b.sentence")).alias("sentence"), F.col("b.sent_start").alias("start"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,3 +28,32 @@ def stats(looked_up: DataFrame) -> DataFrame:
     counts = looked_up.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"))
     total = F.col("hits") + F.col("misses")
     return counts.withColumn("hit_rate", F.when(total > 0, F.format_string("%.3f", F.col("hits") / total)).otherwise("n/a"))
+
+
+SCHEMA = "key string, response string"
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    """The table that path points at; empty, with a warning, if there is none that can be read."""
+    try:
+        at = spark.read.text(f"{path}/current").first()
+        table = spark.read.schema(SCHEMA).parquet(f"{path}/{at[0]}")
+        table.limit(1).count()
+        return table
+    except Exception as e:  # a cache that can't be read costs calls, never the run
+        print(f"cache {path} can't be read ({type(e).__name__}); going on with an empty one")
+        return spark.createDataFrame([], SCHEMA)
+
+
+def save(new: DataFrame, path: str) -> DataFrame:
+    """Merges new entries with what path points at now, writes the result beside it and only then moves the pointer."""
+    spark = new.sparkSession
+    name = f"table-{uuid.uuid4().hex}"
+    upsert(load(spark, path), new).write.parquet(f"{path}/{name}")
+    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
+    return spark.read.schema(SCHEMA).parquet(f"{path}/{name}")
+
+
+def path_for(model: str, folder: str = "cache") -> str:
+    """One cache a model, as equal prompts go to all of them."""
+    return f"{folder}/responses.{''.join(c if c.isalnum() or c in '-_.' else '_' for c in model)}"

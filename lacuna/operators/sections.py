@@ -47,3 +47,22 @@ def node_of(subs: Column, category: str) -> Column:
     pick = lambda r: F.when(F.size(r) == 0, none("node:det-none")).when(F.size(r) == 1, node(r[0]["i"], r[0]["t"], F.lit("node:det-unique"))).otherwise(node(r[0]["i"], r[0]["t"], F.concat(F.lit("node:det-first-of-"), F.size(r).cast("string"))))
     chosen = F.transform(F.array(ranked), pick)[0]
     return F.when(F.size(subs) == 0, none("node:no-subsections")).when(F.size(subs) == 1, node(subs[0]["sub_idx"], subs[0]["header"], F.lit("node:only-one"))).otherwise(chosen)
+
+
+def listed(docs: DataFrame, subs: DataFrame, text_col: str = "canonical_text") -> DataFrame:
+    """doc_id, titles, bodies of each document, in document order; empty arrays without subsections. docs: doc_id (unique), the text; subs: as of subsections()."""
+    rows = subs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sub_idx", "header", "start", "end"))).alias("subs"))
+    found = docs.select("doc_id", F.col(text_col).alias("t")).join(rows, "doc_id", "left")
+    body = lambda s: F.substring("t", s["start"] + 1, s["end"] - s["start"])
+    none = F.array().cast("array<string>")
+    return found.select("doc_id", F.coalesce(F.transform("subs", lambda s: s["header"]), none).alias("titles"), F.coalesce(F.transform("subs", body), none).alias("bodies"))
+
+
+def tree(docs: DataFrame, subs: DataFrame, text_col: str = "canonical_text") -> DataFrame:
+    """doc_id, node_id, parent_id, title, start, end: the document (0), its methods window (0.0) and the subsections (0.0.i).
+
+    docs: doc_id (unique), the text, m_start, m_end. The way up from a node is its id without the last parts.
+    """
+    node = lambda name, parent, title, a, b: F.struct(F.lit(name).alias("node_id"), F.lit(parent).cast("string").alias("parent_id"), F.lit(title).alias("title"), a.alias("start"), b.alias("end"))
+    top = docs.where(F.col(text_col).isNotNull()).select("doc_id", F.explode(F.array(node("0", None, "document", F.lit(0), F.length(text_col)), node("0.0", "0", "methods", F.col("m_start"), F.col("m_end")))).alias("x")).select("doc_id", "x.*")
+    return top.unionByName(subs.select("doc_id", F.concat(F.lit("0.0."), F.col("sub_idx").cast("string")).alias("node_id"), F.lit("0.0").alias("parent_id"), F.col("header").alias("title"), "start", "end"))
