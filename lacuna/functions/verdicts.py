@@ -72,7 +72,7 @@ EVIDENCE = {
     "cellline.name": ((r"\b[A-Z][A-Za-z]{0,6}[- ]?\d{1,4}[A-Za-z]?\b", False), (r"\b(?:HeLa|Jurkat|Vero|Raji|K562|MCF7|A549|PC3|LNCaP)\b", False), (r"cell line[s]?\s+(?:named|designated|called)", True)),
 }
 #: A letter in the run of letters, digits and hyphens that ends here.
-_IN_NAME = r"\p{L}[\p{L}\p{N}-]*$"
+_IN_NAME = r"\p{L}[\p{L}\p{N}-]*\z"
 
 
 def _any(tests: list[Column]) -> Column:
