@@ -117,8 +117,8 @@ def fields_cte(pack: tuple[Field, ...]) -> list[str]:
     ]
 
 
-def _applicable() -> list[str]:
-    return ["applies AS MATERIALIZED (SELECT c.doc_id, f.* FROM canon c CROSS JOIN fields f WHERE NOT EXISTS (SELECT 1 FROM gates g WHERE g.field_id = f.field_id AND g.kind = 'all' AND NOT EXISTS (SELECT 1 FROM features x WHERE x.doc_id = c.doc_id AND x.feature = g.feature)) AND (NOT EXISTS (SELECT 1 FROM gates g WHERE g.field_id = f.field_id AND g.kind = 'any') OR EXISTS (SELECT 1 FROM gates g JOIN features x ON x.feature = g.feature WHERE g.field_id = f.field_id AND g.kind = 'any' AND x.doc_id = c.doc_id)))"]
+def applicable_cte(documents: str = "canon") -> str:
+    return f"applies AS MATERIALIZED (SELECT c.doc_id, f.* FROM {documents} c CROSS JOIN fields f WHERE NOT EXISTS (SELECT 1 FROM gates g WHERE g.field_id = f.field_id AND g.kind = 'all' AND NOT EXISTS (SELECT 1 FROM features x WHERE x.doc_id = c.doc_id AND x.feature = g.feature)) AND (NOT EXISTS (SELECT 1 FROM gates g WHERE g.field_id = f.field_id AND g.kind = 'any') OR EXISTS (SELECT 1 FROM gates g JOIN features x ON x.feature = g.feature WHERE g.field_id = f.field_id AND g.kind = 'any' AND x.doc_id = c.doc_id)))"
 
 
 def sentence_cte(source: str) -> list[str]:
@@ -231,7 +231,7 @@ def _findings() -> list[str]:
 
 _SCOPES = "scopes AS (SELECT s.doc_id, s.sub_idx AS scope, s.header, s.s AS base, substr(m.t, s.s + 1, s.e - s.s) AS body FROM subs s JOIN methods m USING (doc_id) UNION ALL SELECT doc_id, -1, 'methods', m_start, substr(t, m_start + 1, m_end - m_start) FROM methods UNION ALL SELECT doc_id, -2, 'document', 0, t FROM methods)"
 _TIDY = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"""
-_STEPS = {"profile": [*_window(), *_profile()], "sections": _sections(), "applicable": _applicable(), "sentences": [_SCOPES, *sentence_cte("scopes")], "candidates": _candidates(), "verdicts": [*typed_cte("(SELECT x, field_id FROM obs)"), *trigger_cte()], "findings": _findings()}
+_STEPS = {"profile": [*_window(), *_profile()], "sections": _sections(), "applicable": [applicable_cte()], "sentences": [_SCOPES, *sentence_cte("scopes")], "candidates": _candidates(), "verdicts": [*typed_cte("(SELECT x, field_id FROM obs)"), *trigger_cte()], "findings": _findings()}
 DOCUMENTS = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, text FROM documents"
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from lacuna.functions import text as T
 from lacuna.functions import verdicts as V
 from lacuna.operators import anchors, audit, cache, profile, retrieve, score, sections, structure
+from lacuna.plans import audit_sql as A
+from lacuna.plans import planted_queries
 from lacuna.plans.pack import STARTER, keyword_frame, pack_frame
 
 ALWAYS = tuple(f for f in STARTER if not f.all_of and not f.any_of)
@@ -38,7 +40,7 @@ def applicable_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieve.ranked_candidates(_docs(spark, sf_dir), ALWAYS).select("doc_id", "field_id", *(F.col(c).cast("long").alias(c) for c in ("score", "sent_idx", "rank")))
+    return retrieve.ranked_candidates(_docs(spark, sf_dir)).select("doc_id", "field_id", *(F.col(c).cast("long").alias(c) for c in ("score", "sent_idx", "rank")))
 
 
 def absence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,12 +137,11 @@ def subsection_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole audit by the starter checklist."""
-    found = audit.findings(_docs(spark, sf_dir))
-    return found.select("doc_id", "finding_id", "field_id", "code", "verdict", "raw_text", "sensitivity", *(F.col(c).cast("long").alias(c) for c in ("field_ordinal", "start", "end")), F.to_json("detail").alias("detail"))
+    return planted_queries.told(audit.findings(_docs(spark, sf_dir)))
 
 
 _NAMES = (study_profile, subsection_tree, gap_findings, relevance_gate, quantity_verdict, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
-QUERIES = {f.__name__: f for f in _NAMES}
+QUERIES = {f.__name__: f for f in _NAMES} | planted_queries.QUERIES
 
 _CANON = r"""canon AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)"""
 _PLANTED = """p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'stats.test_named' ELSE 'stats.replicate_type' END AS field_id, CASE WHEN doc_id % 5 = 0 THEN 'GAP_VAGUE' ELSE 'GAP_ABSENT' END AS code, 100 + doc_id % 31 AS start FROM documents),
@@ -170,3 +171,28 @@ ORACLE_SQL = {
     "anchor_resolve": f"WITH {_CANON}, q AS (SELECT item_id AS anchor_id, regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS a FROM benchmark) SELECT doc_id, anchor_id, CAST(strpos(t, a) - 1 AS BIGINT) AS start, CAST(strpos(t, a) - 1 + length(a) AS BIGINT) AS \"end\" FROM canon, q WHERE a <> '' AND strpos(t, a) > 0",
     "running_headers": rf"WITH {_CANON}, l AS (SELECT doc_id, string_split(t, chr(10)) AS a FROM canon), x AS (SELECT doc_id, i, a[i] AS line FROM l, unnest(range(1, len(a) + 1)) AS u(i)), y AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM x), k AS (SELECT doc_id, regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\d+', '#', 'g') AS key, s FROM y), z AS (SELECT doc_id, key, s - lag(s) OVER (PARTITION BY doc_id, key ORDER BY s) AS gap FROM k WHERE key <> ''), h AS (SELECT doc_id, key, count(*) AS hits, avg(gap) AS m, stddev_pop(gap) AS d FROM z GROUP BY doc_id, key) SELECT doc_id, key, hits, round(m, 6) AS mean_gap FROM h WHERE hits >= 3 AND m > 0 AND d <= 0.35 * m",
 }
+
+_ON_DOCS = ("scopes AS (SELECT doc_id, -2 AS scope, 'document' AS header, 0 AS base, t AS body FROM canon)", *A.sentence_cte("scopes"))
+_SCORED = (*_ON_DOCS, "low AS MATERIALIZED (SELECT *, lower(st) AS w, regexp_replace(st, '^\\s+|\\s+$', '', 'g') AS body, length(regexp_extract(st, '^\\s*')) AS lead FROM sents)", "scores AS MATERIALIZED (SELECT s.doc_id, k.field_id, s.sent_idx, s.st, s.s, s.body, s.lead, sum(k.weight) AS score FROM low s JOIN keywords k ON contains(s.w, k.kw) GROUP BY ALL)")
+_RANKED = "SELECT doc_id, field_id, CAST(score AS BIGINT) AS score, CAST(sent_idx AS BIGINT) AS sent_idx, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY score DESC, sent_idx) AS rank FROM scores JOIN fields USING (field_id) WHERE type <> 'quantity' OR regexp_matches(st, '\\d')"
+_SPAN = lambda k: f"'\"{k}\":{{\"start\":' || (base + {k}.s) || ',\"end\":' || (base + {k}.e) || '}}'"
+_EVERY = (*A.FEATURES, "has_wet_lab")
+_GATES = "features AS (" + " UNION ALL ".join(f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, '{name}' AS feature FROM documents WHERE doc_id % {k} = 0" for name, k in (("has_animals", 2), ("has_cell_lines", 3), ("has_wet_lab", 5), ("has_ihc", 7))) + ")"
+_ABSENT = (
+    "best AS (SELECT doc_id, field_id, s + lead AS a, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY score DESC, sent_idx) AS r FROM scores WHERE body <> '') WHERE r = 1)",
+    "head AS (SELECT doc_id, s + lead AS a, body FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY sent_idx) AS r FROM low WHERE length(body) >= 10 AND regexp_matches(body, '[A-Za-z]{3,}')) WHERE r = 1)",
+    f"ranked AS ({_RANKED})",
+    "free AS (SELECT field_id FROM fields WHERE field_id NOT IN (SELECT field_id FROM gates))",
+    "looked AS (SELECT c.doc_id, c.t, free.field_id, coalesce(b.a, h.a) AS a, coalesce(b.body, h.body) AS body FROM canon c CROSS JOIN free LEFT JOIN best b ON b.doc_id = c.doc_id AND b.field_id = free.field_id LEFT JOIN head h ON h.doc_id = c.doc_id WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.doc_id = c.doc_id AND r.field_id = free.field_id))",
+)
+_QUANTITIES = (*_ON_DOCS, "many AS MATERIALIZED (SELECT st AS x, count(*) AS n FROM sents GROUP BY st)", "pairs AS (SELECT x, field_id FROM many CROSS JOIN fields WHERE type = 'quantity')", *A.typed_cte("pairs"))
+ORACLE_SQL |= planted_queries.ORACLE_SQL | {
+    "field_keywords": A.chain(None, "SELECT field_id, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM keywords GROUP BY field_id"),
+    "keyword_rank": A.chain(None, _RANKED, _SCORED, A.DOCUMENTS),
+    "applicable_fields": A.chain(None, "SELECT doc_id, CAST(ord AS BIGINT) AS field_ordinal, field_id FROM applies", (_GATES, "canon2 AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents)", A.applicable_cte("canon2")), A.DOCUMENTS),
+    "absence_findings": A.chain(None, "SELECT doc_id, field_id, 'GAP_ABSENT' AS code, CAST(a AS BIGINT) AS anchor_start, CAST(a + length(body) AS BIGINT) AS anchor_end, substr(sha256(concat_ws(chr(31), doc_id, sha256(t), CAST(CAST(a AS BIGINT) AS VARCHAR), CAST(CAST(a + length(body) AS BIGINT) AS VARCHAR), field_id, 'GAP_ABSENT')), 1, 32) AS finding_id FROM looked WHERE a IS NOT NULL", (*_SCORED, *_ABSENT), A.DOCUMENTS),
+    "study_profile": A.chain("profile", "SELECT doc_id, CAST(m_start AS BIGINT) AS m_start, CAST(m_end AS BIGINT) AS m_end, '{' || " + " || ',' || ".join(f"'\"{k}\":' || CASE WHEN {k} IS NULL THEN 'false' ELSE 'true' END" for k in _EVERY) + " || '}' AS features, '{' || concat_ws(',', " + ", ".join(f"CASE WHEN {k} IS NOT NULL THEN {_SPAN(k)} END" for k in _EVERY) + ") || '}' AS evidence FROM profiles", (), A.DOCUMENTS),
+    "subsection_tree": A.chain("sections", 'SELECT doc_id, header, sub_idx, s AS "start", e AS "end" FROM subs', (), A.DOCUMENTS),
+    "gap_findings": A.chain("findings", planted_queries.FOUND, (), A.DOCUMENTS),
+    "quantity_verdict": A.chain(None, "SELECT field_id, verdict, code, CAST(sum(n) AS BIGINT) AS n FROM typed JOIN many USING (x) GROUP BY field_id, verdict, code", _QUANTITIES, A.DOCUMENTS),
+}
