@@ -18,13 +18,15 @@ too; an empty table on either side gives no match; null ids are carried; other c
 from __future__ import annotations
 
 import math
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import arrow_map, per_worker
+from lacuna.llm.common import arrow_map, per_worker, ship
 
 GRAM, EDIT_RATE, MIN_CHARS = 8, 0.1, 24
 #: The lemma is asked again with shorter q-grams, which bind more tightly, before an alignment.
@@ -213,26 +215,28 @@ class ItemIndex:
         return [(d, self.ids[i], *found) for (d, i), found in sorted(best.items())]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[list, list]]:
-    """The items in blocks of about BLOCK_CHARS characters; one block for all but very large benchmarks."""
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[str, Callable[[], tuple[list, list]]]]:
+    """(name, reader of (ids, texts) on a worker) of blocks of about BLOCK_CHARS characters; one for all but very large benchmarks.
+
+    The characters are counted first. A block at a time passes the driver and is broadcast, so neither the driver nor a
+    task's closure ever holds the whole benchmark.
+    """
     items = benchmark.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(chars / BLOCK_CHARS))
-    out = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas() if blocks > 1 else items.toPandas()
-        out.append((part["item_id"].tolist(), part["text"].tolist()))
-    return out
+        yield uuid.uuid4().hex, ship(benchmark.sparkSession, (part["item_id"].tolist(), part["text"].tolist()))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, distance, match_start, match_end: the best match of each contaminated document and item."""
     id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     source, found = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), None
-    for ids, texts in _blocks(benchmark, item_col, item_text_col):
+    for name, block in _blocks(benchmark, item_col, item_text_col):
 
-        def make(ids=ids, texts=texts):
-            index = per_worker(("items", gram, rate, min_chars, tuple(ids), tuple(texts)), lambda: ItemIndex(ids, texts, gram, rate, min_chars))
+        def make(name=name, block=block):
+            index = per_worker(("items", name, gram, rate, min_chars), lambda: ItemIndex(*block(), gram, rate, min_chars))
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 hits = index.search(batch.column("text").to_pylist())
@@ -250,10 +254,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rate:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, rate: float = EDIT_RATE, min_chars: int = MIN_CHARS, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents that match no item, all columns kept."""
-    for ids, texts in _blocks(benchmark, item_col, item_text_col):
+    for name, block in _blocks(benchmark, item_col, item_text_col):
 
-        def make(ids=ids, texts=texts):
-            index = per_worker(("items", gram, rate, min_chars, tuple(ids), tuple(texts)), lambda: ItemIndex(ids, texts, gram, rate, min_chars))
+        def make(name=name, block=block):
+            index = per_worker(("items", name, gram, rate, min_chars), lambda: ItemIndex(*block(), gram, rate, min_chars))
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 keep = np.ones(batch.num_rows, bool)

@@ -10,7 +10,7 @@ Where a page has an article or main element, blocks outside it are bad, and unde
 neighbour are good.
 
 Cases: null and empty pages give an empty text; unclosed tags, comments, scripts and cut-off pages are read to their end
-as browsers do; very long pages are read in one pass; repeated rows are all returned; other columns are not carried.
+as browsers do; a tag whose quote has no end stops at the next >; very long pages are read in one pass; repeated rows are all returned; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lacuna.llm.common import arrow_map
 
-_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*\Z", re.S)
+_MARKUP = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
 _RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "noembed", "noframes", "xmp"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -116,10 +116,11 @@ def blocks(page: str, holders: bool = False) -> tuple[list[tuple[str, float, boo
     while m := _MARKUP.search(page, at):
         add(page[at : m.start()])
         at = m.end()
-        tag = (m[2] or "").lower()
+        closing, tag, attributes = m.group(1, 2, 3) if m[2] else m.group(4, 5, 6)  # the second: a quote without its end
+        tag = (tag or "").lower()
         if not tag:
             continue
-        if m[1]:
+        if closing:
             if tag in _BLOCK:
                 close()
             if any(t == tag for t, _ in reversed(stack)):
@@ -159,7 +160,7 @@ def blocks(page: str, holders: bool = False) -> tuple[list[tuple[str, float, boo
                 if tag == "main" or holders:
                     stack, dropped = [(t, 0) for t, _ in stack], 0
                 named |= dropped > 0
-            stack.append((tag, unwanted := _unwanted(tag, m[3], articles > 0)))
+            stack.append((tag, unwanted := _unwanted(tag, attributes, articles > 0)))
             dropped += unwanted > 0
             links += tag == "a"
             if tag in ("article", "main"):
@@ -178,12 +179,13 @@ def blocks(page: str, holders: bool = False) -> tuple[list[tuple[str, float, boo
 
 def first_pass(text: str, links: float, inside: bool) -> bool | None:
     """Good, bad or (None) undecided."""
-    if links >= (LINKS_INSIDE if inside else LINKS_OUTSIDE):
-        return False
-    if len(text) < SHORT:
-        return None
+    linked = links >= (LINKS_INSIDE if inside else LINKS_OUTSIDE)
+    if len(text) < SHORT or linked and not inside:
+        return False if linked else None
     words = _WORDS.findall(text.lower())
     stops = sum(map(STOP_WORDS.__contains__, words)) / max(1, len(words))
+    if linked:  # an article's paragraph may be one long link; a list of links has few stop words
+        return None if stops >= STOPS_GOOD else False
     if stops >= STOPS_GOOD:
         return True
     return False if stops < STOPS_BAD and not inside and words and text.isascii() else None

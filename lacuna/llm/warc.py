@@ -3,7 +3,8 @@
 A response record has an identifier (urn:uuid), target URI, date, HTTP header and payload. For each one the builder gives
 a conversion record (text/plain, the extracted main text) and a metadata record (application/warc-fields: title, language,
 out-links, sizes and the source's HTTP headers). Both carry WARC-Refers-To with the response's identifier, the target URI
-and date of the source, and block digests; the metadata also lists the source's digests and the conversion's identifier.
+and date of the source, and digests of their own; the metadata also lists the source's digests and the conversion's
+identifier. Their own date, which every record must have, is a parameter, as the time of a run would make runs differ.
 Identifiers are name-based UUIDs of the source's identifier and the record type, so a repeated run gives the same ones.
 
 Cases: a null payload counts as empty; a null URI gives records without WARC-Target-URI; null dates are left out; equal
@@ -30,6 +31,8 @@ _LANG = re.compile(r"<html[^>]*?\slang\s*=\s*[\"']?([\w-]+)", re.I)
 _LINK = re.compile(r"<a\s[^>]*?href\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Identifiers of all records come from this name space.
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+#: The derived records' date where none is given.
+MADE = "2000-01-01T00:00:00Z"
 DERIVED = "doc_id {0}, url string, response_id string, metadata_id string, conversion_id string, refers_to string, source_block_digest string, source_payload_digest string, conversion_digest string, metadata_digest string, conversion_length long, metadata_length long, text string, metadata string, conversion_record string, metadata_record string"
 
 
@@ -60,14 +63,14 @@ def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str
     return pages.select(F.col(id_col).alias("doc_id"), F.col(url_col).alias("url"), uid.alias("response_id"), F.lit(date).cast("string").alias("date"), header.alias("http_header"), payload.alias("payload"))
 
 
-def derive_row(doc_id, url, response_id, date, http_header, payload) -> tuple:
+def derive_row(doc_id, url, response_id, date, http_header, payload, made: str = MADE) -> tuple:
     header, payload = http_header or "", payload or ""
     block_digest, payload_digest = sha1((header + payload).encode()), sha1(payload.encode())
     text = main_text(payload)
     conversion_id, metadata_id = record_id(response_id, "conversion"), record_id(response_id, "metadata")
-    source = [("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Refers-To", f"<{response_id}>"), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date)]
+    source = [("WARC-Target-URI", url), ("WARC-Date", made), ("WARC-Refers-To", f"<{response_id}>"), ("WARC-Refers-To-Target-URI", url), ("WARC-Refers-To-Date", date)]
     body = text.encode()
-    conversion = record("conversion", conversion_id, body, "text/plain; charset=utf-8", [*source, ("WARC-Payload-Digest", payload_digest)])
+    conversion = record("conversion", conversion_id, body, "text/plain; charset=utf-8", [*source, ("WARC-Payload-Digest", sha1(body))])
     title, lang = _TITLE.search(payload), _LANG.search(payload)
     fields = [("response-block-digest", block_digest), ("response-payload-digest", payload_digest), ("conversion-record-id", f"<{conversion_id}>"), ("title", title and title[1]), ("language", lang and lang[1]), ("payload-bytes", str(len(payload.encode()))), ("text-chars", str(len(text)))]
     fields += [(f"source-{k.strip().lower()}", v.strip()) for k, s, v in (x.partition(":") for x in header.split(_END)[1:]) if s]
@@ -77,15 +80,15 @@ def derive_row(doc_id, url, response_id, date, http_header, payload) -> tuple:
     return doc_id, url, response_id, metadata_id, conversion_id, response_id, block_digest, payload_digest, sha1(body), sha1(meta.encode()), len(body), len(meta.encode()), text, meta, conversion, metadata
 
 
-def derive(responses: DataFrame) -> DataFrame:
-    """One row a response: identifiers, links, digests, texts and the two records."""
+def derive(responses: DataFrame, made: str = MADE) -> DataFrame:
+    """One row a response, its derived records dated made: identifiers, links, digests, texts and the two records."""
     kind = responses.schema["doc_id"].dataType.simpleString()
     names = [c.split()[0] for c in DERIVED.split(", ")]
     inputs = ["doc_id", "url", "response_id", "date", "http_header", "payload"]
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [derive_row(*r) for r in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)]
+            rows = [derive_row(*r, made) for r in zip(*(batch.column(c).to_pylist() for c in inputs), strict=True)]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
             kinds = [batch.column("doc_id").type, *(pa.int64() if n.endswith("_length") else pa.string() for n in names[1:])]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -95,8 +98,12 @@ def derive(responses: DataFrame) -> DataFrame:
     return arrow_map(responses.select(*inputs), make, DERIVED.format(kind))
 
 
-def write_warc(derived: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Record files: each conversion followed by its metadata. The line end of Spark's text writer is a record's end."""
+def write_warc(derived: DataFrame, path: str, compression: str = "none") -> None:
+    """Record files: each conversion followed by its metadata. The line end of Spark's text writer is a record's end.
+
+    Compressed files are one gzip member each, which readers that go from record to record can't enter midway; so the
+    default is none.
+    """
     records = derived.select(F.explode(F.array("conversion_record", "metadata_record")).alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
@@ -112,19 +119,30 @@ def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
     return out
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """type, record_id, refers_to, target_uri, content_type, block_digest, block of the records in uncompressed or gzip files; a file is read by one task."""
+def read_warc(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """type, record_id, refers_to, target_uri, date, content_type, block_digest, block of the records in uncompressed or gzip files (of one member or many); a file is read by one task."""
     import gzip
 
+    fields = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest"}
+
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [r for data in batch.column("content").to_pylist() for r in parse_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)]
-            get = lambda name: pa.array([f.get(name) for f, _ in found], pa.string())
-            return pa.RecordBatch.from_arrays([get("WARC-Type"), get("WARC-Record-ID"), get("WARC-Refers-To"), get("WARC-Target-URI"), get("Content-Type"), get("WARC-Block-Digest"), pa.array([b for _, b in found], pa.binary())], ["type", "record_id", "refers_to", "target_uri", "content_type", "block_digest", "block"])
+            columns = [pa.array([f.get(name) for f, _ in found], pa.string()) for name in fields.values()]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([b for _, b in found], pa.binary())], [*fields, "block"])
 
         return step
 
-    return arrow_map(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content"), make, "type string, record_id string, refers_to string, target_uri string, content_type string, block_digest string, block binary")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    return arrow_map(files.where(~F.col("path").rlike(r"/[_.][^/]*$")).select("content"), make, ", ".join([*(f"{n} string" for n in fields), "block binary"]))
+
+
+def responses_from_records(records: DataFrame) -> DataFrame:
+    """Response records (doc_id: the record's identifier, url, response_id, date, http_header, payload) of read_warc's rows; other types are left out, bytes that aren't UTF-8 replaced."""
+    parts = F.split(F.decode("block", "UTF-8"), "\r\n\r\n", 2)
+    name = F.regexp_replace("record_id", "^<|>$", "")
+    rows = records.where("type = 'response'").select(name.alias("doc_id"), F.col("target_uri").alias("url"), name.alias("response_id"), "date", parts.alias("p"))
+    return rows.select("doc_id", "url", "response_id", "date", F.concat(F.col("p")[0], F.lit("\r\n\r\n")).alias("http_header"), F.coalesce(F.try_element_at("p", F.lit(2)), F.lit("")).alias("payload"))
 
 
 def derivative_query(pages: DataFrame) -> DataFrame:
