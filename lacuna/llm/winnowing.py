@@ -10,25 +10,26 @@ hashes each take one pass, so w is a power of two.
 
 Cases: null texts count as empty; an empty text has no prints and is alike (1.0) to an empty one only; a text shorter
 than k is its own one gram, and fewer than w grams make one window; equal texts have equal prints; texts over 2**27 - 1
-code points are an error; ties and repeated rows are ordered by a hash of the text; null ids come last; an empty table
-gives an empty result; other columns are not carried.
+code points are an error; ids may be of any type that can be ordered; ties and repeated rows are ordered by a hash of the
+text; null ids come last; an empty table gives an empty result; other columns are not carried.
+
+A gram's hash is made from the gram alone, as sliding one hash along a text isn't possible in parallel array functions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import WindowSpec
 
-
 GRAM, WINDOW = 8, 16
 _POSITION_BITS = 27
 _LAST = (1 << _POSITION_BITS) - 1
-#: Ranges of ids that neighbours are found in, at most.
-MAX_RANGES = 1024
+#: Ranges of ids that neighbours are found in for each shuffle partition, and in all at most (their bounds are one row that is broadcast).
+RANGES_EACH, MAX_RANGES = 4, 1 << 16
 
 
 def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
@@ -77,6 +78,21 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return prints.select("doc_id", F.transform("prints", lambda p: F.shiftright(p, _POSITION_BITS)).alias("hashes"), positions(F.col("prints")).alias("positions"))
 
 
+def range_bounds(source: DataFrame, ranges: int) -> DataFrame:
+    """One row: bounds, sorted, that cut the values of o into about equal ranges; from quantiles, or where values aren't numbers from the 20 a range that come first by hash."""
+    kind = source.schema["o"].dataType
+    if isinstance(kind, NumericType):
+        cuts = source.agg(F.percentile_approx("o", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q"))
+    else:
+        some = source.select("o").where("o is not null").orderBy(F.xxhash64("o")).limit(20 * ranges)
+        listed = some.agg(F.array_sort(F.collect_list("o")).alias("q"))
+        step = F.greatest(F.floor(F.size("q") / ranges).cast("int"), F.lit(1))
+        cuts = listed.select(F.filter(F.transform("q", lambda x, i: F.when(i % step == step - 1, x)), lambda x: x.isNotNull()).alias("q"))
+    cuts = cuts.select(F.array_sort(F.array_distinct(F.coalesce("q", F.array().cast(f"array<{kind.simpleString()}>")))).alias("bounds"))
+    # Read once: quantiles may come out otherwise when they are computed again, and all uses must agree.
+    return source.sparkSession.createDataFrame([tuple(cuts.first())], cuts.schema)
+
+
 def in_ranges(docs: DataFrame, order_col: str, text_col: str) -> tuple[DataFrame, WindowSpec]:
     """(o, text, r, h, copy; a window) for the next row in descending order, the first row's after the last.
 
@@ -85,12 +101,12 @@ def in_ranges(docs: DataFrame, order_col: str, text_col: str) -> tuple[DataFrame
     """
     spark = docs.sparkSession
     source = docs.select(F.col(order_col).alias("o"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = min(MAX_RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bounds = source.agg(F.percentile_approx("o", [i / ranges for i in range(1, ranges)], 20 * ranges).alias("q")).first()["q"] or []
-    bounds = sorted(set(bounds))
-    place = F.lit(len(bounds)) - F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("o"))), F.lit(0)) if bounds else F.lit(0)
+    ranges = min(MAX_RANGES, RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    last = F.array_size("bounds")
+    place = last - F.array_size(F.filter("bounds", lambda b: b < F.col("o")))
+    source = source.crossJoin(F.broadcast(range_bounds(source, ranges)))
     # 0: the highest ids; one more range for null ids.
-    placed = source.withColumn("r", F.when(F.col("o").isNull(), F.lit(len(bounds) + 1)).otherwise(place)).withColumn("h", F.xxhash64("text"))
+    placed = source.withColumn("r", F.when(F.col("o").isNull(), last + 1).otherwise(place)).withColumn("h", F.xxhash64("text")).drop("bounds")
     heads = placed.select("o", "r", "h").groupBy("r").agg(F.max(F.struct("o", "h")).alias("head"))
     turn = Window.orderBy("r")  # one row a range
     heads = heads.select("r", F.col("head.o").alias("o"), F.col("head.h").alias("h"), F.lag("r").over(turn).alias("before"), F.max("r").over(Window.partitionBy()).alias("end"))
