@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Pairs compared at once within a leaf.
-BLOCK_PAIRS = 4_000_000
+#: Pairs from which a block is split further, and pairs compared at once, which bounds what a dense block holds in memory.
+BLOCK_PAIRS, COMPARED_PAIRS = 4_000_000, 500_000
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def link_leaf(members: np.ndarray, queries: np.ndarray, radius: int, links: Link
                 for own, open_ in ((near, d - radius[0] <= mu), (~near, d + radius[0] > mu)):
                     link_leaf(members[own], queries[open_], radius, links, of_members[own], of_queries[open_], shift, keep, rng)
                 return
-    step = max(1, BLOCK_PAIRS // len(members))
+    step = max(1, COMPARED_PAIRS // len(members))
     for at in range(0, len(queries), step):
         part = queries[at : at + step]
         i, j = np.nonzero(distances(part[:, None], members[None]) <= radius[1])
