@@ -117,7 +117,7 @@ def _by_field(pack: tuple[Field, ...], make) -> Column:
 
 
 def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON) -> DataFrame:
-    """The gaps of each document, one at most a field: doc_id, field_ordinal, finding_id, field_id, code, start, end, text_sha, verdict, raw_text, sensitivity, detail.
+    """The gaps of each document, one at most a field: doc_id, field_ordinal, finding_id, field_id, code, start, end, text_sha, verdict, raw_text, sensitivity, detail, reason, phrase (null unless the span is a trigger's clause).
 
     docs: doc_id (unique, not null), canonical_text, text_sha. A field without a candidate is absent and anchored at the
     sentence where a reader should look: the field's subsection, the methods window, the document, in each the best keyword
@@ -152,15 +152,17 @@ def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexi
     rows = rows.withColumn("end", F.when(narrowed, end).otherwise(F.coalesce("obs.sent_end", F.col("place.start") + F.length("place.text"))))
     reason = F.when(F.col("trigger").isNotNull(), F.concat(F.lit("'"), F.col("trigger.text"), F.lit("' ("), F.col("trigger.family"), F.lit(") occupies the "), F.col("field_id"), F.lit(" slot without supplying a value"))).otherwise(F.element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), F.col("code")))
     phrase = F.when(narrowed, F.substring("raw", F.col("trigger.low") + 1, F.col("trigger.high") - F.col("trigger.low")))
-    detail = F.create_map(F.lit("reason"), reason, F.lit("phrase"), phrase, F.lit("detector"), F.col("detector"), F.lit("anchor_text"), F.col("place.text"), F.lit("anchor_detector"), F.when(F.col("place").isNotNull(), anchored))
+    detail = F.create_map(F.lit("detector"), F.col("detector"), F.lit("anchor_text"), F.col("place.text"), F.lit("anchor_detector"), F.when(F.col("place").isNotNull(), anchored))
     name = finding_id(F.col("doc_id"), F.col("text_sha"), F.col("start"), F.col("end"), F.col("field_id"), F.col("code"))
-    return rows.select("doc_id", "field_ordinal", name.alias("finding_id"), "field_id", "code", "start", "end", "text_sha", "verdict", F.col("raw").alias("raw_text"), "sensitivity", F.map_filter(detail, lambda k, v: v.isNotNull()).alias("detail"))
+    return rows.select("doc_id", "field_ordinal", name.alias("finding_id"), "field_id", "code", "start", "end", "text_sha", "verdict", F.col("raw").alias("raw_text"), "sensitivity", F.map_filter(detail, lambda k, v: v.isNotNull()).alias("detail"), reason.alias("reason"), phrase.alias("phrase"))
 
 
 def reports(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON, version: str = VERSION) -> DataFrame:
     """A row for each document: doc_id, text_sha, field_pack_version, features, evidence and its findings, in the checklist's order."""
     columns = ["finding_id", "field_id", "code", "start", "end", "verdict", "raw_text", "sensitivity", "detail"]
-    found = findings(docs, pack, lexicon).groupBy("doc_id").agg(F.collect_list(F.struct("field_ordinal", F.struct(*columns).alias("f"))).alias("found"))
+    found = findings(docs, pack, lexicon)
+    told = F.map_concat(F.create_map(F.lit("reason"), F.col("reason"), F.lit("phrase"), F.col("phrase")), F.col("detail"))
+    found = found.withColumn("detail", F.map_filter(told, lambda k, v: v.isNotNull())).groupBy("doc_id").agg(F.collect_list(F.struct("field_ordinal", F.struct(*columns).alias("f"))).alias("found"))
     in_order = F.array_sort("found", lambda a, b: a["field_ordinal"] - b["field_ordinal"])
     nested = found.select("doc_id", F.transform(in_order, lambda x: x["f"]).alias("findings"))
     profiled = study_profiles(docs.select("doc_id", "canonical_text", "text_sha"))
@@ -181,15 +183,18 @@ def illegal(found: DataFrame) -> DataFrame:
 
 
 def document_counts(found: DataFrame, pack_rows: DataFrame) -> DataFrame:
-    """doc_id, applicable, findings, ok, absent, unresolved of each document that has an applicable field. pack_rows: as of applicable().
-
-    ok: the rest of the applicable fields. Absent fields without an anchor have no finding and would count as ok; only
-    texts without a substantive sentence have such.
-    """
+    """doc_id, applicable, findings, absent, unresolved of each document that has an applicable field. pack_rows: as of applicable()."""
     due = pack_rows.groupBy("doc_id").agg(F.count("*").alias("applicable"))
     gaps = found.groupBy("doc_id").agg(F.count("*").alias("findings"), F.count_if(F.col("verdict") == "FIELD_ABSENT").alias("absent"), F.count_if(F.col("verdict") == "FIELD_UNRESOLVED").alias("unresolved"))
-    counted = due.join(gaps, "doc_id", "left").fillna(0, ["findings", "absent", "unresolved"])
-    return counted.select("doc_id", "applicable", "findings", (F.col("applicable") - F.col("findings")).alias("ok"), "absent", "unresolved")
+    return due.join(gaps, "doc_id", "left").fillna(0, ["findings", "absent", "unresolved"])
+
+
+def verdict_counts(found: DataFrame, pack_rows: DataFrame) -> DataFrame:
+    """document_counts with ok, the rest of the applicable fields.
+
+    Absent fields without an anchor have no finding and count as ok; only texts without a substantive sentence have such.
+    """
+    return document_counts(found, pack_rows).withColumn("ok", F.col("applicable") - F.col("findings"))
 
 
 def span_text(text: Column, start: Column, end: Column) -> Column:
@@ -206,7 +211,7 @@ def acceptance(found: DataFrame, docs: DataFrame, pack: tuple[Field, ...] = STAR
     legal = reduce(lambda a, b: a | b, ((F.col("verdict") == v) & F.col("code").isin(*codes) for v, codes in LEGAL.items()))
     name = finding_id(F.col("doc_id"), F.col("text_sha"), F.col("start"), F.col("end"), F.col("field_id"), F.col("code"))
     has = lambda key: F.map_contains_key("detail", key)
-    checks = {"legal": legal, "located": (F.col("start") >= 0) & (F.col("end") > F.col("start")), "within": F.col("end") <= F.col("n_text"), "known": F.array_contains(ids, F.col("field_id")), "identified": F.col("finding_id") == name, "explained": has("reason") & (has("detector") | has("anchor_detector")), "once_a_field": F.col("of_field") == 1}
+    checks = {"legal": legal, "located": (F.col("start") >= 0) & (F.col("end") > F.col("start")), "within": F.col("end") <= F.col("n_text"), "known": F.array_contains(ids, F.col("field_id")), "identified": F.col("finding_id") == name, "explained": F.col("reason").isNotNull() & (has("detector") | has("anchor_detector")), "once_a_field": F.col("of_field") == 1}
     return rows.agg(*(F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True)).alias(n) for n, c in checks.items()), F.count("*").alias("findings"))
 
 

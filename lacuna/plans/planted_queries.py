@@ -70,8 +70,8 @@ def planted_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def told(found: DataFrame) -> DataFrame:
     """Findings with the entries of their detail as columns."""
-    entries = [F.try_element_at("detail", F.lit(k)).alias(k) for k in ("reason", "detector", "phrase", "anchor_text", "anchor_detector")]
-    return found.select("doc_id", "finding_id", "field_id", "code", "verdict", "raw_text", "sensitivity", *_LONG("field_ordinal", "start", "end"), *entries)
+    entries = [F.try_element_at("detail", F.lit(k)).alias(k) for k in ("detector", "anchor_text", "anchor_detector")]
+    return found.select("doc_id", "finding_id", "field_id", "code", "verdict", "raw_text", "sensitivity", "reason", "phrase", *_LONG("field_ordinal", "start", "end"), *entries)
 
 
 _KEPT: dict[tuple[str, str], DataFrame] = {}
@@ -96,7 +96,7 @@ def planted_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def planted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.document_counts(_findings(spark, sf_dir), retrieve.applicable(_profiled(spark, sf_dir), pack_frame(spark)))
+    return audit.verdict_counts(_findings(spark, sf_dir), retrieve.applicable(_profiled(spark, sf_dir), pack_frame(spark)))
 
 
 def planted_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
