@@ -3,8 +3,9 @@
 A word's vector is the sum of hashed embeddings of the word and of its prefixes. Filters of widths 1, 2 and 3 run over
 the whole text, a rectifier and a maximum over time follow, and a logistic unit weighs the maxima. The first embedding
 coordinate starts as the shrunken log-odds of its bucket among toxic training texts; all weights are then trained by
-stochastic gradient descent. On a held-back fifth of the training rows, a threshold is chosen for each language (guessed
-from the text's stop words); a score is the logistic of the distance from its language's threshold, so 0.5 is the cut.
+stochastic gradient descent. On a held-back fifth of the training rows, a threshold is chosen for all rows and for each
+language (guessed from the text's stop words), which is drawn towards the common one the more the fewer rows it has; a
+score is the logistic of the distance from its language's threshold, so 0.5 is the cut.
 
 Training takes a bounded sample (TRAIN_ROWS) of labelled rows; every text is scored whole.
 
@@ -31,8 +32,8 @@ from lacuna.llm.common import arrow_map, bucket_of, per_worker, ship
 TRAIN_ROWS = 6_000
 BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, RATE = 1 << 18, 8, 6, (1, 2, 3), 4, 0.02
 PREFIXES = (4, 5, 6)
-#: Positives that a threshold is chosen on, at least: of all languages, of one language.
-LEAST_CALIBRATING, LEAST_OF_LANGUAGE = 10, 20
+#: Positives that thresholds are chosen on, at least; rows that the common threshold counts as beside a language's own.
+LEAST_CALIBRATING, SHRINK = 10, 20
 #: Words whose vectors a worker keeps, at most.
 MEMO_WORDS = 200_000
 _WORD = re.compile(r"[^\W_]+")
@@ -119,11 +120,14 @@ class ToxicityModel:
 
     def fit(self, texts: list[str | None], labels: list[int], seed: int = 1) -> "ToxicityModel":
         seen = dict(zip(texts, labels, strict=True))
-        rows = [(words_of(t), int(y)) for t, y in sorted(seen.items(), key=lambda r: zlib.crc32((r[0] or "").encode()))]
-        memo = {w: features(w) for w in {w for words, _ in rows for w in words}}
-        docs = [([memo[w] for w in words] or [features("")], y, language_of(words)) for words, y in rows]
-        held = [d for i, d in enumerate(docs) if i % 5 == 0]
-        train = [d for i, d in enumerate(docs) if i % 5]
+        memo, docs = {"": features("")}, []
+        for text, y in sorted(seen.items(), key=lambda r: zlib.crc32((r[0] or "").encode())):
+            words = words_of(text)  # one text's words at a time: only their features stay
+            for w in words:
+                if w not in memo:
+                    memo[w] = features(w)
+            docs.append(([memo[w] for w in words or [""]], int(y), language_of(words)))
+        held, train = docs[::5], [d for i, d in enumerate(docs) if i % 5]
         positive = sum(y for _, y, _ in train)
         if not positive or positive == len(train) or not any(y for _, y, _ in held):
             return self
@@ -153,8 +157,8 @@ class ToxicityModel:
         self.common = _threshold(z, y)
         for name in {d[2] for d in held}:
             own = np.array([d[2] == name for d in held])
-            if y[own].sum() >= LEAST_OF_LANGUAGE and (1 - y[own]).sum() >= LEAST_OF_LANGUAGE:
-                self.thresholds[name] = _threshold(z[own], y[own])
+            if n := min(y[own].sum(), (1 - y[own]).sum()):
+                self.thresholds[name] = float((n * _threshold(z[own], y[own]) + SHRINK * self.common) / (n + SHRINK))
         self.scale = 2.0 / max(1e-3, float(np.std(z)))
 
     def logits_of(self, docs: list[list[list[int]]]) -> np.ndarray:

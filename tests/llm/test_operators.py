@@ -288,6 +288,17 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score_documents(df, none).collect()} == {0.0}
 
 
+def test_thresholds_by_language():
+    model = toxicity.ToxicityModel()
+    model.logits_of = lambda docs: np.array([float(d) for d in docs])
+    rows = lambda name, cut, n: [(cut + side * 1.0, int(side > 0), name) for side in (-1, 1) for _ in range(n)]
+    model._calibrate(rows("en", 0.0, 60) + rows("de", 3.0, 5) + [(-4.0, 0, "fr")] * 9)
+    common = model.common
+    assert set(model.thresholds) == {"en", "de"}  # no positive, no threshold of its own
+    assert model.thresholds["en"] == pytest.approx((60 * 0.0 + toxicity.SHRINK * common) / (60 + toxicity.SHRINK))
+    assert model.thresholds["de"] == pytest.approx((5 * 3.0 + toxicity.SHRINK * common) / (5 + toxicity.SHRINK))
+
+
 def test_language(spark):
     parts = {"en": ["the", "house", "of", "wind"], "de": ["das", "haus", "und", "wald"], "es": ["casa", "del", "viento", "una"]}
     rows = [(i, " ".join(R.choice(parts[lang]) for _ in range(20)), lang, "s", 1) for i, lang in enumerate(list(parts) * 60)] + [(900, None, None, None, None), (901, "12 !!", "en", None, None)]
