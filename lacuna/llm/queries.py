@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe, decontaminate, html_extract, langid, secret_scan, simhash, token_output, toxicity, warc, winnowing
+from lacuna.llm import alignment, bpe, decontaminate, html_extract, langid, lexical, quality, secret_scan, simhash, token_output, toxicity, warc, winnowing
 from lacuna.llm.common import read_table
 
 
@@ -61,6 +61,19 @@ def language_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(docs, langid.train(docs))
 
 
+def lexical_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(read_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_token_files": token_files,
     "op2_bpe_round_trip": bpe_round_trip,
@@ -72,5 +85,8 @@ QUERIES = {
     "op8_secret_spans": secret_spans,
     "op9_toxicity_scores": toxicity_scores,
     "op10_language_predictions": language_predictions,
+    "op11_lexical_top": lexical_top,
+    "op12_quality_scores": quality_scores,
+    "op13_token_alignment": token_alignment,
 }
 ORACLE_SQL: dict[str, str] = {}
