@@ -1,6 +1,6 @@
 """Command line: audit texts against a checklist, score reports against labels, place labels' passages.
 
-python -m lacuna audit TEXTS OUT [--checklist FILE] [--lexicon FILE] [--each]
+python -m lacuna audit TEXTS OUT [--checklist FILE] [--lexicon FILE] [--each] [--model NAME --url URL [--cache FOLDER] [--budget TOKENS]]
 python -m lacuna score REPORTS LABELS
 python -m lacuna resolve LABELS TEXTS OUT
 """
@@ -8,6 +8,7 @@ python -m lacuna resolve LABELS TEXTS OUT
 from __future__ import annotations
 
 import argparse
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from lacuna.functions.text import canonicalize
 from lacuna.functions.triggers import STARTER_LEXICON
 from lacuna.operators import audit, gold, score
+from lacuna.operators.cache import path_for
+from lacuna.operators.calls import BUDGET, Budget, Retry
 from lacuna.plans.pack import STARTER, VERSION
 from lacuna.sources import checklists, files
+from lacuna.sources.client import HttpClient, read_env
 
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
@@ -41,12 +45,22 @@ def main(argv: list[str] | None = None) -> int:
             sub.add_argument("--checklist")
             sub.add_argument("--lexicon")
             sub.add_argument("--each", action="store_true", help="one indented file a document")
+            sub.add_argument("--model", help="a model that chooses where absent fields are anchored; its key is read from MODEL_API_KEY")
+            sub.add_argument("--url", help="where the model is asked")
+            sub.add_argument("--cache", default="cache", help="folder of the answers, shared by all executors")
+            sub.add_argument("--budget", type=int, default=BUDGET, help="tokens that all calls may use together")
     args = parser.parse_args(argv)
+    if args.command == "audit" and args.model and not args.url:
+        parser.error("--model needs --url")
     spark = SparkSession.builder.getOrCreate()
     if args.command == "audit":
         version, pack = checklists.read_checklist(args.checklist) if args.checklist else (VERSION, STARTER)
         lexicon = checklists.read_lexicon(args.lexicon) if args.lexicon else STARTER_LEXICON
-        made = audit.reports(texts(spark, args.texts), pack, lexicon, version)
+        asked = {}
+        if args.model:
+            read_env()
+            asked = {"make": partial(HttpClient, args.url, args.model), "path": path_for(args.model, args.cache), "budget": Budget(args.budget), "retry": Retry(3)}
+        made = audit.reports(texts(spark, args.texts), pack, lexicon, version, **asked)
         if args.each:
             files.write_each(made, args.out)
         else:

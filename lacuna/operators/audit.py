@@ -16,14 +16,17 @@ from lacuna.functions import triggers as G
 from lacuna.functions import verdicts as V
 from lacuna.functions.headings import CATEGORIES, category_hits
 from lacuna.functions.text import finding_id, sentences, strip, substantive
+from lacuna.operators.calls import Budget, Factory, Retry
+from lacuna.operators.model import choose_nodes
 from lacuna.operators.profile import study_profiles
 from lacuna.operators.retrieve import applicable
-from lacuna.operators.sections import node_of, subsections
+from lacuna.operators.sections import listed, node_of, subsections
 from lacuna.plans.pack import STARTER, VERSION, Field, pack_frame
+from lacuna.sources.shared import written
 
 METHODS, DOCUMENT = -1, -2
-#: What is kept of a title in an anchor's detector (fixed value).
-TITLE_WIDTH = 34
+#: What is kept of a title in an anchor's detector; the keyword score in the methods from which no model is asked.
+TITLE_WIDTH, CONFIDENT = 34, 2
 
 
 #: Why a candidate, or the lack of one, is a gap, where no trigger says so.
@@ -91,7 +94,7 @@ def _bearing(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon =
     # a head's key is its scope; the others' is null
     keyed = flat.withColumn("head_of", F.when(F.col("x.field_id").isNull(), F.col("scope")))
     return keyed.groupBy("doc_id", F.col("x.field_id").alias("field_id"), "head_of").agg(
-        F.min(F.when(F.col("x.tier").isNotNull(), obs)).alias("obs"), F.min(F.when(F.col("x.level").isNotNull(), anchor)).alias("anchor"), F.min(F.when(F.col("x.field_id").isNull(), first)).alias("head"),
+        F.min(F.when(F.col("x.tier").isNotNull(), obs)).alias("obs"), F.min(F.when(F.col("x.level").isNotNull(), anchor)).alias("anchor"), *(F.min(F.when(F.col("x.level") == i, anchor)).alias(c) for i, c in ((1, "in_methods"), (2, "in_document"))), F.min(F.when(F.col("x.field_id").isNull(), first)).alias("head"),
         *(F.first(c).alias(c) for c in ("text_sha", "features", "nodes")))
 
 
@@ -116,51 +119,112 @@ def _by_field(pack: tuple[Field, ...], make) -> Column:
     return out
 
 
-def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON) -> DataFrame:
-    """The gaps of each document, one at most a field: doc_id, field_ordinal, finding_id, field_id, code, start, end, text_sha, verdict, raw_text, sensitivity, detail, reason, phrase (null unless the span is a trigger's clause).
+def _judged(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon, more: tuple[str, ...] = ()) -> DataFrame:
+    """The applicable fields of each document that are absent or unresolved, with their candidate and what an anchor can be made of.
 
-    docs: doc_id (unique, not null), canonical_text, text_sha. A field without a candidate is absent and anchored at the
-    sentence where a reader should look: the field's subsection, the methods window, the document, in each the best keyword
-    score, else the first substantive sentence; without any the finding is dropped. Null and empty texts have no findings.
+    more: further columns of _bearing to carry.
     """
-    profiled = study_profiles(docs.select("doc_id", "canonical_text", "text_sha"))
     bearing = _observed(_bearing(profiled, pack, lexicon))
-    option_of = F.when(F.col("field_id").isNotNull(), F.struct("field_id", F.struct("obs", "anchor", "detector")))
+    kept = ("obs", "anchor", "detector", *more)
+    option_of = F.when(F.col("field_id").isNotNull(), F.struct("field_id", F.struct(*kept)))
     head_at = F.when(F.col("field_id").isNull(), F.struct("head_of", "head"))
     # at most one entry for each field and each scope of the document
     whole = bearing.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(option_of)).alias("options"), F.map_from_entries(F.collect_list(head_at)).alias("heads"), *(F.first(c).alias(c) for c in ("text_sha", "features", "nodes")))
-    rows = applicable(whole, pack_frame(docs.sparkSession, pack), ("sensitivity", "options", "heads", "text_sha", "nodes"))
+    rows = applicable(whole, pack_frame(profiled.sparkSession, pack), ("sensitivity", "options", "heads", "text_sha", "nodes"))
     option_here = F.try_element_at("options", F.col("field_id"))
-    rows = rows.withColumn("obs", option_here["obs"]).withColumn("anchor", option_here["anchor"]).withColumn("detector", option_here["detector"]).drop("options")
+    rows = rows.withColumns({c: option_here[c] for c in kept}).drop("options")
     rows = rows.withColumn("node", _by_field(pack, lambda f: F.col(f"nodes.{_category(f)}"))).withColumn("raw", F.col("obs.raw_text"))
     rows = rows.withColumn("spans", G.trigger_spans(F.col("raw"), lexicon))
     rows = rows.withColumn("trigger", _by_field(pack, lambda f: G.trigger_verdict(F.col("raw"), f, lexicon, F.col("spans")))).withColumn("typed", _by_field(pack, lambda f: V.verdict(F.col("raw"), f)))
     rows = rows.withColumn("verdict", F.when(F.col("trigger").isNotNull(), F.lit("FIELD_UNRESOLVED")).otherwise(F.col("typed.verdict"))).withColumn("code", F.coalesce("trigger.code", "typed.code"))
     rows = rows.where(F.col("verdict").isin("FIELD_ABSENT", "FIELD_UNRESOLVED"))
-
-    option = lambda at, head: F.when(head.isNotNull(), F.struct(F.lit(at).alias("at"), head["start"].alias("start"), head["text"].alias("text")))
     head_of = lambda scope: F.try_element_at("heads", scope)
-    keyword = F.when(F.col("anchor").isNotNull(), F.struct((2 * F.col("anchor.level")).alias("at"), F.col("anchor.start").alias("start"), F.col("anchor.text").alias("text")))
-    place = F.array_min(F.array_compact(F.array(keyword, option(1, head_of(F.col("node.sub_idx"))), option(3, head_of(F.lit(METHODS))), option(5, head_of(F.lit(DOCUMENT))))))
-    rows = rows.withColumn("place", F.when(F.col("obs").isNull(), place)).where("obs is not null or place is not null")
-    title = F.element_at(F.array(F.substring("node.title", 1, TITLE_WIDTH), F.lit("methods"), F.lit("document")), (F.floor(F.col("place.at") / 2) + 1).cast("int"))
-    anchored = F.concat(F.lit("anchor:"), F.col("node.how"), F.when(F.col("place.at") % 2 == 0, F.lit(":kw:")).otherwise(F.lit(":head:")), title)
+    return rows.withColumns({"node_head": head_of(F.col("node.sub_idx")), "methods_head": head_of(F.lit(METHODS)), "document_head": head_of(F.lit(DOCUMENT))}).drop("heads", "nodes", "spans", "typed")
+
+
+def _place(keywords: list[tuple[Column, Column]], heads: list[tuple[int, Column]]) -> Column:
+    """The first rung that has a sentence: struct<at (even: by keywords, odd: a head; from the node up), start, text>."""
+    option = lambda at, hit: F.when(hit.isNotNull(), F.struct(at.alias("at"), hit["start"].alias("start"), hit["text"].alias("text")))
+    return F.array_min(F.array_compact(F.array(*(option(at, hit) for at, hit in keywords), *(option(F.lit(at), hit) for at, hit in heads))))
+
+
+def _anchored(place: Column, title: Column, how: Column) -> Column:
+    """What an anchor was found by."""
+    name = F.element_at(F.array(F.substring(title, 1, TITLE_WIDTH), F.lit("methods"), F.lit("document")), (F.floor(place["at"] / 2) + 1).cast("int"))
+    return F.concat(F.lit("anchor:"), how, F.when(place["at"] % 2 == 0, F.lit(":kw:")).otherwise(F.lit(":head:")), name)
 
+
+def _told(rows: DataFrame) -> DataFrame:
+    """The findings of judged rows with place and anchored; those without a candidate and a place are dropped."""
+    rows = rows.withColumn("place", F.when(F.col("obs").isNull(), F.col("place"))).where("obs is not null or place is not null")
     begin, end = F.col("obs.sent_start") + F.col("trigger.low"), F.col("obs.sent_start") + F.col("trigger.high")
     narrowed = F.coalesce((begin < end) & (end <= F.col("obs.sent_end")), F.lit(False))
     rows = rows.withColumn("start", F.when(narrowed, begin).otherwise(F.coalesce("obs.sent_start", "place.start")))
     rows = rows.withColumn("end", F.when(narrowed, end).otherwise(F.coalesce("obs.sent_end", F.col("place.start") + F.length("place.text"))))
     reason = F.when(F.col("trigger").isNotNull(), F.concat(F.lit("'"), F.col("trigger.text"), F.lit("' ("), F.col("trigger.family"), F.lit(") occupies the "), F.col("field_id"), F.lit(" slot without supplying a value"))).otherwise(F.element_at(F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair)), F.col("code")))
     phrase = F.when(narrowed, F.substring("raw", F.col("trigger.low") + 1, F.col("trigger.high") - F.col("trigger.low")))
-    detail = F.create_map(F.lit("detector"), F.col("detector"), F.lit("anchor_text"), F.col("place.text"), F.lit("anchor_detector"), F.when(F.col("place").isNotNull(), anchored))
+    detail = F.create_map(F.lit("detector"), F.col("detector"), F.lit("anchor_text"), F.col("place.text"), F.lit("anchor_detector"), F.when(F.col("place").isNotNull(), F.col("anchored")))
     name = finding_id(F.col("doc_id"), F.col("text_sha"), F.col("start"), F.col("end"), F.col("field_id"), F.col("code"))
     return rows.select("doc_id", "field_ordinal", name.alias("finding_id"), "field_id", "code", "start", "end", "text_sha", "verdict", F.col("raw").alias("raw_text"), "sensitivity", F.map_filter(detail, lambda k, v: v.isNotNull()).alias("detail"), reason.alias("reason"), phrase.alias("phrase"))
 
 
-def reports(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON, version: str = VERSION) -> DataFrame:
-    """A row for each document: doc_id, text_sha, field_pack_version, features, evidence and its findings, in the checklist's order."""
+def findings(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON, make: Factory | None = None, path: str | None = None, budget: Budget | None = None, retry: Retry = Retry()) -> DataFrame:
+    """The gaps of each document, one at most a field: doc_id, field_ordinal, finding_id, field_id, code, start, end, text_sha, verdict, raw_text, sensitivity, detail, reason, phrase (null unless the span is a trigger's clause).
+
+    docs: doc_id (unique, not null), canonical_text, text_sha. A field without a candidate is absent and anchored at the
+    sentence where a reader should look: the field's subsection, the methods window, the document, in each the best keyword
+    score, else the first substantive sentence; without any the finding is dropped. Null and empty texts have no findings.
+
+    make: a model's client may choose the subsection. It never changes a code, only where absent fields are anchored, and
+    isn't asked where the methods window has a sentence of the score CONFIDENT or more. Verdicts are written first; the
+    questions of the fields that are left are answered within the budget and are in the cache (at path) before anchors
+    are taken from them, so that no lost executor and no second use of the result asks again.
+    """
+    profiled = study_profiles(docs.select("doc_id", "canonical_text", "text_sha"))
+    if make is not None:
+        return _told(_with_model(profiled, pack, lexicon, make, path, budget, retry))
+    place = _place([(2 * F.col("anchor.level"), F.col("anchor"))], [(1, F.col("node_head")), (3, F.col("methods_head")), (5, F.col("document_head"))])
+    rows = _judged(profiled, pack, lexicon).withColumn("place", place)
+    return _told(rows.withColumn("anchored", _anchored(F.col("place"), F.col("node.title"), F.col("node.how"))))
+
+
+def _with_model(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon, make: Factory, path: str | None, budget: Budget | None, retry: Retry) -> DataFrame:
+    """Judged rows with place and anchored, subsections chosen by a model."""
+    rows = written(_judged(profiled, pack, lexicon, ("in_methods", "in_document")), "judged")
+    sure = F.coalesce(-F.col("in_methods.s") >= CONFIDENT, F.lit(False))
+    unsure = rows.where(F.col("obs").isNull() & ~sure).select("doc_id", "field_id")
+    subs = subsections(profiled)
+    chosen = written(choose_nodes(listed(profiled, subs), pack, make, path=path, budget=budget, retry=retry, wanted=unsure), "chosen")
+    own = _of_subsection(profiled, subs, chosen.where("node is not null"), pack)
+    rows = rows.join(chosen.withColumnRenamed("node", "picked").withColumnRenamed("how", "picked_how"), ["doc_id", "field_id"], "left").join(own, ["doc_id", "field_id"], "left")
+    rung = lambda i: F.lit(i)
+    place = _place([(rung(0), F.col("own_keyword")), (rung(2), F.col("in_methods")), (rung(4), F.col("in_document"))], [(1, F.col("own_head")), (3, F.col("methods_head")), (5, F.col("document_head"))])
+    at_once = F.struct(rung(2).alias("at"), F.col("in_methods.start").alias("start"), F.col("in_methods.text").alias("text"))
+    rows = rows.withColumn("place", F.when(sure, at_once).otherwise(place))
+    spared = F.concat(F.lit("anchor:det-confident(score="), (-F.col("in_methods.s")).cast("string"), F.lit("):no-model-call"))
+    return rows.withColumn("anchored", F.when(sure, spared).otherwise(_anchored(F.col("place"), F.col("own_title"), F.col("picked_how"))))
+
+
+def _of_subsection(profiled: DataFrame, subs: DataFrame, chosen: DataFrame, pack: tuple[Field, ...]) -> DataFrame:
+    """doc_id, field_id, own_title, own_keyword, own_head: in the subsection chosen for a field, the sentence of the best keyword score and the first substantive one. Only these subsections are split."""
+    asked = chosen.groupBy("doc_id", F.col("node").alias("sub_idx")).agg(F.collect_set("field_id").alias("asked"))
+    text = F.substring("canonical_text", F.col("start") + 1, F.col("end") - F.col("start"))
+    parts = profiled.select("doc_id", "canonical_text").join(subs.join(asked, ["doc_id", "sub_idx"]), "doc_id").select("doc_id", "header", "start", "asked", text.alias("part"))
+    lines = sentences(parts, "part", F.col("start"))
+    body, low = strip(F.col("sentence")), F.lower("sentence")
+    hit = F.struct("sent_idx", (F.col("sent_start") + F.length(F.regexp_extract("sentence", r"(?U)^\s*", 0))).alias("start"), body.alias("text"))
+    scores = F.map_from_entries(F.array(*(F.struct(F.lit(f.field_id), _score(low, f)) for f in pack)))
+    flat = lines.where(F.length(body) > 0).select("doc_id", "header", hit.alias("hit"), substantive(body).alias("good"), scores.alias("scores"), F.explode("asked").alias("field_id"))
+    score = F.element_at("scores", F.col("field_id"))
+    keyword = F.struct((-score).alias("s"), F.col("hit.sent_idx").alias("i"), F.col("hit.start").alias("start"), F.col("hit.text").alias("text"))
+    # a text without a sentence has no row here and is looked for further up
+    return flat.groupBy("doc_id", "field_id").agg(F.first("header").alias("own_title"), F.min(F.when(score > 0, keyword)).alias("own_keyword"), F.min(F.when(F.col("good"), F.col("hit"))).alias("own_head"))
+
+
+def reports(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexicon = G.STARTER_LEXICON, version: str = VERSION, **model) -> DataFrame:
+    """A row for each document: doc_id, text_sha, field_pack_version, features, evidence and its findings, in the checklist's order. model: make, path, budget and retry of findings()."""
     columns = ["finding_id", "field_id", "code", "start", "end", "verdict", "raw_text", "sensitivity", "detail"]
-    found = findings(docs, pack, lexicon)
+    found = findings(docs, pack, lexicon, **model)
     told = F.map_concat(F.create_map(F.lit("reason"), F.col("reason"), F.lit("phrase"), F.col("phrase")), F.col("detail"))
     found = found.withColumn("detail", F.map_filter(told, lambda k, v: v.isNotNull())).groupBy("doc_id").agg(F.collect_list(F.struct("field_ordinal", F.struct(*columns).alias("f"))).alias("found"))
     in_order = F.array_sort("found", lambda a, b: a["field_ordinal"] - b["field_ordinal"])

@@ -1,12 +1,24 @@
-"""A content-addressed response table: keys, lookup, upsert and statistics."""
+"""A content-addressed response table: keys, lookup, upsert, statistics, and its files.
+
+A cache's folder holds tables of entries and a log. A log file is a numbered list of the tables that hold at that time. A
+writer writes its table, then creates the next number with one table more; if another writer was first, it reads that
+list and tries again. So no writer's entries are lost, readers see a whole list or the one before, and nothing is
+overwritten.
+"""
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.sources.shared import create_if_absent, names_in, read_small
+
+#: Tables in a list, at most, before they are merged into one.
+MOST_TABLES = 16
+
 
 def cache_key(prompt: Column, max_tokens: Column) -> Column:
     """SHA-256 of the token limit and the prompt, joined by U+001F (fixed format)."""
@@ -15,7 +27,11 @@ def cache_key(prompt: Column, max_tokens: Column) -> Column:
 
 def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """key, response of both; equal keys hold equal responses, so which one stays makes no difference."""
-    return old.select("key", "response").unionByName(new.select("key", "response")).groupBy("key").agg(F.max("response").alias("response"))
+    return _distinct(old.select("key", "response").unionByName(new.select("key", "response")))
+
+
+def _distinct(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("key").agg(F.max("response").alias("response"))
 
 
 def lookup(requests: DataFrame, cache: DataFrame) -> DataFrame:
@@ -33,11 +49,23 @@ def stats(looked_up: DataFrame) -> DataFrame:
 SCHEMA = "key string, response string"
 
 
+def tables(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """(number, tables) of the last list in the log; (0, none) without a log."""
+    numbers = [n for n in names_in(spark, f"{path}/log") if n.endswith(".json") and n[:-5].isdigit()]
+    return (int(numbers[-1][:-5]), json.loads(read_small(spark, f"{path}/log/{numbers[-1]}"))) if numbers else (0, [])
+
+
+def _read(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    if not names:
+        return spark.createDataFrame([], SCHEMA)
+    found = spark.read.schema(SCHEMA).parquet(*(f"{path}/{n}" for n in names))
+    return found if len(names) == 1 else _distinct(found)
+
+
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """The table that path points at; empty, with a warning, if there is none that can be read."""
+    """The entries of the last list; empty, with a warning, if they can't be read."""
     try:
-        at = spark.read.text(f"{path}/current").first()
-        table = spark.read.schema(SCHEMA).parquet(f"{path}/{at[0]}")
+        table = _read(spark, path, tables(spark, path)[1])
         table.limit(1).count()
         return table
     except Exception as e:  # a cache that can't be read costs calls, never the run
@@ -45,13 +73,28 @@ def load(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
 
 
+def _write(entries: DataFrame, path: str) -> str:
+    name = f"table-{uuid.uuid4().hex}"
+    _distinct(entries).write.parquet(f"{path}/{name}")
+    return name
+
+
+def _commit(spark: SparkSession, path: str, own: str, instead_of: tuple[str, ...] = ()) -> list[str]:
+    """Puts a table into the next list, in the place of others; the list. Tables that came in between stay."""
+    while True:
+        number, names = tables(spark, path)
+        listed = [n for n in names if n not in instead_of] + [own]
+        if create_if_absent(spark, f"{path}/log/{number + 1:012d}.json", json.dumps(listed)):
+            return listed
+
+
 def save(new: DataFrame, path: str) -> DataFrame:
-    """Merges new entries with what path points at now, writes the result beside it and only then moves the pointer."""
+    """Adds entries; what the cache holds then. Many tables are merged into one, whose sources stay for readers that have them."""
     spark = new.sparkSession
-    name = f"table-{uuid.uuid4().hex}"
-    upsert(load(spark, path), new).write.parquet(f"{path}/{name}")
-    spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/current")
-    return spark.read.schema(SCHEMA).parquet(f"{path}/{name}")
+    listed = _commit(spark, path, _write(new, path))
+    if len(listed) > MOST_TABLES:
+        listed = _commit(spark, path, _write(_read(spark, path, listed), path), tuple(listed))
+    return _read(spark, path, listed)
 
 
 def path_for(model: str, folder: str = "cache") -> str:

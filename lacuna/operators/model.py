@@ -6,8 +6,7 @@ the factory is sent. Without a factory the choice is deterministic.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from typing import Protocol
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,7 +15,9 @@ from pyspark.sql import functions as F
 from lacuna.functions.headings import CATEGORIES, category_hits
 from lacuna.functions.text import strip
 from lacuna.operators import cache
+from lacuna.operators.calls import Budget, Client, Factory, Retry, ask_once  # noqa: F401
 from lacuna.plans.pack import Field
+from lacuna.sources.shared import new_path
 
 #: Options in a prompt and characters of a snippet, at most; tokens of an answer.
 MOST_OPTIONS, SNIPPET, ANSWER_TOKENS = 24, 160, 512
@@ -32,13 +33,6 @@ Parts of the methods section:
 Reply with the number only."""
 
 
-class Client(Protocol):
-    def complete(self, prompt: str, *, max_tokens: int = 1024) -> str: ...
-
-
-Factory = Callable[[], Client]
-
-
 def describe(f: Field) -> str:
     """What the checklist says of a field, a line for each entry that it has (fixed format)."""
     cited = ", ".join(f"{dict(p).get('guideline', '?')} item {dict(p).get('item', '?')}" for p in f.provenance)
@@ -61,11 +55,30 @@ def snippet(body: Column) -> Column:
     return F.when(F.length(flat) <= SNIPPET, flat).otherwise(F.concat(F.regexp_replace(cut, r"(?s)^(.*) .*$", "$1"), F.lit(" ...")))
 
 
+def parts_block(options: Column) -> Column:
+    """The options' lines of a prompt, the same for all fields of a document; options: array<struct<title, body>>, of which the first MOST_OPTIONS are offered."""
+
+    def line(x: Column, i: Column) -> Column:
+        begins = F.transform(F.array(snippet(x["body"])), lambda s: F.when(F.length(s) > 0, F.concat(F.lit("\n   "), s)).otherwise(""))[0]
+        return F.concat((i + 1).cast("string"), F.lit(". "), x["title"], begins)
+
+    return F.array_join(F.transform(F.slice(options, 1, MOST_OPTIONS), line), "\n")
+
+
+def _frame(f: Field) -> list[str]:
+    return PROMPT.format(field=describe(f), parts="\0").split("\0")
+
+
 def prompt(f: Field, options: Column) -> Column:
-    """The question for one field; options: array<struct<title, body>>, of which the first MOST_OPTIONS are offered."""
-    head, tail = PROMPT.format(field=describe(f), parts="\0").split("\0")
-    line = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["title"], F.when(F.length(snippet(x["body"])) > 0, F.concat(F.lit("\n   "), snippet(x["body"]))).otherwise(""))
-    return F.concat(F.lit(head), F.array_join(F.transform(F.slice(options, 1, MOST_OPTIONS), line), "\n"), F.lit(tail))
+    """The question for one field."""
+    head, tail = _frame(f)
+    return F.concat(F.lit(head), parts_block(options), F.lit(tail))
+
+
+def prompts(pack: tuple[Field, ...], field_id: Column, block: Column) -> Column:
+    """The question for the row's own field, around its document's options."""
+    heads = F.create_map(*(F.lit(x) for f in pack for x in (f.field_id, _frame(f)[0])))
+    return F.concat(F.element_at(heads, field_id), block, F.lit(_frame(pack[0])[1]))
 
 
 def parse_index(response: Column, n: Column) -> Column:
@@ -108,15 +121,25 @@ def ranked_nodes(titles: Column, category: str) -> Column:
     return F.array_sort(F.filter(F.transform(titles, lambda t, i: F.struct((-category_hits(t, category)).alias("n"), i.alias("i"))), lambda x: x["n"] < 0))
 
 
-def choose_nodes(subs: DataFrame, pack: tuple[Field, ...], make: Factory | None = None, old: DataFrame | None = None) -> DataFrame:
+def choose_nodes(subs: DataFrame, pack: tuple[Field, ...], make: Factory | None = None, old: DataFrame | None = None, path: str | None = None, budget: Budget | None = None, retry: Retry = Retry(), wanted: DataFrame | None = None) -> DataFrame:
     """doc_id, field_id, node (place among the document's subsections; null: none is better than the whole), how.
 
-    subs: doc_id and titles, bodies (arrays, in document order). Fewer than two subsections, or one with the category's
-    words, are no choice and cost no call; else the model decides if there is one, and its answer falls back to the first
-    ranked subsection where it fails or can't be read.
+    subs: doc_id and titles, bodies (arrays, in document order). wanted: doc_id, field_id of the rows to choose for (all
+    without it). Fewer than two subsections, or one with the category's words, are no choice and cost no call; else the
+    model decides if there is one, and its answer falls back to the first ranked subsection where it fails, can't be read
+    or is refused for the budget. Answers are in the cache (at path; old holds further entries) before they are used, so
+    nothing that is computed again asks again.
     """
     size = F.size("titles")
-    rows = subs.select("doc_id", "titles", "bodies", F.explode(F.array(*(F.struct(F.lit(f.field_id).alias("field_id"), ranked_nodes(F.col("titles"), f.field_id.split(".")[0]).alias("ranked")) for f in pack))).alias("x")).select("doc_id", "titles", "bodies", "x.*")
+    listed = subs.select("doc_id", "titles", "bodies")
+    if make is not None:
+        listed = listed.withColumn("block", parts_block(F.arrays_zip(F.col("titles").alias("title"), F.col("bodies").alias("body"))))
+    of_field = F.array(*(F.struct(F.lit(f.field_id).alias("field_id"), ranked_nodes(F.col("titles"), f.field_id.split(".")[0]).alias("ranked")) for f in pack))
+    if wanted is not None:
+        mine = wanted.groupBy("doc_id").agg(F.collect_set("field_id").alias("_mine"))
+        listed = listed.join(mine, "doc_id")
+        of_field = F.filter(of_field, lambda x: F.array_contains("_mine", x["field_id"]))
+    rows = listed.withColumn("x", F.explode(of_field)).select("doc_id", "titles", *(["block"] if make is not None else []), "x.*")
     n, best = F.size("ranked"), F.try_element_at("ranked", F.lit(1))["i"]
     plain = F.when(size == 0, F.lit("node:no-subsections")).when(size == 1, F.lit("node:only-one")).when(n == 1, F.lit("node:det-unique"))
     node = F.when(size == 1, F.lit(0)).otherwise(best)
@@ -124,16 +147,14 @@ def choose_nodes(subs: DataFrame, pack: tuple[Field, ...], make: Factory | None
         how = F.coalesce(plain, F.when(n > 1, F.concat(F.lit("node:det-first-of-"), n.cast("string"))), F.lit("node:det-none"))
         return rows.select("doc_id", "field_id", node.alias("node"), how.alias("how"))
     offered = F.least(size, F.lit(MOST_OPTIONS))
-    options = F.arrays_zip(F.col("titles").alias("title"), F.col("bodies").alias("body"))
-    question = None
-    for f in pack:
-        is_it = F.col("field_id") == f.field_id
-        question = F.when(is_it, prompt(f, options)) if question is None else question.when(is_it, prompt(f, options))
-    open_rows = rows.where(plain.isNull()).withColumn("prompt", question)
-    answered = ask(open_rows, make, old)[0]
-    index = parse_index(F.col("response"), offered)
+    open_rows = rows.where(plain.isNull()).select("doc_id", "field_id", "ranked", offered.alias("offered"), prompts(pack, F.col("field_id"), F.col("block")).alias("prompt"))
+    if old is not None:
+        path = path or new_path(subs.sparkSession, "responses")
+        cache.save(old.select("key", "response"), path)
+    answered = ask_once(open_rows, make, path, ANSWER_TOKENS, budget, retry)[0]
+    index = parse_index(F.col("response"), F.col("offered"))
     how = F.when(F.col("response").isNull(), F.when(n > 0, F.lit("node:model-error-fellback")).otherwise(F.lit("node:model-error"))).when(index.isNull(), F.lit("node:model-unparsed"))
-    how = how.when(index < 0, F.lit("node:model-whole-section")).otherwise(F.concat(F.lit("node:model-"), (index + 1).cast("string"), F.lit("of"), offered.cast("string")))
+    how = how.when(index < 0, F.lit("node:model-whole-section")).otherwise(F.concat(F.lit("node:model-"), (index + 1).cast("string"), F.lit("of"), F.col("offered").cast("string")))
     chosen = answered.select("doc_id", "field_id", F.when(index.isNull(), best).when(index >= 0, index).alias("node"), how.alias("how"))
     return rows.where(plain.isNotNull()).select("doc_id", "field_id", node.alias("node"), plain.alias("how")).unionByName(chosen)
 

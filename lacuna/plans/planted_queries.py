@@ -90,6 +90,11 @@ def planted_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(_findings(spark, sf_dir))
 
 
+def planted_model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit with a client that answers well, badly, out of range or not at all: other anchors, the same codes."""
+    return told(audit.findings(_docs(spark, sf_dir), make=StandIn))
+
+
 def planted_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return audit.acceptance(_findings(spark, sf_dir), docs)
@@ -264,7 +269,7 @@ def checklist_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_frame(spark).select("field_id", "type", "dimension", "canonical_unit", "sensitivity", F.col("field_ordinal").cast("long").alias("field_ordinal"), "low", "high", F.array_join("all_of", ",").alias("all_of"), F.array_join("any_of", ",").alias("any_of"))
 
 
-_NAMES = (planted_evidence, planted_tree, planted_gate, planted_sentences, planted_candidates, planted_verdicts, planted_triggers, planted_findings, planted_acceptance, planted_counts, planted_histogram, planted_scoping, planted_labels, planted_coverage, planted_label_mix, planted_scores, planted_slices, planted_noise, greedy_repeats, planted_panels, planted_unknown, planted_unreported, planted_changes, planted_nodes, planted_model_nodes, planted_prompts, answer_index, title_overlap, token_usage, run_configurations)
+_NAMES = (planted_evidence, planted_tree, planted_gate, planted_sentences, planted_candidates, planted_verdicts, planted_triggers, planted_findings, planted_model_findings, planted_acceptance, planted_counts, planted_histogram, planted_scoping, planted_labels, planted_coverage, planted_label_mix, planted_scores, planted_slices, planted_noise, greedy_repeats, planted_panels, planted_unknown, planted_unreported, planted_changes, planted_nodes, planted_model_nodes, planted_prompts, answer_index, title_overlap, token_usage, run_configurations)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 # --- the equal SQL ---
@@ -349,7 +354,27 @@ def _prompt_cte() -> tuple[str, ...]:
 _NODE = "SELECT n.doc_id, f.field_id, n.how, CAST(n.node AS BIGINT) AS node FROM nodes n JOIN fields f USING (category)"
 _ANSWER = "([" + ", ".join("NULL" if a is None else quoted(a) for a in ANSWERS) + "])"
 _PARSED = lambda a, n: f"CASE WHEN {a} IS NULL OR regexp_extract({a}, '\\d+') = '' THEN NULL WHEN CAST(regexp_extract({a}, '\\d+') AS BIGINT) = 0 THEN -1 WHEN CAST(regexp_extract({a}, '\\d+') AS BIGINT) <= {n} THEN CAST(regexp_extract({a}, '\\d+') AS BIGINT) - 1 END"
+_MODEL_NODE = f"SELECT n.doc_id, f.field_id, CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' THEN n.how WHEN a.answer IS NULL THEN 'node:model-error' || CASE WHEN n.node IS NULL THEN '' ELSE '-fellback' END WHEN a.i IS NULL THEN 'node:model-unparsed' WHEN a.i < 0 THEN 'node:model-whole-section' ELSE 'node:model-' || (a.i + 1) || 'of' || a.n END AS how, CAST(CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' OR a.i IS NULL THEN n.node WHEN a.i >= 0 THEN a.i END AS BIGINT) AS node FROM nodes n JOIN fields f USING (category) LEFT JOIN (SELECT doc_id, field_id, n, answer, {_PARSED('answer', 'n')} AS i FROM (SELECT *, {_ANSWER}[length(p) % {len(ANSWERS)} + 1] AS answer FROM prompts)) a ON a.doc_id = n.doc_id AND a.field_id = f.field_id"
+
+
+def _model_cte() -> tuple[str, ...]:
+    """The findings with anchors from the model's subsections, as mfound."""
+    renamed = [c.replace("judged", "mjudged").replace("placed", "mplaced").replace("found AS", "mfound AS").replace("JOIN anchors", "JOIN manchors") for c in A._findings()]
+    return (
+        *_prompt_cte(),
+        f"mnodes AS MATERIALIZED (SELECT m.*, s.header AS title FROM ({_MODEL_NODE}) m LEFT JOIN subs s ON s.doc_id = m.doc_id AND s.sub_idx = m.node)",
+        "mlevels AS MATERIALIZED (SELECT s.doc_id, c.field_id, c.score, s.sent_idx, s.s + u.lead AS a, u.body, CASE WHEN s.scope = n.node THEN 0 WHEN s.scope = -1 THEN 1 WHEN s.scope = -2 THEN 2 END AS level FROM sents s JOIN scores c USING (st) JOIN usents u USING (st) JOIN mnodes n ON n.doc_id = s.doc_id AND n.field_id = c.field_id WHERE u.body <> '')",
+        f"msure AS (SELECT doc_id, field_id, a, body, 'anchor:det-confident(score=' || score || '):no-model-call' AS detector FROM mlevels WHERE level = 1 QUALIFY row_number() OVER (PARTITION BY doc_id, field_id ORDER BY score DESC, sent_idx) = 1 AND score >= {audit.CONFIDENT})",
+        "mbests AS (SELECT doc_id, field_id, 2 * level AS spot, a, body FROM mlevels WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field_id ORDER BY level, score DESC, sent_idx) = 1)",
+        "mrungs AS (SELECT * FROM mbests UNION ALL SELECT n.doc_id, n.field_id, CASE WHEN h.scope = n.node THEN 1 WHEN h.scope = -1 THEN 3 ELSE 5 END, h.a, h.body FROM mnodes n JOIN heads h ON h.doc_id = n.doc_id AND (h.scope = n.node OR h.scope < 0))",
+        "mchosen AS (SELECT r.doc_id, r.field_id, r.a, r.body, 'anchor:' || n.how || CASE WHEN r.spot % 2 = 0 THEN ':kw:' ELSE ':head:' END || CASE r.spot // 2 WHEN 0 THEN substr(n.title, 1, 34) WHEN 1 THEN 'methods' ELSE 'document' END AS detector FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, field_id ORDER BY spot) AS k FROM mrungs) r JOIN mnodes n ON n.doc_id = r.doc_id AND n.field_id = r.field_id WHERE r.k = 1)",
+        "manchors AS MATERIALIZED (SELECT * FROM msure UNION ALL SELECT * FROM mchosen c WHERE NOT EXISTS (SELECT 1 FROM msure s WHERE s.doc_id = c.doc_id AND s.field_id = c.field_id))",
+        *renamed,
+    )
+
+
 ORACLE_SQL = {
+    "planted_model_findings": A.chain("findings", FOUND.replace("FROM found f", "FROM mfound f"), _model_cte()),
     "planted_evidence": A.chain("profile", "SELECT doc_id, CAST(m_start AS BIGINT) AS m_start, CAST(m_end AS BIGINT) AS m_end, " + ", ".join(f"(base + {k}.s) || ':' || (base + {k}.e) AS {k}" for k in (*A.FEATURES, "has_wet_lab")) + " FROM profiles"),
     "planted_tree": A.chain("sections", "SELECT doc_id, '0' AS node_id, NULL AS parent_id, 'document' AS title, CAST(0 AS BIGINT) AS \"start\", CAST(length(t) AS BIGINT) AS \"end\" FROM methods UNION ALL SELECT doc_id, '0.0', '0', 'methods', m_start, m_end FROM methods UNION ALL SELECT doc_id, '0.0.' || sub_idx, '0.0', header, s, e FROM subs"),
     "planted_gate": A.chain("applicable", "SELECT doc_id, field_id, CAST(ord AS BIGINT) AS field_ordinal FROM applies"),
@@ -374,7 +399,7 @@ ORACLE_SQL = {
     "planted_unreported": A.chain(None, "SELECT DISTINCT doc_id, doc_id NOT IN (SELECT doc_id FROM canon) AS missing FROM lab", _label_cte()),
     "planted_changes": _changes_sql(),
     "planted_nodes": A.chain("sections", _NODE),
-    "planted_model_nodes": A.chain("sections", f"SELECT n.doc_id, f.field_id, CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' THEN n.how WHEN a.answer IS NULL THEN 'node:model-error' || CASE WHEN n.node IS NULL THEN '' ELSE '-fellback' END WHEN a.i IS NULL THEN 'node:model-unparsed' WHEN a.i < 0 THEN 'node:model-whole-section' ELSE 'node:model-' || (a.i + 1) || 'of' || a.n END AS how, CAST(CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' OR a.i IS NULL THEN n.node WHEN a.i >= 0 THEN a.i END AS BIGINT) AS node FROM nodes n JOIN fields f USING (category) LEFT JOIN (SELECT doc_id, field_id, n, answer, {_PARSED('answer', 'n')} AS i FROM (SELECT *, {_ANSWER}[length(p) % {len(ANSWERS)} + 1] AS answer FROM prompts)) a ON a.doc_id = n.doc_id AND a.field_id = f.field_id", _prompt_cte()),
+    "planted_model_nodes": A.chain("sections", _MODEL_NODE, _prompt_cte()),
     "planted_prompts": A.chain("sections", "SELECT doc_id, field_id, sha256('512' || chr(31) || p) AS key FROM prompts JOIN fields USING (field_id) WHERE type = 'quantity'", _prompt_cte()),
     "answer_index": f"SELECT doc_id, CAST({_PARSED('a', '(doc_id % 5)')} AS BIGINT) AS index FROM (SELECT doc_id, {_ANSWER}[doc_id % {len(ANSWERS)} + 1] AS a FROM documents)",
     "title_overlap": A.chain("sections", f"SELECT c.doc_id, arg_min(sub_idx, (-k, sub_idx)) AS node FROM canon c LEFT JOIN (SELECT doc_id, sub_idx, len(list_intersect(list_distinct(regexp_extract_all(lower(header), '[a-z]{{4,}}')), list_filter(regexp_extract_all(lower('Detail of the cell culture protocol and statistical treatment'), '[a-z]{{4,}}'), lambda w: NOT list_contains([{', '.join(map(quoted, model._COMMON))}], w)))) AS k FROM subs) s ON s.doc_id = c.doc_id GROUP BY c.doc_id"),
