@@ -75,7 +75,8 @@ def category_hits(title: Column, category: str) -> Column:
     return sum((title.rlike(rf"(?iU)\b\Q{w}\E").cast("int") for w in CATEGORIES.get(category, ())), F.lit(0))
 
 
-def first_place(text: Column, pattern: str) -> Column:
+def first_place(text: Column, pattern: str | Column) -> Column:
     """struct<start, end> of the first match, in code points; null if there is none."""
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     start = F.length(F.split(text, pattern, 2)[0])
-    return F.when(text.rlike(pattern), F.struct(start.alias("start"), (start + F.length(F.regexp_substr(text, F.lit(pattern)))).alias("end")))
+    return F.when(F.rlike(text, pattern), F.struct(start.alias("start"), (start + F.length(F.regexp_substr(text, pattern))).alias("end")))

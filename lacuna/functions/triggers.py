@@ -137,8 +137,8 @@ def clause(breaks: Column, length: Column, at: Column) -> Column:
     return F.struct(low.alias("low"), high.alias("high"))
 
 
-def target(text: Column, f: Field) -> Column:
-    """Where the text speaks of the field: a value of its dimension, else a word of its category, else a part of its id; or null."""
+def target_patterns(f: Field) -> list[str]:
+    """Patterns of where a text speaks of the field: a value of its dimension, else a word of its category, else a part of its id."""
     out = []
     if f.dimension in V.STATED:
         ways = "|".join(f"{before}{n}{after}" for before, n, after in V.STATED[f.dimension])
@@ -147,8 +147,12 @@ def target(text: Column, f: Field) -> Column:
     words = CATEGORIES.get(f.field_id.split(".")[0])
     if words:
         out.append(r"(?iU)\b(?:" + "|".join(rf"\Q{w}\E" for w in sorted(words, key=len, reverse=True)) + ")")
-    out += [rf"(?iU)\b\Q{part}\E" for part in re.split("[._]", f.field_id) if len(part) >= 4]
-    return F.coalesce(*(first_place(text, p)["start"] for p in out), F.lit(None).cast("int"))
+    return out + [rf"(?iU)\b\Q{part}\E" for part in re.split("[._]", f.field_id) if len(part) >= 4]
+
+
+def target(text: Column, f: Field) -> Column:
+    """The place of the first of the field's target patterns that the text has; null if none."""
+    return F.coalesce(*(first_place(text, p)["start"] for p in target_patterns(f)), F.lit(None).cast("int"))
 
 
 def trigger_verdict(text: Column, f: Field, lexicon: Lexicon = STARTER_LEXICON, spans: Column | None = None) -> Column:
@@ -158,6 +162,11 @@ def trigger_verdict(text: Column, f: Field, lexicon: Lexicon = STARTER_LEXICON,
     a column of trigger_spans, for use with many fields.
     """
     spans = trigger_spans(text, lexicon) if spans is None else spans
+    return governing(text, spans, F.struct(triggers(spans, f, lexicon).alias("t"), target(text, f).alias("at")))
+
+
+def governing(text: Column, spans: Column, found: Column) -> Column:
+    """As trigger_verdict; found: struct<t: triggers that can stand for the field, at: the place of its target>."""
     none = F.lit(None).cast("struct<code:string,low:int,high:int,text:string,family:string>")
 
     def choose(z: Column) -> Column:
@@ -167,5 +176,4 @@ def trigger_verdict(text: Column, f: Field, lexicon: Lexicon = STARTER_LEXICON,
         return bind(F.try_element_at(F.when((F.size(inside) == 0) & deferred, around).otherwise(inside), F.lit(1)), lambda x: F.when(x.isNotNull(), F.struct(F.element_at(codes, x["t"]["family"]).alias("code"), x["c"]["low"].alias("low"), x["c"]["high"].alias("high"), x["t"]["text"].alias("text"), x["t"]["family"].alias("family"))))
 
     codes = F.create_map(*(F.lit(x) for pair in _CODES.items() for x in pair))
-    found = F.struct(triggers(spans, f, lexicon).alias("t"), target(text, f).alias("at"))
     return F.when(spans.isNotNull(), bind(found, choose)).otherwise(none)

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lacuna.functions.text import match_spans
+from lacuna.functions.text import bind, match_spans
 from lacuna.plans.pack import Field
 
 # How numbers, units and separators are written.
@@ -79,11 +79,15 @@ def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def evidence_patterns(field_id: str) -> list[str] | None:
+    """Patterns of which one shows that a text states the field; None: none are known."""
+    return [("(?iUd)" if ci else "(?Ud)") + p for p, ci in EVIDENCE[field_id]] if field_id in EVIDENCE else None
+
+
 def relevant(text: Column, field_id: str) -> Column:
     """Whether the text holds evidence of the field; true where no evidence is known for it."""
-    if field_id not in EVIDENCE:
-        return F.lit(True)
-    return _any([text.rlike(("(?iUd)" if ci else "(?Ud)") + p) for p, ci in EVIDENCE[field_id]])
+    patterns = evidence_patterns(field_id)
+    return F.lit(True) if patterns is None else _any([text.rlike(p) for p in patterns])
 
 
 def number(token: Column) -> Column:
@@ -149,9 +153,14 @@ def quantity(text: Column, f: Field) -> Column:
     return F.when(text.rlike(r"(?U)\d"), out).when(unit_only, _OK("FIELD_OK")).otherwise(_ABSENT())
 
 
+def value_patterns(values: tuple[str, ...]) -> list[tuple[str, list[str]]]:
+    """(value, patterns of which one states it) of the values that can be stated."""
+    return [(v, ["(?iU)" + p for p in (rf"\b\Q{v.replace('_', ' ')}\E\b", *SURFACE.get(v, ()))]) for v in values if v not in SENTINELS]
+
+
 def enum_value(text: Column, values: tuple[str, ...]) -> Column:
     """The first of the values, in the checklist's order, that the text states; null if none."""
-    hits = [F.when(_any([text.rlike("(?iU)" + p) for p in (rf"\b\Q{v.replace('_', ' ')}\E\b", *SURFACE.get(v, ()))]), F.lit(v)) for v in values if v not in SENTINELS]
+    hits = [F.when(_any([text.rlike(p) for p in patterns]), F.lit(v)) for v, patterns in value_patterns(values)]
     return F.coalesce(*hits, F.lit(None).cast("string"))
 
 

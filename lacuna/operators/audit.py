@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import triggers as G
 from lacuna.functions import verdicts as V
 from lacuna.functions.headings import CATEGORIES, category_hits
+from lacuna.functions.rules import rule_frame, trigger_by, verdict_by
 from lacuna.functions.text import finding_id, sentences, strip, substantive
 from lacuna.operators.calls import Budget, Factory, Retry
 from lacuna.operators.model import choose_nodes
@@ -25,6 +26,7 @@ from lacuna.plans.pack import STARTER, VERSION, Field, pack_frame
 from lacuna.sources.shared import written
 
 METHODS, DOCUMENT = -1, -2
+_OF_DOCUMENT = ("text_sha", "features", "nodes")
 #: What is kept of a title in an anchor's detector; the keyword score in the methods from which no model is asked.
 TITLE_WIDTH, CONFIDENT = 34, 2
 
@@ -48,9 +50,10 @@ def _score(low: Column, f: Field) -> Column:
 
 
 def scopes(profiled: DataFrame, pack: tuple[Field, ...]) -> DataFrame:
-    """doc_id, text_sha, features, scope, header, start, end, scope_text, nodes: subsections, the methods window and the document of each text.
+    """doc_id, text_sha, features, scope, header, start, end, scope_text, nodes, cats: subsections, the methods window and the document of each text.
 
-    nodes: struct, for each category of the checklist, of the subsection where its fields should stand.
+    nodes: struct, for each category of the checklist, of the subsection where its fields should stand. cats: the
+    checklist's categories that the header has a word of.
     """
     subs = subsections(profiled).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("sub_idx", "header", "start", "end"))).alias("subs"))
     docs = profiled.select("doc_id", "text_sha", "features", "canonical_text", "m_start", "m_end").join(subs, "doc_id", "left")
@@ -61,7 +64,8 @@ def scopes(profiled: DataFrame, pack: tuple[Field, ...]) -> DataFrame:
     every = F.concat("subs", F.array(part(METHODS, "methods", F.col("m_start"), F.col("m_end")), part(DOCUMENT, "document", F.lit(0), F.length("canonical_text"))))
     rows = docs.where("canonical_text is not null").select("doc_id", "text_sha", "features", "canonical_text", "nodes", F.explode(every).alias("s"))
     body = F.substring(F.col("canonical_text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start"))
-    return rows.select("doc_id", "text_sha", "features", F.col("s.sub_idx").alias("scope"), "s.header", "s.start", "s.end", body.alias("scope_text"), "nodes")
+    named = F.array_compact(F.array(*(F.when(category_hits(F.col("s.header"), c) > 0, F.lit(c)) for c in sorted({_category(f) for f in pack} & set(CATEGORIES)))))
+    return rows.select("doc_id", "text_sha", "features", F.col("s.sub_idx").alias("scope"), "s.header", "s.start", "s.end", body.alias("scope_text"), "nodes", F.when(F.col("s.sub_idx") >= 0, named).alias("cats"))
 
 
 def _bearing(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon = G.STARTER_LEXICON) -> DataFrame:
@@ -69,15 +73,19 @@ def _bearing(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon =
     rows = sentences(scopes(profiled, pack), "scope_text", F.col("start")).drop("scope_text", "start", "end")
     lead = F.length(F.regexp_extract("sentence", r"(?U)^\s*", 0))
     rows = rows.withColumn("body", strip(F.col("sentence"))).withColumn("low", F.lower("sentence")).withColumn("a_start", F.col("sent_start") + lead)
-    rows = rows.withColumn("vague", F.when(F.col("scope") == METHODS, G.vague_terms(F.col("sentence"), lexicon)))
     inner, whole = F.col("scope") >= 0, F.col("scope") == METHODS
+    rows = rows.withColumn("vague", F.when(whole, G.vague_terms(F.col("sentence"), lexicon)))
+    # a sentence without any keyword and vague term bears on no field, whatever the fields are
+    words = sorted({k for f in pack for k, _ in f.keywords()}, key=len, reverse=True)
+    keyed = F.col("low").rlike("|".join(rf"\Q{w}\E" for w in words))
+    rows = rows.withColumn("scores", F.when(keyed, F.array(*(_score(F.col("low"), f) for f in pack))))
     parts = []
-    for f in pack:
-        node, score = F.col(f"nodes.{_category(f)}"), _score(F.col("low"), f)
+    for i, f in enumerate(pack):
+        node, score = F.col(f"nodes.{_category(f)}"), F.coalesce(F.col("scores")[i], F.lit(0))
         usable = (score > 0) & V.relevant(F.col("sentence"), f.field_id)
         if f.type == "quantity":
             usable = usable & F.col("sentence").rlike(r"(?U)\d")
-        belongs = (category_hits(F.col("header"), _category(f)) > 0) if _category(f) in CATEGORIES else F.lit(False)
+        belongs = F.array_contains("cats", _category(f))
         tier = F.when(inner & belongs & usable, 1).when(whole & usable, 2).when(whole & G.names_slot(F.col("vague"), f, lexicon), 3)
         level = F.when(F.col("scope") == node["sub_idx"], 0).when(whole, 1).when(F.col("scope") == DOCUMENT, 2)
         level = F.when((score > 0) & (F.length("body") > 0), level)
@@ -85,7 +93,12 @@ def _bearing(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon =
     heads = F.struct(F.lit(None).cast("string").alias("field_id"), F.lit(0).alias("score"), F.lit(None).cast("int").alias("tier"), F.lit(None).cast("int").alias("level"))
     good = substantive(F.col("body"))
     bears = F.filter(F.array(*parts), lambda x: x["tier"].isNotNull() | x["level"].isNotNull())
-    flat = rows.withColumn("x", F.explode(F.concat(bears, F.when(good, F.array(heads)).otherwise(F.array().cast("array<struct<field_id:string,score:int,tier:int,level:int>>")))))
+    bears = F.when(F.col("scores").isNotNull() | (F.size("vague") > 0), bears).otherwise(F.array().cast("array<struct<field_id:string,score:int,tier:int,level:int>>"))
+    # one row of each document carries what holds for the document; it is its first sentence's, good or not
+    carries = (F.col("scope") == DOCUMENT) & (F.col("sent_idx") == 0)
+    none = F.array().cast("array<struct<field_id:string,score:int,tier:int,level:int>>")
+    flat = rows.withColumn("x", F.explode(F.concat(bears, F.when(good | carries, F.array(heads)).otherwise(none))))
+    flat = flat.select("*", good.alias("good"), *(F.when(carries & F.col("x.field_id").isNull(), F.col(c)).alias(f"doc_{c}") for c in _OF_DOCUMENT)).drop(*_OF_DOCUMENT, "vague", "scores", "low", "sentence", "cats")
     # what the third tier scores doesn't count: its sentences come in document order
     scored = F.when(F.col("x.tier") == 3, 0).otherwise(-F.col("x.score"))
     obs = F.struct(F.col("x.tier").alias("tier"), scored.alias("s"), "scope", "sent_idx", "sent_start", "sent_end", "header", F.col("body").alias("raw_text"))
@@ -94,8 +107,8 @@ def _bearing(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon =
     # a head's key is its scope; the others' is null
     keyed = flat.withColumn("head_of", F.when(F.col("x.field_id").isNull(), F.col("scope")))
     return keyed.groupBy("doc_id", F.col("x.field_id").alias("field_id"), "head_of").agg(
-        F.min(F.when(F.col("x.tier").isNotNull(), obs)).alias("obs"), F.min(F.when(F.col("x.level").isNotNull(), anchor)).alias("anchor"), *(F.min(F.when(F.col("x.level") == i, anchor)).alias(c) for i, c in ((1, "in_methods"), (2, "in_document"))), F.min(F.when(F.col("x.field_id").isNull(), first)).alias("head"),
-        *(F.first(c).alias(c) for c in ("text_sha", "features", "nodes")))
+        F.min(F.when(F.col("x.tier").isNotNull(), obs)).alias("obs"), F.min(F.when(F.col("x.level").isNotNull(), anchor)).alias("anchor"), *(F.min(F.when(F.col("x.level") == i, anchor)).alias(c) for i, c in ((1, "in_methods"), (2, "in_document"))), F.min(F.when(F.col("x.field_id").isNull() & F.col("good"), first)).alias("head"),
+        *(F.first(f"doc_{c}", ignorenulls=True).alias(c) for c in _OF_DOCUMENT))
 
 
 def candidates(profiled: DataFrame, pack: tuple[Field, ...] = STARTER) -> DataFrame:
@@ -112,13 +125,6 @@ def _observed(bearing: DataFrame) -> DataFrame:
     return bearing.withColumn("detector", how)
 
 
-def _by_field(pack: tuple[Field, ...], make) -> Column:
-    out = None
-    for f in pack:
-        out = F.when(F.col("field_id") == f.field_id, make(f)) if out is None else out.when(F.col("field_id") == f.field_id, make(f))
-    return out
-
-
 def _judged(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon, more: tuple[str, ...] = ()) -> DataFrame:
     """The applicable fields of each document that are absent or unresolved, with their candidate and what an anchor can be made of.
 
@@ -129,17 +135,19 @@ def _judged(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon, mo
     option_of = F.when(F.col("field_id").isNotNull(), F.struct("field_id", F.struct(*kept)))
     head_at = F.when(F.col("field_id").isNull(), F.struct("head_of", "head"))
     # at most one entry for each field and each scope of the document
-    whole = bearing.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(option_of)).alias("options"), F.map_from_entries(F.collect_list(head_at)).alias("heads"), *(F.first(c).alias(c) for c in ("text_sha", "features", "nodes")))
-    rows = applicable(whole, pack_frame(profiled.sparkSession, pack), ("sensitivity", "options", "heads", "text_sha", "nodes"))
+    whole = bearing.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(option_of)).alias("options"), F.map_from_entries(F.collect_list(head_at)).alias("heads"), *(F.first(c, ignorenulls=True).alias(c) for c in _OF_DOCUMENT))
+    spark = profiled.sparkSession
+    rows = applicable(whole, pack_frame(spark, pack).join(rule_frame(spark, pack, lexicon), "field_id"), ("sensitivity", "rule", "options", "heads", "text_sha", "nodes"))
     option_here = F.try_element_at("options", F.col("field_id"))
     rows = rows.withColumns({c: option_here[c] for c in kept}).drop("options")
-    rows = rows.withColumn("node", _by_field(pack, lambda f: F.col(f"nodes.{_category(f)}"))).withColumn("raw", F.col("obs.raw_text"))
+    own_node = F.create_map(*(x for c in sorted({_category(f) for f in pack}) for x in (F.lit(c), F.col(f"nodes.{c}"))))
+    rows = rows.withColumn("node", F.element_at(own_node, F.col("rule.category"))).withColumn("raw", F.col("obs.raw_text"))
     rows = rows.withColumn("spans", G.trigger_spans(F.col("raw"), lexicon))
-    rows = rows.withColumn("trigger", _by_field(pack, lambda f: G.trigger_verdict(F.col("raw"), f, lexicon, F.col("spans")))).withColumn("typed", _by_field(pack, lambda f: V.verdict(F.col("raw"), f)))
+    rows = rows.withColumn("trigger", trigger_by(F.col("raw"), F.col("rule"), F.col("spans"))).withColumn("typed", verdict_by(F.col("raw"), F.col("rule"), pack))
     rows = rows.withColumn("verdict", F.when(F.col("trigger").isNotNull(), F.lit("FIELD_UNRESOLVED")).otherwise(F.col("typed.verdict"))).withColumn("code", F.coalesce("trigger.code", "typed.code"))
     rows = rows.where(F.col("verdict").isin("FIELD_ABSENT", "FIELD_UNRESOLVED"))
     head_of = lambda scope: F.try_element_at("heads", scope)
-    return rows.withColumns({"node_head": head_of(F.col("node.sub_idx")), "methods_head": head_of(F.lit(METHODS)), "document_head": head_of(F.lit(DOCUMENT))}).drop("heads", "nodes", "spans", "typed")
+    return rows.withColumns({"node_head": head_of(F.col("node.sub_idx")), "methods_head": head_of(F.lit(METHODS)), "document_head": head_of(F.lit(DOCUMENT))}).drop("heads", "nodes", "spans", "typed", "rule")
 
 
 def _place(keywords: list[tuple[Column, Column]], heads: list[tuple[int, Column]]) -> Column:
