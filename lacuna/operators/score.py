@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a stretch of a document whose findings are sorted together.
+STRETCH = 1 << 14
 #: Tolerance of start offsets; codes of the two slices.
 TOLERANCE = 20
 ABSENT_CODES = ("GAP_ABSENT",)
@@ -27,12 +29,39 @@ def match_single(pred: DataFrame, gold: DataFrame) -> DataFrame:
     return tp.unionByName(fp).unionByName(fn)
 
 
+def islands(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, field_id, code, start, ..) with island: equal for rows of a key that nearby starts link, however far the chain goes.
+
+    Starts over TOLERANCE apart link nothing, so matches stay within an island. A key is cut into stretches of STRETCH
+    characters, whose rows are sorted apart; only a row for each stretch meets the key's others.
+    """
+    keys = ["doc_id", "field_id", "code"]
+    cut = rows.withColumn("stretch", F.floor(F.col("start") / STRETCH))
+    order = Window.partitionBy(*keys, "stretch").orderBy("start")
+    gap = F.coalesce((F.col("start") - F.lag("start").over(order) > TOLERANCE).cast("int"), F.lit(0))
+    cut = cut.withColumn("gap", gap).withColumn("nth", F.sum("gap").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = cut.groupBy(*keys, "stretch").agg(F.min("start").alias("first"), F.max("start").alias("last"), F.max("nth").alias("gaps"))
+    along = Window.partitionBy(*keys).orderBy("stretch")
+    opens = F.coalesce(F.col("first") - F.lag("last").over(along) > TOLERANCE, F.lit(True))
+    ends = ends.withColumn("opens", opens)
+    name = lambda n: F.struct("stretch", n.cast("long").alias("nth"))
+    # the island that a stretch ends in; null: the one it began in, from the stretch before
+    own = F.when(F.col("gaps") > 0, name(F.col("gaps"))).when(F.col("opens"), name(F.lit(0)))
+    ends = ends.withColumn("own", own)
+    before = F.last("own", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    heads = ends.select(*keys, "stretch", F.when(F.col("opens"), name(F.lit(0))).otherwise(before).alias("head"))
+    return cut.join(heads, [*keys, "stretch"]).withColumn("island", F.when(F.col("nth") == 0, F.col("head")).otherwise(name(F.col("nth")))).drop("stretch", "gap", "nth", "head")
+
+
 def match_greedy(pred: DataFrame, gold: DataFrame) -> DataFrame:
-    """As match_single, for any number of findings: in order, each takes the first label within tolerance that is still free."""
+    """As match_single, for any number of findings: in order, each takes the first label within tolerance that is still free.
+
+    Only the rows of an island are listed in one place.
+    """
     keys = ["doc_id", "field_id", "code"]
     p = pred.join(gold.select("doc_id").distinct(), "doc_id", "semi")
-    both = p.select(*keys, "start", "ord", F.lit(0).alias("side")).unionByName(gold.select(*keys, "start", "ord", F.lit(1).alias("side")))
-    listed = both.groupBy(*keys).agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("ord", "start")))).alias(n) for s, n in ((0, "p"), (1, "g"))))
+    both = islands(p.select(*keys, "start", "ord", F.lit(0).alias("side")).unionByName(gold.select(*keys, "start", "ord", F.lit(1).alias("side"))))
+    listed = both.groupBy(*keys, "island").agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("ord", "start")))).alias(n) for s, n in ((0, "p"), (1, "g"))))
     start = F.struct(F.col("g").alias("free"), F.lit(0).alias("tp"), F.lit(0).alias("fp"))
 
     def take(a, x):

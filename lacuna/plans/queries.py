@@ -62,6 +62,12 @@ def anchor_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anchors.resolve_anchors(_docs(spark, sf_dir), items)
 
 
+def anchor_resolve_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same items with a line end for each blank, which stand in the texts with other white space."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("anchor_id"), F.regexp_replace(T.tidy(F.col("text")), " ", "\n").alias("anchor_text"))
+    return anchors.resolve_anchors(_docs(spark, sf_dir), items, loose=True)
+
+
 def _planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Findings and labels planted from doc_id, a pair a document, their starts up to 30 apart."""
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
@@ -140,7 +146,7 @@ def gap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planted_queries.told(audit.findings(_docs(spark, sf_dir)))
 
 
-_NAMES = (study_profile, subsection_tree, gap_findings, relevance_gate, quantity_verdict, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
+_NAMES = (study_profile, subsection_tree, gap_findings, relevance_gate, quantity_verdict, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, anchor_resolve_loose, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
 QUERIES = {f.__name__: f for f in _NAMES} | planted_queries.QUERIES
 
 _CANON = r"""canon AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)"""
@@ -169,6 +175,7 @@ ORACLE_SQL = {
     "missing_docs": f"WITH {_PLANTED} SELECT doc_id FROM p WHERE doc_id NOT IN (SELECT doc_id FROM g)",
     "cache_stats": "WITH k AS (SELECT doc_id, sha256('1024' || chr(31) || coalesce(text, '')) AS key FROM documents), m AS (SELECT DISTINCT key FROM k WHERE doc_id % 2 = 0 OR doc_id % 3 = 0), s AS (SELECT count(*) FILTER (WHERE m.key IS NOT NULL) AS hits, count(*) FILTER (WHERE m.key IS NULL) AS misses FROM k LEFT JOIN m ON k.key = m.key) SELECT hits, misses, CASE WHEN hits + misses > 0 THEN printf('%.3f', hits / (hits + misses)) ELSE 'n/a' END AS hit_rate FROM s",
     "anchor_resolve": f"WITH {_CANON}, q AS (SELECT item_id AS anchor_id, regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS a FROM benchmark) SELECT doc_id, anchor_id, CAST(strpos(t, a) - 1 AS BIGINT) AS start, CAST(strpos(t, a) - 1 + length(a) AS BIGINT) AS \"end\" FROM canon, q WHERE a <> '' AND strpos(t, a) > 0",
+    "anchor_resolve_loose": f"WITH {_CANON}, q AS (SELECT item_id AS anchor_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '\\s+') AS rx FROM benchmark), h AS (SELECT doc_id, anchor_id, t, regexp_extract(t, rx) AS m FROM canon, q WHERE rx <> '' AND regexp_matches(t, rx)) SELECT doc_id, anchor_id, CAST(strpos(t, m) - 1 AS BIGINT) AS start, CAST(strpos(t, m) - 1 + length(m) AS BIGINT) AS \"end\" FROM h",
     "running_headers": rf"WITH {_CANON}, l AS (SELECT doc_id, string_split(t, chr(10)) AS a FROM canon), x AS (SELECT doc_id, i, a[i] AS line FROM l, unnest(range(1, len(a) + 1)) AS u(i)), y AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM x), k AS (SELECT doc_id, regexp_replace(regexp_replace(line, '^\s+|\s+$', '', 'g'), '\d+', '#', 'g') AS key, s FROM y), z AS (SELECT doc_id, key, s - lag(s) OVER (PARTITION BY doc_id, key ORDER BY s) AS gap FROM k WHERE key <> ''), h AS (SELECT doc_id, key, count(*) AS hits, avg(gap) AS m, stddev_pop(gap) AS d FROM z GROUP BY doc_id, key) SELECT doc_id, key, hits, round(m, 6) AS mean_gap FROM h WHERE hits >= 3 AND m > 0 AND d <= 0.35 * m",
 }
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lacuna.sources.each import FORMAT, JsonFiles
+
 # The files' JSON forms.
 SPAN = "struct<start:int,end:int,text_sha:string>"
 FINDING = f"struct<finding_id:string,field_id:string,code:string,span:{SPAN},verdict:string,raw_text:string,canonical_value:string,canonical_unit:string,sensitivity:string,detail:map<string,string>>"
@@ -58,16 +60,11 @@ def read_pages(spark: SparkSession, path: str, extract: Callable[[bytes], list[s
 
 
 def write_each(rows: DataFrame, path: str, name: str = "doc_id") -> int:
-    """One indented JSON file a row, named by a column, for readers that want files; how many. Rows pass the driver one by one."""
-    import json
-
-    os.makedirs(path, exist_ok=True)
-    count = 0
-    for row in rows.select(name, F.to_json(F.struct(*rows.columns)).alias("json")).toLocalIterator(prefetchPartitions=True):
-        with open(os.path.join(path, f"{row[0]}.json"), "w", encoding="utf-8") as f:
-            json.dump(json.loads(row["json"]), f, indent=2, ensure_ascii=False)
-        count += 1
-    return count
+    """One indented JSON file a row, named by a column, for readers that want files; how many. Tasks write them, see each.py."""
+    rows.sparkSession.dataSource.register(JsonFiles)
+    rows.select(F.col(name).cast("string").alias("name"), F.to_json(F.struct(*rows.columns)).alias("json")).write.format(FORMAT).mode("append").save(path)
+    with open(os.path.join(path, "_SUCCESS"), encoding="utf-8") as f:
+        return int(f.read())
 
 
 def write_labels(labels: DataFrame, path: str) -> None:

@@ -81,3 +81,13 @@ def test_planted_queries_equal_their_sql(spark, name):
     key = lambda rows: sorted(map(str, rows))
     assert key(tuple(r[c] for c in order) for r in got.collect()) == key(tuple(dict(zip(want.columns, r))[c] for c in order) for r in want.fetchall())
     assert set(Q.QUERIES) == set(Q.ORACLE_SQL) and len(STARTER) == 27
+
+
+def test_a_failed_task_leaves_no_files(spark, tmp_path):
+    """Files come all at once: those of a set that fails in one of its tasks never appear."""
+    path = tmp_path / "each"
+    rows = spark.range(0, 40, 1, 8).select(F.col("id").cast("string").alias("doc_id"), F.lit("ä").alias("x"))
+    assert files.write_each(rows, str(path)) == 40 and (path / "7.json").read_text(encoding="utf-8") == '{\n  "doc_id": "7",\n  "x": "ä"\n}'
+    with pytest.raises(Exception, match="can't be a file's name"):
+        files.write_each(rows.select(F.when(F.col("doc_id") == "39", "../out").otherwise(F.concat(F.lit("new"), "doc_id")).alias("doc_id"), "x"), str(path))
+    assert sorted(p.name for p in path.iterdir()) == sorted(["_SUCCESS", *(f"{i}.json" for i in range(40))]) and not (tmp_path / "out.json").exists()
