@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -22,16 +24,30 @@ def tidy(text: Column) -> Column:
     return strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
 
 
+@lru_cache
+def unsettled_class() -> str:
+    """A pattern of one code point that NFC may change or join with others: from Unicode's data, not only what lies beyond Latin."""
+    loose = lambda c: unicodedata.combining(c) or not unicodedata.is_normalized("NFC", c) or unicodedata.category(c)[0] == "M" or 0x1160 <= ord(c) <= 0x11FF
+    points = [p for p in range(0x300, 0x110000) if not 0xD800 <= p <= 0xDFFF and loose(chr(p))]
+    ranges: list[list[int]] = []
+    for p in points:
+        if ranges and p == ranges[-1][1] + 1:
+            ranges[-1][1] = p
+        else:
+            ranges.append([p, p])
+    return "[" + "".join(rf"\x{{{low:x}}}-\x{{{high:x}}}" for low, high in ranges) + "]"
+
+
 def to_nfc(df: DataFrame, column: str) -> DataFrame:
-    """df with the column in NFC. Text below U+0300 is NFC already and stays in the JVM; only other rows go through Python."""
+    """df with the column in NFC, in one scan. Texts without a code point that NFC concerns stay in the JVM; Python gets a null for them."""
 
     @F.pandas_udf("string")
     def compose(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield part.str.normalize("NFC")
+            yield part.str.normalize("NFC") if part.notna().any() else part
 
-    plain = F.coalesce(~F.col(column).rlike("[̀-\U0010ffff]"), F.lit(True))
-    return df.where(plain).unionByName(df.where(~plain).withColumn(column, compose(F.col(column))))
+    text = F.col(column)
+    return df.withColumn(column, F.coalesce(compose(F.when(text.rlike(unsettled_class()), text)), text))
 
 
 def canonicalize(df: DataFrame, column: str = "text") -> DataFrame:

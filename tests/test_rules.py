@@ -105,3 +105,14 @@ def test_anchors_equal_brute_force(spark, monkeypatch):
 def test_an_anchor_may_hold_the_quotes_end(spark):
     row = spark.createDataFrame([("x three\\E  two", "three\\E two")], "t string, a string")
     assert tuple(row.select(anchors.resolve_anchor(F.col("t"), F.col("a")).alias("p")).first().p) == (2, 14)
+
+
+def test_nfc_of_what_it_concerns(spark):
+    import unicodedata
+
+    marks = ["e\u0301", "\u212b", "\u2126", "\u1100\u1161\u11a8", "\u2000", "\uf900", "\u0958", "a\u0301\u0316", "a\u0307\u0323"]
+    plain = ["\u201ccurly\u201d \u2013 dash \u2014 \u00b0", "\u65e5\u672c", "\u00e9", "\uac01", "\U0001f600", None, ""]
+    wanted = spark.createDataFrame([(i, x) for i, x in enumerate(marks + plain)], "i int, x string")
+    got = {r.i: (r.hit, r.x) for r in T.to_nfc(wanted.withColumn("hit", F.col("x").rlike(T.unsettled_class())), "x").collect()}
+    assert [got[i][0] for i in range(len(marks))] == [True] * len(marks) and not any(got[i][0] for i in range(len(marks), len(got)))
+    assert all(got[i][1] == (x and unicodedata.normalize("NFC", x)) for i, x in enumerate(marks + plain))
