@@ -10,7 +10,7 @@ from lacuna.functions import triggers as G
 from lacuna.functions import verdicts as V
 from lacuna.operators import audit, gold, model, perturb, profile, retrieve, score, sections
 from lacuna.plans import audit_sql as A
-from lacuna.plans.pack import STARTER, keyword_frame, pack_frame
+from lacuna.plans.pack import STARTER, VERSION, keyword_frame, pack_frame
 from lacuna.plans.planted import planted, planted_sql, quoted
 
 _LONG = lambda *names: [F.col(n).cast("long").alias(n) for n in names]
@@ -95,6 +95,15 @@ def planted_model_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told(audit.findings(_docs(spark, sf_dir), make=StandIn))
 
 
+def planted_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report for each document, with or without findings: its features and its findings' codes and ids in the checklist's order."""
+    made = audit.reports(_docs(spark, sf_dir))
+    held = F.array_join(F.array_sort(F.map_keys(F.map_filter("features", lambda k, v: v))), ",").alias("features")
+    listed = F.array_join(F.transform("findings", lambda x: F.concat(x["field_id"], F.lit(":"), x["code"], F.lit(":"), x["finding_id"])), ",").alias("findings")
+    reasons = F.aggregate("findings", F.lit(0), lambda n, x: n + F.map_contains_key(x["detail"], "reason").cast("int")).cast("long").alias("reasons")
+    return made.select("doc_id", "text_sha", "field_pack_version", held, listed, reasons)
+
+
 def planted_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return audit.acceptance(_findings(spark, sf_dir), docs)
@@ -269,7 +278,7 @@ def checklist_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_frame(spark).select("field_id", "type", "dimension", "canonical_unit", "sensitivity", F.col("field_ordinal").cast("long").alias("field_ordinal"), "low", "high", F.array_join("all_of", ",").alias("all_of"), F.array_join("any_of", ",").alias("any_of"))
 
 
-_NAMES = (planted_evidence, planted_tree, planted_gate, planted_sentences, planted_candidates, planted_verdicts, planted_triggers, planted_findings, planted_model_findings, planted_acceptance, planted_counts, planted_histogram, planted_scoping, planted_labels, planted_coverage, planted_label_mix, planted_scores, planted_slices, planted_noise, greedy_repeats, planted_panels, planted_unknown, planted_unreported, planted_changes, planted_nodes, planted_model_nodes, planted_prompts, answer_index, title_overlap, token_usage, run_configurations)
+_NAMES = (planted_evidence, planted_tree, planted_gate, planted_sentences, planted_candidates, planted_verdicts, planted_triggers, planted_findings, planted_model_findings, planted_reports, planted_acceptance, planted_counts, planted_histogram, planted_scoping, planted_labels, planted_coverage, planted_label_mix, planted_scores, planted_slices, planted_noise, greedy_repeats, planted_panels, planted_unknown, planted_unreported, planted_changes, planted_nodes, planted_model_nodes, planted_prompts, answer_index, title_overlap, token_usage, run_configurations)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 # --- the equal SQL ---
@@ -373,7 +382,9 @@ def _model_cte() -> tuple[str, ...]:
     )
 
 
+_REPORTS = f"SELECT c.doc_id, sha256(c.t) AS text_sha, {quoted(VERSION)} AS field_pack_version, coalesce(x.features, '') AS features, coalesce(y.findings, '') AS findings, coalesce(y.reasons, 0) AS reasons FROM canon c LEFT JOIN (SELECT doc_id, string_agg(DISTINCT feature, ',' ORDER BY feature) AS features FROM features GROUP BY doc_id) x ON x.doc_id = c.doc_id LEFT JOIN (SELECT doc_id, string_agg(field_id || ':' || code || ':' || finding_id, ',' ORDER BY field_ordinal) AS findings, count(reason) AS reasons FROM ({FOUND}) GROUP BY doc_id) y ON y.doc_id = c.doc_id"
 ORACLE_SQL = {
+    "planted_reports": A.chain("findings", _REPORTS),
     "planted_model_findings": A.chain("findings", FOUND.replace("FROM found f", "FROM mfound f"), _model_cte()),
     "planted_evidence": A.chain("profile", "SELECT doc_id, CAST(m_start AS BIGINT) AS m_start, CAST(m_end AS BIGINT) AS m_end, " + ", ".join(f"(base + {k}.s) || ':' || (base + {k}.e) AS {k}" for k in (*A.FEATURES, "has_wet_lab")) + " FROM profiles"),
     "planted_tree": A.chain("sections", "SELECT doc_id, '0' AS node_id, NULL AS parent_id, 'document' AS title, CAST(0 AS BIGINT) AS \"start\", CAST(length(t) AS BIGINT) AS \"end\" FROM methods UNION ALL SELECT doc_id, '0.0', '0', 'methods', m_start, m_end FROM methods UNION ALL SELECT doc_id, '0.0.' || sub_idx, '0.0', header, s, e FROM subs"),
