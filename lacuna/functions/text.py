@@ -16,12 +16,17 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def tidy(text: Column) -> Column:
-    """Line ends to newline, runs of blanks to one space, none before a newline, at most one empty line, stripped."""
+def squeezed(text: Column) -> Column:
+    """Line ends to newline, runs of blanks to one space, none before a newline, at most one empty line."""
     out = F.regexp_replace(text, "\r\n?", "\n")
     out = F.regexp_replace(out, "[ \t ]+", " ")
     out = F.regexp_replace(out, " +\n", "\n")
-    return strip(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    return F.regexp_replace(out, "\n{3,}", "\n\n")
+
+
+def tidy(text: Column) -> Column:
+    """squeezed, and stripped."""
+    return strip(squeezed(text))
 
 
 @lru_cache

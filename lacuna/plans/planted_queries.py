@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lacuna.functions import text as T
 from lacuna.functions import triggers as G
 from lacuna.functions import verdicts as V
-from lacuna.operators import audit, gold, model, perturb, profile, retrieve, score, sections
+from lacuna.operators import audit, gold, model, perturb, profile, retrieve, score, sections, survival
 from lacuna.plans import audit_sql as A
 from lacuna.plans.pack import STARTER, VERSION, keyword_frame, pack_frame
 from lacuna.plans.planted import planted, planted_sql, quoted
@@ -212,6 +212,16 @@ def planted_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perturb.perturbed(planted(spark, sf_dir)).select("doc_id", "name", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.length("text").cast("long").alias("n"))
 
 
+def perturbation_survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finding under each change that alters its text: where its span goes, and what is found there."""
+    return survival.survival(_docs(spark, sf_dir))
+
+
+def heading_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a renamed methods heading changes a document's profile or the number of its findings."""
+    return survival.heading_drift(_docs(spark, sf_dir))
+
+
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = profile.with_methods(_docs(spark, sf_dir))
     return sections.listed(docs, sections.subsections(docs))
@@ -278,7 +288,7 @@ def checklist_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_frame(spark).select("field_id", "type", "dimension", "canonical_unit", "sensitivity", F.col("field_ordinal").cast("long").alias("field_ordinal"), "low", "high", F.array_join("all_of", ",").alias("all_of"), F.array_join("any_of", ",").alias("any_of"))
 
 
-_NAMES = (planted_evidence, planted_tree, planted_gate, planted_sentences, planted_candidates, planted_verdicts, planted_triggers, planted_findings, planted_model_findings, planted_reports, planted_acceptance, planted_counts, planted_histogram, planted_scoping, planted_labels, planted_coverage, planted_label_mix, planted_scores, planted_slices, planted_noise, greedy_repeats, planted_panels, planted_unknown, planted_unreported, planted_changes, planted_nodes, planted_model_nodes, planted_prompts, answer_index, title_overlap, token_usage, run_configurations)
+_NAMES = (planted_evidence, planted_tree, planted_gate, planted_sentences, planted_candidates, planted_verdicts, planted_triggers, planted_findings, planted_model_findings, planted_reports, planted_acceptance, planted_counts, planted_histogram, planted_scoping, planted_labels, planted_coverage, planted_label_mix, planted_scores, planted_slices, planted_noise, greedy_repeats, planted_panels, planted_unknown, planted_unreported, planted_changes, perturbation_survival, heading_drift, planted_nodes, planted_model_nodes, planted_prompts, answer_index, title_overlap, token_usage, run_configurations)
 QUERIES = {f.__name__: f for f in _NAMES}
 
 # --- the equal SQL ---
@@ -330,7 +340,8 @@ def _panel_sql() -> str:
     return " UNION ALL ".join(f"SELECT * FROM ({sql})" for _, _, sql in parts)
 
 
-def _changes_sql() -> str:
+def _changed(source: str) -> list[tuple[str, str]]:
+    """(name, SELECT doc_id, x) of each change of a source (doc_id, text, ls: its lines)."""
     out = {}
     for h in perturb.HEADINGS:
         at = f"strpos(text, {quoted(perturb.HEADING)})"
@@ -341,13 +352,64 @@ def _changes_sql() -> str:
             expr = f"replace({expr}, {quoted(old)}, {quoted(new)})"
         out[name] = expr
     step = "greatest(1, len(ls) // 12)"
-    out["unseen running header injected"] = f"array_to_string(list_transform(range(1, len(ls) + 1), lambda i: ls[i] || CASE WHEN i > 1 AND (i - 1) % {step} = 0 THEN chr(10) || 'Nature Protocols ' || (12 + (i - 1) // {step}) || '(4):210-2' || ((i - 1) % 10) || '0' || chr(10) || 'Downloaded from nature.com on 2026-01-01' ELSE '' END), chr(10))"
+    out[perturb.FURNITURE] = f"array_to_string(list_transform(range(1, len(ls) + 1), lambda i: ls[i] || CASE WHEN i > 1 AND (i - 1) % {step} = 0 THEN chr(10) || 'Nature Protocols ' || (12 + (i - 1) // {step}) || '(4):210-2' || ((i - 1) % 10) || '0' || chr(10) || 'Downloaded from nature.com on 2026-01-01' ELSE '' END), chr(10))"
     out["all hard-wraps removed"] = r"regexp_replace(regexp_replace(text, '([^.\n])\n([^A-Z\n])', '\1 \2', 'g'), '([^.\n])\n$', '\1 ')"
     out["double-spaced"] = "replace(text, chr(10), chr(10) || chr(10))"
-    rows = " UNION ALL ".join(f"SELECT doc_id, {quoted(n)} AS name, {e} AS x FROM d" for n, e in out.items())
+    return [(n, f"SELECT doc_id, {e} AS x FROM {source}") for n, e in out.items()]
+
+
+def _changes_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT {quoted(n)} AS name, * FROM ({q})" for n, q in _changed("d"))
     return f"WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM ({planted_sql()})) SELECT doc_id, name, sha256(x) AS sha, length(x) AS n FROM ({rows})"
 
 
+_TIDIED = f"SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM (SELECT doc_id, {A._TIDY} AS text FROM ({planted_sql()}))"
+#: doc_id, change and t of a variant, from its own id.
+_OF = lambda names: f"split_part(doc_id, ':', 2) AS doc_id, ([{', '.join(map(quoted, ('unchanged', *names)))}])[CAST(split_part(doc_id, ':', 1) AS INTEGER) + 1] AS change"
+
+
+def _survival_sql() -> str:
+    """Places are carried by counting what a change puts in or takes out before them."""
+    changed = _changed(f"({_TIDIED})")
+    source = " UNION ALL ".join([f"SELECT '0:' || doc_id AS doc_id, text FROM ({_TIDIED})", *(f"SELECT '{i}:' || c.doc_id, c.x FROM ({q}) c JOIN ({_TIDIED}) o ON o.doc_id = c.doc_id AND o.text <> c.x" for i, (_, q) in enumerate(changed, 1))])
+
+    def shift(name: str, at: str) -> str:
+        begun = f"substr(t, 1, {at})"
+        times = lambda old: f"(length({begun}) - length(replace({begun}, {quoted(old)}, ''))) // {len(old)}"
+        if name in perturb.SWAPS:
+            return " + ".join(f"({times(old)}) * ({len(new) - len(old)})" for old, new in perturb.SWAPS[name])
+        if name == perturb.FURNITURE:
+            return f"greatest(length({begun}) - length(replace({begun}, chr(10), '')) - 1, 0) // greatest(1, (length(t) - length(replace(t, chr(10), '')) + 1) // 12) * 72"
+        if name == "double-spaced":
+            return f"2 * len(regexp_extract_all({begun}, '\n+')) - (length({begun}) - length(replace({begun}, chr(10), '')))"
+        if name == "all hard-wraps removed":
+            return f"-len(regexp_extract_all({begun}, '[^.\n]\n '))"
+        new = next(h for h in perturb.HEADINGS if name == f"heading -> '{h}'")
+        return f"CASE WHEN strpos({begun}, {quoted(perturb.HEADING)}) > 0 THEN {len(new) - len(perturb.HEADING)} ELSE 0 END"
+
+    carried = lambda at: f"CAST({at} + CASE change " + " ".join(f"WHEN {quoted(n)} THEN {shift(n, at)}" for n, _ in changed) + " END AS BIGINT)"
+    more = (
+        f"vtexts AS MATERIALIZED (SELECT {_OF([n for n, _ in changed])}, t FROM canon)",
+        f"all_found AS MATERIALIZED (SELECT {_OF([n for n, _ in changed])}, field_id, code, s, e FROM found)",
+        f"taken AS (SELECT doc_id, change, field_id, code, {carried('s')} AS s, {carried('e')} AS e FROM (SELECT f.doc_id, v.change, f.field_id, f.code, f.s, f.e, o.t FROM all_found f JOIN vtexts o ON o.doc_id = f.doc_id AND o.change = 'unchanged' JOIN vtexts v ON v.doc_id = f.doc_id AND v.change <> 'unchanged' WHERE f.change = 'unchanged'))",
+        "left_over AS (SELECT doc_id, change, field_id, code AS new_code, s AS ns, e AS ne FROM all_found WHERE change <> 'unchanged')",
+    )
+    outcome = "CASE WHEN code IS NULL THEN 'new' WHEN new_code IS NULL THEN 'lost' WHEN code <> new_code THEN 'recoded' WHEN abs(s - ns) <= 20 THEN 'kept' ELSE 'moved' END"
+    return A.chain("findings", f'SELECT doc_id, change, field_id, {outcome} AS outcome, code, s AS "start", e AS "end", new_code, ns AS new_start, ne AS new_end FROM taken FULL JOIN left_over USING (doc_id, change, field_id)', more, source)
+
+
+def _drift_sql() -> str:
+    old = f"CASE {' '.join(f'WHEN contains(text, {quoted(h)}) THEN {quoted(h)}' for h in survival.KNOWN_HEADINGS)} END"
+    known = f"(SELECT doc_id, text, strpos(text, old) AS p, length(old) AS n FROM (SELECT doc_id, text, {old} AS old FROM ({_TIDIED})) WHERE old IS NOT NULL)"
+    source = " UNION ALL ".join([f"SELECT '0:' || doc_id AS doc_id, text FROM {known}", *(f"SELECT '{i}:' || doc_id, substr(text, 1, p - 1) || {quoted(h)} || substr(text, p + n) FROM {known}" for i, h in enumerate(survival.OTHER_HEADINGS, 1))])
+    more = (
+        "held AS (SELECT doc_id, string_agg(DISTINCT feature, ',' ORDER BY feature) AS held FROM features GROUP BY doc_id)",
+        "counted AS (SELECT doc_id, count(*) AS n FROM found GROUP BY doc_id)",
+        f"made AS MATERIALIZED (SELECT {_OF(survival.OTHER_HEADINGS)}, held, n FROM (SELECT c.doc_id, coalesce(h.held, '') AS held, coalesce(k.n, 0) AS n FROM canon c LEFT JOIN held h ON h.doc_id = c.doc_id LEFT JOIN counted k ON k.doc_id = c.doc_id))",
+    )
+    return A.chain("findings", "SELECT b.doc_id, m.change AS heading, b.n AS findings, m.n AS new_findings, m.held = b.held AS same_profile, m.held = b.held AND m.n = b.n AS stable FROM made b JOIN made m ON m.doc_id = b.doc_id AND m.change <> 'unchanged' WHERE b.change = 'unchanged'", more, source)
+
+
 def _prompt_cte() -> tuple[str, ...]:
     heads = ", ".join(f"({quoted(f.field_id)}, {quoted(model.PROMPT.format(field=model.describe(f), parts=chr(0)).split(chr(0))[0])})" for f in STARTER)
     tail = quoted(model.PROMPT.split("{parts}")[1])
@@ -409,6 +471,8 @@ ORACLE_SQL = {
     "planted_unknown": A.chain(None, "SELECT DISTINCT field_id FROM lab WHERE field_id NOT IN (SELECT field_id FROM fields)", _label_cte()),
     "planted_unreported": A.chain(None, "SELECT DISTINCT doc_id, doc_id NOT IN (SELECT doc_id FROM canon) AS missing FROM lab", _label_cte()),
     "planted_changes": _changes_sql(),
+    "perturbation_survival": _survival_sql(),
+    "heading_drift": _drift_sql(),
     "planted_nodes": A.chain("sections", _NODE),
     "planted_model_nodes": A.chain("sections", _MODEL_NODE, _prompt_cte()),
     "planted_prompts": A.chain("sections", "SELECT doc_id, field_id, sha256('512' || chr(31) || p) AS key FROM prompts JOIN fields USING (field_id) WHERE type = 'quantity'", _prompt_cte()),
