@@ -7,7 +7,10 @@ Names drop neither article nor main, nor a container that holds main; one that h
 (comments and teasers are articles on many pages) only if the page has article text elsewhere. First pass: link density, length and stop-word density call a block good, bad or undecided. Second
 pass: undecided blocks take the label of the nearest decided neighbour in the page, and a tie goes to the one before.
 Where a page has an article or main element, blocks outside it are bad, and undecided ones in it without any decided
-neighbour are good.
+neighbour are good. Inside it a block of links has no say over its neighbours, and one or two linked paragraphs or heads
+in a row are undecided, as heads often link to their own page; more of them, and linked blocks of other kinds, are lists of
+links. A name that text may have as well (teaser, related, search ..) drops a container there only if a third of its
+characters are links. List items outside an article aren't bad for their few stop words.
 
 Cases: null and empty pages give an empty text; unclosed tags, comments, scripts and cut-off pages are read to their end
 as browsers do; a tag whose quote has no end stops at the next >; very long pages are read in one pass; repeated rows are all returned; other columns are not carried.
@@ -17,6 +20,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +42,8 @@ _HEADER = r"(?:header|masthead|topbar|site-title)"
 _BEFORE = r"(?:site|page|global|main|primary|secondary|top|bottom|left|right|mobile|post|article|entry|wp|block|google|dfp|gpt|div)"
 _AFTER = r"(?:wrapper|wrap|container|box|area|inner|outer|list|items?|links?|bar|section|buttons?|form|text|title|heading|icons?|primary|secondary|left|right|top|bottom|first|second|posts|articles|slot|unit|[\dx]+)"
 _ROLES = re.compile(rf"(?:{_BEFORE}[-_]+)*{_ROLE}(?:[-_]+(?:{_ROLE}|{_AFTER}))*[-_]*", re.I)
+#: Names that inside an article may belong to its text.
+_DOUBTFUL = re.compile(rf"(?:{_BEFORE}[-_]+)*(?:related|recommend\w*|teaser|search|register|disclaimer)(?:[-_]+{_AFTER})*[-_]*", re.I)
 _OUTSIDE = re.compile(rf"(?:{_BEFORE}[-_]+)*{_HEADER}(?:[-_]+{_AFTER})*[-_]*", re.I)
 _WORDS = re.compile(r"[^\W\d_]+")
 #: Stop words of English, German, French and Spanish (fixed values).
@@ -46,15 +53,32 @@ STOP_WORDS = frozenset(
     au aux avec ce cette comme dans de des du elle en est et il ils je la le les leur lui mais mes ne nous on ou où par pas pour plus qu que qui sa se ses son sont sur un une vous y
     al como con cuando del desde el ella en entre era es esta este fue ha hay la las le lo los mas más me mi muy no nos o para pero por que se sin sobre su sus también un una y ya""".split()
 )
+_ITEMS = {"li", "dt", "dd"}
+_PARAGRAPHS = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
+#: Linked paragraphs in a row that make a list of links.
+LINK_LIST = 3
 #: Link densities from which a block is bad outside and inside an article, characters of a short block, stop-word densities of good and of bad blocks.
 LINKS_OUTSIDE, LINKS_INSIDE, SHORT, STOPS_GOOD, STOPS_BAD = 0.33, 0.66, 60, 0.15, 0.05
 
 
-class _Block:
-    __slots__ = ("chars", "inside", "linked", "parts")
+class Block(NamedTuple):
+    """A block's text, its share of linked characters, whether it is inside the article, and its tag."""
 
-    def __init__(self, inside: bool):
-        self.parts, self.linked, self.chars, self.inside = [], 0, 0, inside
+    text: str
+    links: float
+    inside: bool
+    tag: str = ""
+
+    @property
+    def linked(self) -> bool:
+        return self.links >= (LINKS_INSIDE if self.inside else LINKS_OUTSIDE)
+
+
+class _Open:
+    __slots__ = ("chars", "group", "inside", "linked", "parts", "tag")
+
+    def __init__(self, inside: bool, tag: str, group: int):
+        self.parts, self.linked, self.chars, self.inside, self.tag, self.group = [], 0, 0, inside, tag, group
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -66,7 +90,7 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _unwanted(tag: str, attributes: str, inside: bool) -> int:
-    """0: wanted, 1: left out, 2: left out for its name."""
+    """0: wanted, 1: left out, 2: left out for its name, 3: left out if it is full of links."""
     if tag in _NEVER or tag == "header" and not inside:
         return 1
     if not attributes or tag in ("html", "body"):
@@ -77,30 +101,38 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> int:
     if tag in ("article", "main"):
         return 0
     names = [n for k in ("class", "id", "role") for n in found.get(k, "").split()]
-    return 2 if any(_ROLES.fullmatch(n) or not inside and _OUTSIDE.fullmatch(n) for n in names) else 0
+    named = [n for n in names if _ROLES.fullmatch(n) or not inside and _OUTSIDE.fullmatch(n)]
+    if inside and named and all(map(_DOUBTFUL.fullmatch, named)):
+        return 3 if tag in _BLOCK else 0
+    return 2 if named else 0
 
 
-def blocks(page: str, holders: bool = False) -> tuple[list[tuple[str, float, bool]], bool]:
-    """((text, link density, inside the article) of each block outside unwanted containers, whether there is an article).
+def blocks(page: str, holders: bool = False) -> tuple[list[Block], bool]:
+    """(the blocks outside unwanted containers, whether there is an article).
 
     holders: containers of articles aren't left out for their names. Set where there is no article text without.
     """
-    out: list[_Block] = []
+    out: list[_Open] = []
     stack: list[tuple[str, int]] = []  # tag, whether unwanted from here on
-    dropped = links = articles = 0
+    dropped = links = articles = doubtful = groups = 0
     found_article = named = False
-    now = _Block(False)
+
+    def opened() -> _Open:
+        return _Open(articles > 0, next((t for t, _ in reversed(stack) if t in _BLOCK), ""), groups if doubtful else 0)
+
+    now = opened()
 
     def close() -> None:
         nonlocal now
         if now.parts:
             out.append(now)
-        now = _Block(articles > 0)
+        now = opened()
 
     def pop() -> None:
-        nonlocal dropped, links, articles
+        nonlocal dropped, links, articles, doubtful
         tag, unwanted = stack.pop()
-        dropped -= unwanted > 0
+        dropped -= unwanted in (1, 2)
+        doubtful -= unwanted == 3
         links -= tag == "a"
         articles -= tag in ("article", "main")
 
@@ -128,7 +160,7 @@ def blocks(page: str, holders: bool = False) -> tuple[list[tuple[str, float, boo
                     pop()
                 pop()
             if tag in _BLOCK:
-                now = _Block(articles > 0)
+                now = opened()
             continue
         if tag == "br" or tag == "wbr":
             if tag == "br" and not dropped and now.parts:
@@ -158,28 +190,35 @@ def blocks(page: str, holders: bool = False) -> tuple[list[tuple[str, float, boo
         if tag not in _VOID:
             if dropped and tag in ("article", "main") and all(u != 1 for _, u in stack):
                 if tag == "main" or holders:
-                    stack, dropped = [(t, 0) for t, _ in stack], 0
+                    stack, dropped, doubtful = [(t, 0) for t, _ in stack], 0, 0
                 named |= dropped > 0
             stack.append((tag, unwanted := _unwanted(tag, attributes, articles > 0)))
-            dropped += unwanted > 0
+            dropped += unwanted in (1, 2)
+            groups += unwanted == 3 and not doubtful
+            doubtful += unwanted == 3
             links += tag == "a"
             if tag in ("article", "main"):
                 articles += 1
                 found_article |= not dropped
         if tag in _BLOCK:
-            now = _Block(articles > 0)
+            now = opened()
     add(page[at:])
     close()
-    found = [(" ".join("".join(b.parts).split()), b.linked / max(1, b.chars), b.inside) for b in out]
-    found = [b for b in found if b[0]]
-    if named and not any(inside for _, _, inside in found):
+    chars, linked = Counter(), Counter()
+    for b in out:
+        chars[b.group] += b.chars
+        linked[b.group] += b.linked
+    full = {g for g in chars if g and linked[g] >= LINKS_OUTSIDE * max(1, chars[g])}
+    found = [Block(" ".join("".join(b.parts).split()), b.linked / max(1, b.chars), b.inside, b.tag) for b in out if b.group not in full]
+    found = [b for b in found if b.text]
+    if named and not any(b.inside for b in found):
         return blocks(page, True)
     return found, found_article
 
 
-def first_pass(text: str, links: float, inside: bool) -> bool | None:
+def first_pass(text: str, links: float, inside: bool, tag: str = "") -> bool | None:
     """Good, bad or (None) undecided."""
-    linked = links >= (LINKS_INSIDE if inside else LINKS_OUTSIDE)
+    linked = Block(text, links, inside).linked
     if len(text) < SHORT or linked and not inside:
         return False if linked else None
     words = _WORDS.findall(text.lower())
@@ -188,16 +227,30 @@ def first_pass(text: str, links: float, inside: bool) -> bool | None:
         return None if stops >= STOPS_GOOD else False
     if stops >= STOPS_GOOD:
         return True
-    return False if stops < STOPS_BAD and not inside and words and text.isascii() else None
+    return False if stops < STOPS_BAD and not inside and tag not in _ITEMS and words and text.isascii() else None
+
+
+def list_links(found: list[Block]) -> list[bool]:
+    """Whether each block belongs to a list of links: linked, and no paragraph or head, or one of LINK_LIST linked ones in a row."""
+    out, at = [], 0
+    while at < len(found):
+        end = at
+        while end < len(found) and found[end].linked:
+            end += 1
+        out += [end - at >= LINK_LIST or b.tag not in _PARAGRAPHS for b in found[at:end]]
+        out += [False] * (end < len(found))
+        at = end + 1
+    return out
 
 
-def second_pass(labels: list[bool | None], default: bool) -> list[bool]:
-    """Undecided blocks take the nearest decided label (in a tie the one before); default where none is decided."""
+def second_pass(labels: list[bool | None], default: bool, silent: list[bool] | None = None) -> list[bool]:
+    """Undecided blocks take the nearest decided label (in a tie the one before) that isn't silent; default where there is none."""
+    heard = [x is not None and not (silent and silent[i]) for i, x in enumerate(labels)]
     before, after = [None] * len(labels), [None] * len(labels)
     for order, to in ((range(len(labels)), before), (range(len(labels) - 1, -1, -1), after)):
         seen = None
         for i in order:
-            seen = i if labels[i] is not None else seen
+            seen = i if heard[i] else seen
             to[i] = seen
     out = []
     for i, label in enumerate(labels):
@@ -209,9 +262,11 @@ def second_pass(labels: list[bool | None], default: bool) -> list[bool]:
 def main_text(page: str | None) -> str:
     found, article = blocks(page or "")
     if article:
-        found = [b for b in found if b[2]]
-    labels = second_pass([first_pass(*b) for b in found], True)
-    return "\n\n".join(b[0] for b, good in zip(found, labels, strict=True) if good)
+        found = [b for b in found if b.inside]
+    of_list = list_links(found)
+    first = [None if b.inside and b.linked and not x else first_pass(*b) for b, x in zip(found, of_list, strict=True)]
+    labels = second_pass(first, True, [b.inside and x for b, x in zip(found, of_list, strict=True)])
+    return "\n\n".join(b.text for b, good in zip(found, labels, strict=True) if good)
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
