@@ -108,19 +108,33 @@ def write_warc(derived: DataFrame, path: str, compression: str = "none") -> None
     records.write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
 
 
+#: The type given to what is no whole record.
+MALFORMED = "malformed"
+
+
 def parse_records(data: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record. One without a version line, a length or all its bytes comes as MALFORMED with its bytes as they are, up to the next version line; header bytes that aren't UTF-8 are replaced."""
     out, at = [], 0
-    while (end := data.find(b"\r\n\r\n", at)) >= 0:
-        lines = data[at:end].decode().split(_END)
+    while at < len(data):
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : max(end, at)].decode("utf-8", "replace").split(_END)
         fields = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(fields["Content-Length"])
-        out.append((fields, data[end + 4 : end + 4 + size]))
-        at = end + 4 + size + 4
+        size = next((v for k, v in fields.items() if k.lower() == "content-length"), "")
+        stop = end + 4 + int(size) if size.isascii() and size.isdigit() else -1
+        if lines[0].startswith("WARC/") and at < end < stop + 1 <= len(data) + 1:
+            out.append((fields, data[end + 4 : stop]))
+            at = stop + 4
+        else:
+            after = data.find(b"\r\n\r\nWARC/", at)
+            rest = data[at : after if after >= 0 else len(data)]
+            if rest.strip():
+                out.append(({"WARC-Type": MALFORMED}, rest))
+            at = after + 4 if after >= 0 else len(data)
     return out
 
 
 def read_warc(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """type, record_id, refers_to, target_uri, date, content_type, block_digest, block of the records in uncompressed or gzip files (of one member or many); a file is read by one task."""
+    """type, record_id, refers_to, target_uri, date, content_type, block_digest, block of the records in uncompressed or gzip files (of one member or many); a file is read by one task. Records that can't be read have the type MALFORMED and their bytes as block."""
     import gzip
 
     fields = {"type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date", "content_type": "Content-Type", "block_digest": "WARC-Block-Digest"}

@@ -158,3 +158,13 @@ def test_all_pages_against_another_parser(spark):
     got = {(r.page_id, r.url): r.text for r in H.extract_pages(rows).collect()}
     want = {(r.page_id, r.url): plain_blocks(r.html or "") for r in rows.collect()}
     assert got == want and len(want) > 200
+
+
+def test_records_that_cannot_be_read_are_told_and_skipped():
+    good = responses(2)
+    odd = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: http://\xff/\r\ncontent-length: 3\r\n\r\nabc\r\n\r\n"
+    lost = b"WARC/1.1\r\nWARC-Type: response\r\n\r\nno length\r\n\r\nmore"
+    got = warc.parse_records(good[1] + lost + b"\r\n\r\n" + odd + b"junk\r\n\r\n" + good[2] + b"WARC/1.1\r\nContent-Length: 90\r\n\r\ncut")
+    assert [f.get("WARC-Type") for f, _ in got] == ["response", warc.MALFORMED, "response", warc.MALFORMED, "response", warc.MALFORMED]
+    assert got[1][1] == lost and got[2][1] == b"abc" and "�" in got[2][0]["WARC-Target-URI"] and got[3][1] == b"junk" and got[4] == warc.parse_records(good[2])[0]
+    assert warc.parse_records(b"") == [] and len(warc.parse_records(b"".join(good))) == 3 and warc.parse_records(b"WARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n")[0][1] == b""
