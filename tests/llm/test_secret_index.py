@@ -40,3 +40,10 @@ def test_redaction_keeps_columns_of_any_type(spark):
     out = S.redact_documents(df)
     assert out.columns == df.columns and out.first()[:4] == (1, "a [SECRET] b", {"k": 1}, [1])
     assert S.redact_documents(df.limit(0)).count() == 0 and S.scan_documents(df.withColumn("spans", F.lit(1))).count() == 1
+
+
+def test_logins_of_any_length(spark):
+    long = f"x https://{'u' * 500}:{'p' * 5000}@host y ftp://a:b@host http://a:bcd@e"
+    spans = S.scan_documents(spark.createDataFrame([(1, long)], "doc_id long, text string")).first().spans
+    want = [m.span() for m in re.finditer(r"[a-z][a-z0-9+.-]{1,20}://[A-Za-z0-9._~%-]+:[A-Za-z0-9._~%!$&*+-]{3,}@", long)]
+    assert len(want) == 2 and [(s.start, s.end) for s in spans if s.kind == "url_login"] == want
