@@ -75,10 +75,15 @@ class Block(NamedTuple):
 
 
 class _Open:
-    __slots__ = ("chars", "group", "inside", "linked", "parts", "tag")
+    __slots__ = ("group", "inside", "linked", "parts", "tag", "text")
 
     def __init__(self, inside: bool, tag: str, group: int):
-        self.parts, self.linked, self.chars, self.inside, self.tag, self.group = [], 0, 0, inside, tag, group
+        self.parts, self.linked, self.inside, self.tag, self.group, self.text = [], 0, inside, tag, group, ""
+
+
+def _solid(text: str) -> int:
+    """Characters of a text with single spaces, without these."""
+    return len(text) - text.count(" ")
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -118,15 +123,19 @@ def blocks(page: str, holders: bool = False) -> tuple[list[Block], bool]:
     found_article = named = False
 
     def opened() -> _Open:
-        return _Open(articles > 0, next((t for t, _ in reversed(stack) if t in _BLOCK), ""), groups if doubtful else 0)
+        tag = stack[-1][0] if stack else ""
+        if tag not in _BLOCK:
+            tag = next((t for t, _ in reversed(stack) if t in _BLOCK), "")
+        return _Open(articles > 0, tag, groups if doubtful else 0)
 
     now = opened()
 
     def close() -> None:
         nonlocal now
         if now.parts:
+            now.text = " ".join("".join(now.parts).split())
             out.append(now)
-        now = opened()
+            now = opened()
 
     def pop() -> None:
         nonlocal dropped, links, articles, doubtful
@@ -140,9 +149,8 @@ def blocks(page: str, holders: bool = False) -> tuple[list[Block], bool]:
         if raw and not dropped:
             text = entities.unescape(raw)
             now.parts.append(text)
-            size = len("".join(text.split()))
-            now.chars += size
-            now.linked += size if links else 0
+            if links:
+                now.linked += len("".join(text.split()))
 
     at = 0
     while m := _MARKUP.search(page, at):
@@ -206,11 +214,11 @@ def blocks(page: str, holders: bool = False) -> tuple[list[Block], bool]:
     close()
     chars, linked = Counter(), Counter()
     for b in out:
-        chars[b.group] += b.chars
-        linked[b.group] += b.linked
-    full = {g for g in chars if g and linked[g] >= LINKS_OUTSIDE * max(1, chars[g])}
-    found = [Block(" ".join("".join(b.parts).split()), b.linked / max(1, b.chars), b.inside, b.tag) for b in out if b.group not in full]
-    found = [b for b in found if b.text]
+        if b.group:
+            chars[b.group] += _solid(b.text)
+            linked[b.group] += b.linked
+    full = {g for g in chars if linked[g] >= LINKS_OUTSIDE * max(1, chars[g])}
+    found = [Block(b.text, b.linked / max(1, _solid(b.text)) if b.linked else 0.0, b.inside, b.tag) for b in out if b.text and b.group not in full]
     if named and not any(b.inside for b in found):
         return blocks(page, True)
     return found, found_article
