@@ -37,7 +37,7 @@ def winnow(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     if window < 1 or window & (window - 1):
         raise ValueError("window must be a power of two")
     # A search goes on at the second half of a surrogate pair too, which starts no gram.
-    grams = F.when(F.length(text) > gram, F.regexp_extract_all(text, F.lit(f"(?s)(?=(\\P{{Cs}}.{{{gram - 1}}}))"), F.lit(1))).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    grams = F.when(F.length(text) > _LAST, F.raise_error(F.lit(f"a text of over {_LAST} code points"))).when(F.length(text) > gram, F.regexp_extract_all(text, F.lit(f"(?s)(?=(\\P{{Cs}}.{{{gram - 1}}}))"), F.lit(1))).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
     least = F.transform(grams, lambda g, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(g), 64 - 36), _POSITION_BITS) + (F.lit(_LAST) - i))
     reach, shift = window, 1
     while reach > 1:
@@ -93,6 +93,12 @@ def range_bounds(source: DataFrame, ranges: int) -> DataFrame:
     return source.sparkSession.createDataFrame([tuple(cuts.first())], cuts.schema)
 
 
+def below(bounds: Column, value: Column) -> Column:
+    """How many of the sorted bounds, 2 * MAX_RANGES - 1 at most, are less than value, by halving."""
+    steps = F.array(*(F.lit(1 << k) for k in range(MAX_RANGES.bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < value, at + step).otherwise(at))
+
+
 def in_ranges(docs: DataFrame, order_col: str, text_col: str) -> tuple[DataFrame, WindowSpec]:
     """(o, text, r, h, copy; a window) for the next row in descending order, the first row's after the last.
 
@@ -103,7 +109,7 @@ def in_ranges(docs: DataFrame, order_col: str, text_col: str) -> tuple[DataFrame
     source = docs.select(F.col(order_col).alias("o"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ranges = min(MAX_RANGES, RANGES_EACH * int(spark.conf.get("spark.sql.shuffle.partitions")))
     last = F.array_size("bounds")
-    place = last - F.array_size(F.filter("bounds", lambda b: b < F.col("o")))
+    place = last - below(F.col("bounds"), F.col("o"))
     source = source.crossJoin(F.broadcast(range_bounds(source, ranges)))
     # 0: the highest ids; one more range for null ids.
     placed = source.withColumn("r", F.when(F.col("o").isNull(), last + 1).otherwise(place)).withColumn("h", F.xxhash64("text")).drop("bounds")

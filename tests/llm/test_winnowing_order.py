@@ -48,3 +48,19 @@ def test_one_id_and_a_long_text(spark):
     one = W.edited_likeness_query(df.where("doc_id = 1")).first()
     assert (one.near_edited, one.near_next) == (1.0, 1.0)
     assert W.range_bounds(df.limit(0).withColumnRenamed("doc_id", "o"), 8).first().bounds == []
+
+
+def test_bounds_below_a_value(spark):
+    bounds = sorted(R.sample(range(5000), 777))
+    for some in ([], [4], bounds):
+        df = spark.range(-1, 5001).select(F.array(*map(F.lit, some)).cast("array<long>").alias("b"), "id")
+        assert all(r.n == sum(x < r.id for x in some) for r in df.select("id", W.below(F.col("b"), F.col("id")).alias("n")).collect())
+    assert spark.range(1).select(W.below(F.sequence(F.lit(0), F.lit(2 * W.MAX_RANGES - 2)), F.lit(1 << 30))).first()[0] == 2 * W.MAX_RANGES - 1
+
+
+def test_texts_beyond_the_position_field_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(W, "_LAST", 50)
+    df = spark.createDataFrame([("a" * 50,), ("a" * 51,)], "t string")
+    assert len(df.where("length(t) = 50").select(W.winnow(F.col("t"))).collect()) == 1
+    with pytest.raises(Exception, match="code points"):
+        df.select(W.winnow(F.col("t"))).collect()
