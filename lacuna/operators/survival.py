@@ -2,7 +2,7 @@
 
 The texts and their changes are audited as documents of one run, whose findings are written once; a place of the unchanged
 text is carried into the changed one before the two are compared. Work and rows grow with the number of texts: a text has
-at most 15 changes, and a finding at most a field in each.
+at most 14 changes, and a finding at most a field in each.
 """
 
 from __future__ import annotations
@@ -52,7 +52,7 @@ def survival(docs: DataFrame, pack: tuple[Field, ...] = STARTER, lexicon: G.Lexi
     found = written(found.withColumn("change", _change_of(names)).withColumn("doc_id", F.expr("substring(doc_id, locate(':', doc_id) + 1)").cast(kind)), "survival")
     base = found.where(F.col("change") == UNCHANGED).drop("change")
     held = texts.where(F.col("change") == UNCHANGED).select(F.col("of").alias("doc_id"), "canonical_text")
-    altered = texts.where(F.col("change") != UNCHANGED).groupBy(F.col("of").alias("doc_id")).agg(F.collect_set("change").alias("changes"))  # 15 at most
+    altered = texts.where(F.col("change") != UNCHANGED).groupBy(F.col("of").alias("doc_id")).agg(F.collect_set("change").alias("changes"))  # 14 at most
     rows = base.join(held.join(altered, "doc_id"), "doc_id")
     starts, ends = (perturb.carried(F.col("canonical_text"), F.col(c)) for c in ("start", "end"))
     moved = F.array(*(F.struct(F.lit(n).alias("change"), F.when(F.array_contains("changes", n), F.struct(starts[n].alias("start"), ends[n].alias("end"))).alias("at")) for n in names))
