@@ -3,11 +3,12 @@
 A word's vector is the sum of hashed embeddings of the word and of its prefixes. Filters of widths 1, 2 and 3 run over
 the whole text, a rectifier and a maximum over time follow, and a logistic unit weighs the maxima. The first embedding
 coordinate starts as the shrunken log-odds of its bucket among toxic training texts; all weights are then trained by
-stochastic gradient descent. On a held-back fifth of the training rows, a threshold is chosen for all rows and for each
+stochastic gradient descent, in which a text meets these log-odds as they are without it. On a held-back fifth of the training rows, a threshold is chosen for all rows and for each
 language (guessed from the text's stop words), which is drawn towards the common one the more the fewer rows it has; a
 score is the logistic of the distance from its language's threshold, so 0.5 is the cut.
 
-Training takes a bounded sample (TRAIN_ROWS) of labelled rows; every text is scored whole.
+Training takes a bounded sample of labelled rows, at most 2 * TRAIN_ROWS with TRAIN_BYTES of text in all; every text is
+scored whole.
 
 Cases: null and blank texts have no words and get the score of an empty text; rows without a label, null labels and null
 ids are not learned from; a repeated text counts once in training; without a positive and a negative label all scores
@@ -27,11 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm.common import arrow_map, bucket_of, per_worker, ship
+from lacuna.llm.common import arrow_map, bucket_of, materialize, per_worker, ship
 
-TRAIN_ROWS = 6_000
-BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, RATE = 1 << 18, 8, 6, (1, 2, 3), 4, 0.02
-PREFIXES = (4, 5, 6)
+TRAIN_ROWS, TRAIN_BYTES = 6_000, 24_000_000
+BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, RATE = 1 << 18, 8, 6, (1, 2, 3), 4, 0.08
+#: The longest step of a text's gradient before the rate.
+CLIP = 5.0
+#: Texts that the log-odds of a bucket count as beside its own; texts that a bucket needs for log-odds other than 0.
+PRIOR, LEAST_TEXTS = 5.0, 3
+PREFIXES = (4, 6)
 #: Positives that thresholds are chosen on, at least; rows that the common threshold counts as beside a language's own.
 LEAST_CALIBRATING, SHRINK = 10, 20
 #: Words whose vectors a worker keeps, at most.
@@ -86,11 +91,12 @@ class ToxicityModel:
             out.append(np.maximum.reduceat(h, starts, axis=0))
         return np.maximum(np.concatenate(out, 1), 0)
 
-    def _train_one(self, ids: list[list[int]], label: int, weight: float, rate: float) -> None:
+    def _train_one(self, ids: list[list[int]], label: int, weight: float, rate: float, without: np.ndarray) -> None:
         flat = np.array([f for word in ids for f in word], np.int64)
         edges = np.cumsum([0, *map(len, ids)])[:-1]
         x = np.zeros((len(ids) + 2, DIM), np.float32)
         x[: len(ids)] = np.add.reduceat(self.table[flat], edges, axis=0)
+        x[: len(ids), 0] += np.add.reduceat(without[flat], edges)
         tops, values = [], []
         for kernel, offset in zip(self.kernels, self.offsets, strict=True):
             h = x @ kernel[0]
@@ -104,6 +110,9 @@ class ToxicityModel:
         p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(self.out @ (z * active)) + self.bias))))
         g = np.float32(weight * (p - label))
         back = g * self.out * active
+        # A step no longer than CLIP, so that a text of large values can't throw the weights off.
+        tall = np.concatenate([sum((x[top + j] ** 2).sum(1) for j in range(k)) for k, top in zip(WIDTHS, tops, strict=True)])
+        rate *= min(1.0, CLIP / max(1e-12, float(np.sqrt(((g * z * active) ** 2).sum() + (back**2 * tall).sum()))))
         self.out -= rate * (g * z * active + 1e-4 * self.out)
         self.bias -= rate * float(g)
         for w, (kernel, offset, top) in enumerate(zip(self.kernels, self.offsets, tops, strict=True)):
@@ -131,25 +140,33 @@ class ToxicityModel:
         positive = sum(y for _, y, _ in train)
         if not positive or positive == len(train) or not any(y for _, y, _ in held):
             return self
-        self._log_odds(train, positive / len(train))
+        without = self._log_odds(train, positive / len(train))
         rng, weights = np.random.default_rng(seed), (len(train) / 2 / (len(train) - positive), len(train) / 2 / positive)
         for epoch in range(EPOCHS):
             for i in rng.permutation(len(train)):
                 ids, y, _ = train[i]
-                self._train_one(ids, y, weights[y], RATE / (1 + epoch))
+                self._train_one(ids, y, weights[y], RATE / (1 + epoch), without[y])
         self.trained = True
         # Too few positives set no cut; then all rows set it.
         self._calibrate(held if sum(y for _, y, _ in held) >= LEAST_CALIBRATING else train + held)
         return self
 
-    def _log_odds(self, train: list, share: float, prior: float = 10.0) -> None:
-        """First coordinate: log of the toxic share of a bucket's texts over the share of all, shrunk towards 0."""
+    def _log_odds(self, train: list, share: float) -> list[np.ndarray]:
+        """First coordinate: log of the toxic share of a bucket's texts over the share of all, shrunk towards 0.
+
+        Returns by label what a text of that label must add to see each of its buckets as if it hadn't been counted.
+        """
         n, toxic = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
         for ids, y, _ in train:
             found = np.unique(np.fromiter((f for word in ids for f in word), np.int64))
             n[found] += 1
             toxic[found] += y
-        self.table[:, 0] = np.clip(np.log((toxic + prior * share) / (n + prior) / share), -1, 3) * (n >= 4)
+
+        def odds(n: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+            return np.clip(np.log((np.maximum(toxic, 0) + PRIOR * share) / (np.maximum(n, 0) + PRIOR) / share), -1, 3) * (n >= LEAST_TEXTS)
+
+        self.table[:, 0] = odds(n, toxic)
+        return [(odds(n - 1, toxic - y) - self.table[:, 0]).astype(np.float32) for y in (0, 1)]
 
     def _calibrate(self, held: list) -> None:
         z = self.logits_of([ids for ids, _, _ in held])
@@ -215,12 +232,23 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.model.scale * (z - np.array(cuts)), -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = 5) -> ToxicityModel:
-    """Learns from about rows labelled documents, at most twice as many, whose fold isn't 0; they are taken by a hash of the id."""
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int = 5, budget: int = TRAIN_BYTES) -> ToxicityModel:
+    """Learns from about rows labelled documents, at most twice as many, whose fold isn't 0; they are taken by a hash of the id.
+
+    Texts that would pass the budget of bytes are left out, in the order of that hash.
+    """
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (bucket_of(F.col("doc_id"), folds) != 0)).select("doc_id", "toxic")
     share = min(1.0, rows / max(1, known.count()))
     some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).limit(2 * rows)
-    taken: pd.DataFrame = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").limit(2 * rows).toPandas()
+    drawn = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").limit(2 * rows)
+    drawn = materialize(drawn.withColumn("rank", F.xxhash64("doc_id")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0))), "toxic-sample")
+    held, left = [], budget
+    for r in drawn.select("rank", "bytes").distinct().orderBy("rank", "bytes").collect():  # numbers of 2 * rows documents at most
+        if r["bytes"] <= left:
+            held.append((r["rank"], r["bytes"]))
+            left -= r["bytes"]
+    fits = drawn.sparkSession.createDataFrame(held, "rank long, bytes int")
+    taken: pd.DataFrame = drawn.join(F.broadcast(fits), ["rank", "bytes"], "left_semi").select("doc_id", "text", "toxic").toPandas()
     taken = taken.sort_values(["doc_id", "text"], na_position="first")
     return ToxicityModel().fit(taken["text"].where(taken["text"].notna(), None).tolist(), taken["toxic"].tolist())
 
