@@ -60,17 +60,19 @@ SEGMENTS = (
 )
 
 
-def planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id (string), text."""
+def planted(spark: SparkSession, sf_dir: str, segments: tuple = SEGMENTS, own: bool = False) -> DataFrame:
+    """doc_id (string), text; own: each document's own text follows."""
     pick = lambda step, choices: F.element_at(F.array(*map(F.lit, choices)), (F.floor(F.col("doc_id") / step) % len(choices) + 1).cast("int"))
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(*(pick(*s) for s in SEGMENTS)).alias("text"))
+    last = [F.coalesce("text", F.lit(""))] if own else []
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(*(pick(*s) for s in segments), *last).alias("text"))
 
 
 def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def planted_sql() -> str:
+def planted_sql(segments: tuple = SEGMENTS, own: bool = False) -> str:
     """SELECT of the same rows."""
     pick = lambda step, choices: f"([{', '.join(map(quoted, choices))}])[(doc_id // {step}) % {len(choices)} + 1]"
-    return f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {' || '.join(pick(*s) for s in SEGMENTS)} AS text FROM documents"
+    last = " || coalesce(text, '')" if own else ""
+    return f"SELECT CAST(doc_id AS VARCHAR) AS doc_id, {' || '.join(pick(*s) for s in segments)}{last} AS text FROM documents"

@@ -410,14 +410,14 @@ def _drift_sql() -> str:
     return A.chain("findings", "SELECT b.doc_id, m.change AS heading, b.n AS findings, m.n AS new_findings, m.held = b.held AS same_profile, m.held = b.held AND m.n = b.n AS stable FROM made b JOIN made m ON m.doc_id = b.doc_id AND m.change <> 'unchanged' WHERE b.change = 'unchanged'", more, source)
 
 
-def _prompt_cte() -> tuple[str, ...]:
+def prompt_cte() -> tuple[str, ...]:
     heads = ", ".join(f"({quoted(f.field_id)}, {quoted(model.PROMPT.format(field=model.describe(f), parts=chr(0)).split(chr(0))[0])})" for f in STARTER)
     tail = quoted(model.PROMPT.split("{parts}")[1])
     flat = "trim(regexp_replace(body, '\\s+', ' ', 'g'))"
     return (
         f"ph AS (SELECT * FROM (VALUES {heads}) v(field_id, head))",
         f"bodies AS (SELECT s.doc_id, s.sub_idx, s.header, {flat} AS flat FROM (SELECT subs.*, substr(m.t, subs.s + 1, subs.e - subs.s) AS body FROM subs JOIN methods m USING (doc_id)) s)",
-        "parts AS (SELECT doc_id, count(*) AS n, string_agg((sub_idx + 1) || '. ' || header || CASE WHEN flat = '' THEN '' ELSE chr(10) || '   ' || CASE WHEN length(flat) <= 160 THEN flat ELSE regexp_replace(substr(flat, 1, 160), '(?s)^(.*) .*$', '\\1') || ' ...' END END, chr(10) ORDER BY sub_idx) AS list FROM bodies GROUP BY doc_id)",
+        f"parts AS (SELECT doc_id, count(*) AS n, string_agg((sub_idx + 1) || '. ' || header || CASE WHEN flat = '' THEN '' ELSE chr(10) || '   ' || CASE WHEN length(flat) <= 160 THEN flat ELSE regexp_replace(substr(flat, 1, 160), '(?s)^(.*) .*$', '\\1') || ' ...' END END, chr(10) ORDER BY sub_idx) AS list FROM bodies WHERE sub_idx < {model.MOST_OPTIONS} GROUP BY doc_id)",
         f"prompts AS (SELECT doc_id, field_id, n, head || list || {tail} AS p FROM parts CROSS JOIN ph WHERE n > 1)",
     )
 
@@ -425,15 +425,15 @@ def _prompt_cte() -> tuple[str, ...]:
 _NODE = "SELECT n.doc_id, f.field_id, n.how, CAST(n.node AS BIGINT) AS node FROM nodes n JOIN fields f USING (category)"
 _ANSWER = "([" + ", ".join("NULL" if a is None else quoted(a) for a in ANSWERS) + "])"
 _PARSED = lambda a, n: f"CASE WHEN {a} IS NULL OR regexp_extract({a}, '\\d+') = '' THEN NULL WHEN CAST(regexp_extract({a}, '\\d+') AS BIGINT) = 0 THEN -1 WHEN CAST(regexp_extract({a}, '\\d+') AS BIGINT) <= {n} THEN CAST(regexp_extract({a}, '\\d+') AS BIGINT) - 1 END"
-_MODEL_NODE = f"SELECT n.doc_id, f.field_id, CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' THEN n.how WHEN a.answer IS NULL THEN 'node:model-error' || CASE WHEN n.node IS NULL THEN '' ELSE '-fellback' END WHEN a.i IS NULL THEN 'node:model-unparsed' WHEN a.i < 0 THEN 'node:model-whole-section' ELSE 'node:model-' || (a.i + 1) || 'of' || a.n END AS how, CAST(CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' OR a.i IS NULL THEN n.node WHEN a.i >= 0 THEN a.i END AS BIGINT) AS node FROM nodes n JOIN fields f USING (category) LEFT JOIN (SELECT doc_id, field_id, n, answer, {_PARSED('answer', 'n')} AS i FROM (SELECT *, {_ANSWER}[length(p) % {len(ANSWERS)} + 1] AS answer FROM prompts)) a ON a.doc_id = n.doc_id AND a.field_id = f.field_id"
+MODEL_NODE = f"SELECT n.doc_id, f.field_id, CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' THEN n.how WHEN a.answer IS NULL THEN 'node:model-error' || CASE WHEN n.node IS NULL THEN '' ELSE '-fellback' END WHEN a.i IS NULL THEN 'node:model-unparsed' WHEN a.i < 0 THEN 'node:model-whole-section' ELSE 'node:model-' || (a.i + 1) || 'of' || a.n END AS how, CAST(CASE WHEN n.how NOT LIKE 'node:det-first%' AND n.how <> 'node:det-none' OR a.i IS NULL THEN n.node WHEN a.i >= 0 THEN a.i END AS BIGINT) AS node FROM nodes n JOIN fields f USING (category) LEFT JOIN (SELECT doc_id, field_id, n, answer, {_PARSED('answer', 'n')} AS i FROM (SELECT *, {_ANSWER}[length(p) % {len(ANSWERS)} + 1] AS answer FROM prompts)) a ON a.doc_id = n.doc_id AND a.field_id = f.field_id"
 
 
 def _model_cte() -> tuple[str, ...]:
     """The findings with anchors from the model's subsections, as mfound."""
     renamed = [c.replace("judged", "mjudged").replace("placed", "mplaced").replace("found AS", "mfound AS").replace("JOIN anchors", "JOIN manchors") for c in A._findings()]
     return (
-        *_prompt_cte(),
-        f"mnodes AS MATERIALIZED (SELECT m.*, s.header AS title FROM ({_MODEL_NODE}) m LEFT JOIN subs s ON s.doc_id = m.doc_id AND s.sub_idx = m.node)",
+        *prompt_cte(),
+        f"mnodes AS MATERIALIZED (SELECT m.*, s.header AS title FROM ({MODEL_NODE}) m LEFT JOIN subs s ON s.doc_id = m.doc_id AND s.sub_idx = m.node)",
         "mlevels AS MATERIALIZED (SELECT s.doc_id, c.field_id, c.score, s.sent_idx, s.s + u.lead AS a, u.body, CASE WHEN s.scope = n.node THEN 0 WHEN s.scope = -1 THEN 1 WHEN s.scope = -2 THEN 2 END AS level FROM sents s JOIN scores c USING (st) JOIN usents u USING (st) JOIN mnodes n ON n.doc_id = s.doc_id AND n.field_id = c.field_id WHERE u.body <> '')",
         f"msure AS (SELECT doc_id, field_id, a, body, 'anchor:det-confident(score=' || score || '):no-model-call' AS detector FROM mlevels WHERE level = 1 QUALIFY row_number() OVER (PARTITION BY doc_id, field_id ORDER BY score DESC, sent_idx) = 1 AND score >= {audit.CONFIDENT})",
         "mbests AS (SELECT doc_id, field_id, 2 * level AS spot, a, body FROM mlevels WHERE level IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id, field_id ORDER BY level, score DESC, sent_idx) = 1)",
@@ -445,11 +445,12 @@ def _model_cte() -> tuple[str, ...]:
 
 
 _REPORTS = f"SELECT c.doc_id, sha256(c.t) AS text_sha, {quoted(VERSION)} AS field_pack_version, coalesce(x.features, '') AS features, coalesce(y.findings, '') AS findings, coalesce(y.reasons, 0) AS reasons FROM canon c LEFT JOIN (SELECT doc_id, string_agg(DISTINCT feature, ',' ORDER BY feature) AS features FROM features GROUP BY doc_id) x ON x.doc_id = c.doc_id LEFT JOIN (SELECT doc_id, string_agg(field_id || ':' || code || ':' || finding_id, ',' ORDER BY field_ordinal) AS findings, count(reason) AS reasons FROM ({FOUND}) GROUP BY doc_id) y ON y.doc_id = c.doc_id"
+TREE = "SELECT doc_id, '0' AS node_id, NULL AS parent_id, 'document' AS title, CAST(0 AS BIGINT) AS \"start\", CAST(length(t) AS BIGINT) AS \"end\" FROM methods UNION ALL SELECT doc_id, '0.0', '0', 'methods', m_start, m_end FROM methods UNION ALL SELECT doc_id, '0.0.' || sub_idx, '0.0', header, s, e FROM subs"
 ORACLE_SQL = {
     "planted_reports": A.chain("findings", _REPORTS),
     "planted_model_findings": A.chain("findings", FOUND.replace("FROM found f", "FROM mfound f"), _model_cte()),
     "planted_evidence": A.chain("profile", "SELECT doc_id, CAST(m_start AS BIGINT) AS m_start, CAST(m_end AS BIGINT) AS m_end, " + ", ".join(f"(base + {k}.s) || ':' || (base + {k}.e) AS {k}" for k in (*A.FEATURES, "has_wet_lab")) + " FROM profiles"),
-    "planted_tree": A.chain("sections", "SELECT doc_id, '0' AS node_id, NULL AS parent_id, 'document' AS title, CAST(0 AS BIGINT) AS \"start\", CAST(length(t) AS BIGINT) AS \"end\" FROM methods UNION ALL SELECT doc_id, '0.0', '0', 'methods', m_start, m_end FROM methods UNION ALL SELECT doc_id, '0.0.' || sub_idx, '0.0', header, s, e FROM subs"),
+    "planted_tree": A.chain("sections", TREE),
     "planted_gate": A.chain("applicable", "SELECT doc_id, field_id, CAST(ord AS BIGINT) AS field_ordinal FROM applies"),
     "planted_sentences": A.chain("sentences", "SELECT doc_id, st AS sentence, CAST(scope AS BIGINT) AS scope, CAST(sent_idx AS BIGINT) AS sent_idx, s AS sent_start, e AS sent_end FROM sents"),
     "planted_candidates": A.chain("candidates", 'SELECT doc_id, field_id, detector, x AS raw_text, s AS "start", e AS "end" FROM obs'),
@@ -474,8 +475,8 @@ ORACLE_SQL = {
     "perturbation_survival": _survival_sql(),
     "heading_drift": _drift_sql(),
     "planted_nodes": A.chain("sections", _NODE),
-    "planted_model_nodes": A.chain("sections", _MODEL_NODE, _prompt_cte()),
-    "planted_prompts": A.chain("sections", "SELECT doc_id, field_id, sha256('512' || chr(31) || p) AS key FROM prompts JOIN fields USING (field_id) WHERE type = 'quantity'", _prompt_cte()),
+    "planted_model_nodes": A.chain("sections", MODEL_NODE, prompt_cte()),
+    "planted_prompts": A.chain("sections", "SELECT doc_id, field_id, sha256('512' || chr(31) || p) AS key FROM prompts JOIN fields USING (field_id) WHERE type = 'quantity'", prompt_cte()),
     "answer_index": f"SELECT doc_id, CAST({_PARSED('a', '(doc_id % 5)')} AS BIGINT) AS index FROM (SELECT doc_id, {_ANSWER}[doc_id % {len(ANSWERS)} + 1] AS a FROM documents)",
     "title_overlap": A.chain("sections", f"SELECT c.doc_id, arg_min(sub_idx, (-k, sub_idx)) AS node FROM canon c LEFT JOIN (SELECT doc_id, sub_idx, len(list_intersect(list_distinct(regexp_extract_all(lower(header), '[a-z]{{4,}}')), list_filter(regexp_extract_all(lower('Detail of the cell culture protocol and statistical treatment'), '[a-z]{{4,}}'), lambda w: NOT list_contains([{', '.join(map(quoted, model._COMMON))}], w)))) AS k FROM subs) s ON s.doc_id = c.doc_id GROUP BY c.doc_id"),
     "token_usage": "SELECT calls, i AS input_tokens, o AS output_tokens, i + o AS total, round((i + o) / 1000000000, 9) AS share, i + o >= 750000000 AS warned, i + o + 500 > 1000000000 AS refused, round(i / 1e6 * 5 + o / 1e6 * 25, 6) AS cost FROM (SELECT count(*) AS calls, CAST(sum(n_chars) AS BIGINT) AS i, CAST(sum(doc_id % 50) AS BIGINT) AS o FROM documents)",

@@ -9,7 +9,7 @@ from lacuna.functions import text as T
 from lacuna.functions import verdicts as V
 from lacuna.operators import anchors, audit, cache, profile, retrieve, score, sections, structure
 from lacuna.plans import audit_sql as A
-from lacuna.plans import planted_queries
+from lacuna.plans import planted_queries, shaped
 from lacuna.plans.pack import STARTER, keyword_frame, pack_frame
 
 ALWAYS = tuple(f for f in STARTER if not f.all_of and not f.any_of)
@@ -147,7 +147,7 @@ def gap_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (study_profile, subsection_tree, gap_findings, relevance_gate, quantity_verdict, canonicalize_sha, sentence_split, running_headers, applicable_fields, keyword_rank, absence_findings, finding_id, anchor_resolve, anchor_resolve_loose, score_buckets, score_greedy, score_slice, fpr_nonblocking, code_histogram, field_keywords, cache_stats, missing_docs)
-QUERIES = {f.__name__: f for f in _NAMES} | planted_queries.QUERIES
+QUERIES = {f.__name__: f for f in _NAMES} | planted_queries.QUERIES | shaped.QUERIES
 
 _CANON = r"""canon AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '\r\n?', chr(10), 'g'), '[ \t\x{00a0}]+', ' ', 'g'), ' +\n', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS t FROM documents)"""
 _PLANTED = """p AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'stats.test_named' ELSE 'stats.replicate_type' END AS field_id, CASE WHEN doc_id % 5 = 0 THEN 'GAP_VAGUE' ELSE 'GAP_ABSENT' END AS code, 100 + doc_id % 31 AS start FROM documents),
@@ -193,7 +193,7 @@ _ABSENT = (
     "looked AS (SELECT c.doc_id, c.t, free.field_id, coalesce(b.a, h.a) AS a, coalesce(b.body, h.body) AS body FROM canon c CROSS JOIN free LEFT JOIN best b ON b.doc_id = c.doc_id AND b.field_id = free.field_id LEFT JOIN head h ON h.doc_id = c.doc_id WHERE NOT EXISTS (SELECT 1 FROM ranked r WHERE r.doc_id = c.doc_id AND r.field_id = free.field_id))",
 )
 _QUANTITIES = (*_ON_DOCS, "many AS MATERIALIZED (SELECT st AS x, count(*) AS n FROM sents GROUP BY st)", "pairs AS (SELECT x, field_id FROM many CROSS JOIN fields WHERE type = 'quantity')", *A.typed_cte("pairs"))
-ORACLE_SQL |= planted_queries.ORACLE_SQL | {
+ORACLE_SQL |= planted_queries.ORACLE_SQL | shaped.ORACLE_SQL | {
     "field_keywords": A.chain(None, "SELECT field_id, count(*) AS n, CAST(sum(weight) AS BIGINT) AS weight FROM keywords GROUP BY field_id"),
     "keyword_rank": A.chain(None, _RANKED, _SCORED, A.DOCUMENTS),
     "applicable_fields": A.chain(None, "SELECT doc_id, CAST(ord AS BIGINT) AS field_ordinal, field_id FROM applies", (_GATES, "canon2 AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id FROM documents)", A.applicable_cte("canon2")), A.DOCUMENTS),
