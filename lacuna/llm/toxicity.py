@@ -3,7 +3,8 @@
 A word's vector is the sum of hashed embeddings of the word and of its prefixes. Filters of widths 1, 2 and 3 run over
 the whole text, a rectifier and a maximum over time follow, and a logistic unit weighs the maxima. The first embedding
 coordinate starts as the shrunken log-odds of its bucket among toxic training texts; all weights are then trained by
-stochastic gradient descent, in which a text meets these log-odds as they are without it. On a held-back fifth of the training rows, a threshold is chosen for all rows and for each
+stochastic gradient descent, in which a text meets these log-odds as they are without it, the more so
+the more positives there are. On a held-back fifth of the training rows, a threshold is chosen for all rows and for each
 language (guessed from the text's stop words), which is drawn towards the common one the more the fewer rows it has; a
 score is the logistic of the distance from its language's threshold, so 0.5 is the cut.
 
@@ -32,6 +33,8 @@ from lacuna.llm.common import arrow_map, bucket_of, materialize, per_worker, shi
 
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 24_000_000
 BUCKETS, DIM, FILTERS, WIDTHS, EPOCHS, RATE = 1 << 18, 8, 6, (1, 2, 3), 4, 0.08
+#: Positives at which half of a text's own count is left out of its log-odds.
+FEW_POSITIVES = 50
 #: The longest step of a text's gradient before the rate.
 CLIP = 5.0
 #: Texts that the log-odds of a bucket count as beside its own; texts that a bucket needs for log-odds other than 0.
@@ -140,7 +143,8 @@ class ToxicityModel:
         positive = sum(y for _, y, _ in train)
         if not positive or positive == len(train) or not any(y for _, y, _ in held):
             return self
-        without = self._log_odds(train, positive / len(train))
+        # With few positives a neutral word without its own text points the wrong way, so that the less of it is taken.
+        without = [w * np.float32(positive / (positive + FEW_POSITIVES)) for w in self._log_odds(train, positive / len(train))]
         rng, weights = np.random.default_rng(seed), (len(train) / 2 / (len(train) - positive), len(train) / 2 / positive)
         for epoch in range(EPOCHS):
             for i in rng.permutation(len(train)):

@@ -74,3 +74,10 @@ def test_large_values_do_not_throw_the_weights_off():
         model._train_one([[5]] * 3, i % 2, 3.0, 0.08, flat)
     assert all(np.isfinite(w).all() for w in (model.table, model.out, *model.kernels, *model.offsets))
     assert np.abs(model.out).max() < 50 * toxicity.CLIP
+
+
+def test_few_positives_do_not_turn_the_model_round():
+    texts = [t for _, t, *_ in rows(64)]
+    model = toxicity.ToxicityModel().fit([f"{t} n{i}" for i, t in enumerate(texts)], [int(i % 8 == 0) for i in range(64)])
+    scores = toxicity.Scorer(model).scores(texts)
+    assert not model.trained or (scores < 0.5).sum() >= 40
