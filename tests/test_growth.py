@@ -17,3 +17,24 @@ def test_unsettled_class_asks_bounds_first(spark):
     found = {r.p for r in rows.where(F.col("c").rlike(T.unsettled_class())).collect()}
     tried = {r.p for r in rows.collect()}
     assert found == {p for p in tried if p >= 0x300 and loose(chr(p))}
+
+
+def test_equal_texts_are_audited_once(spark, monkeypatch):
+    # 60 documents of 3 texts, one null: what is worked on doesn't grow with the copies, and each has its own findings
+    from lacuna.operators import audit, copies
+
+    monkeypatch.setattr(copies, "AT_ONCE", 7)
+    body = "Methods\nCells were spun at high speed. " + "A plain line of words. " * 20
+    docs = T.canonicalize(spark.createDataFrame([(str(i), (body, body + "Rats were fed.", None)[i % 3]) for i in range(60)], "doc_id string, text string")).drop("text")
+    texts, each = copies.once_a_text(docs)
+    assert texts.count() == 3
+    assert sorted(r.doc_id for r in each(texts).collect()) == sorted(map(str, range(60)))
+    worked_on = []
+    monkeypatch.setattr(audit, "study_profiles", lambda t, was=audit.study_profiles: worked_on.append(t.count()) or was(t))
+    found = audit.findings(docs).collect()
+    assert worked_on == [3]
+    sets = {}
+    for r in found:
+        sets.setdefault(r.doc_id, set()).add((r.field_id, r.code, r.start, r.end))
+    assert len(sets) == 40 and sets["0"] and all(sets[str(i)] == sets[str(i % 3)] for i in range(60) if i % 3 < 2)
+    assert len({r.finding_id for r in found}) == len(found)
