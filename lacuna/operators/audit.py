@@ -21,7 +21,7 @@ from lacuna.operators.calls import Budget, Factory, Retry
 from lacuna.operators.copies import once_a_text
 from lacuna.operators.model import choose_nodes
 from lacuna.operators.profile import study_profiles
-from lacuna.operators.retrieve import applicable
+from lacuna.operators.retrieve import applicable, holds_keyword, keyword_score
 from lacuna.operators.sections import listed, node_of, subsections
 from lacuna.plans.pack import STARTER, VERSION, Field, pack_frame
 from lacuna.sources.shared import written
@@ -46,10 +46,6 @@ def _category(f: Field) -> str:
     return f.field_id.split(".")[0]
 
 
-def _score(low: Column, f: Field) -> Column:
-    return reduce(lambda a, b: a + b, (F.when(F.contains(low, F.lit(k)), F.lit(w)).otherwise(F.lit(0)) for k, w in f.keywords()))
-
-
 def scopes(profiled: DataFrame, pack: tuple[Field, ...]) -> DataFrame:
     """doc_id, text_sha, features, scope, header, start, end, scope_text, nodes, cats: subsections, the methods window and the document of each text.
 
@@ -77,10 +73,8 @@ def _bearing(profiled: DataFrame, pack: tuple[Field, ...], lexicon: G.Lexicon =
     inner, whole = F.col("scope") >= 0, F.col("scope") == METHODS
     rows = rows.withColumn("vague", F.when(whole, G.vague_terms(F.col("sentence"), lexicon)))
     # a sentence without any keyword and vague term bears on no field, whatever the fields are
-    words = {k for f in pack for k, _ in f.keywords()}
-    least = sorted(w for w in words if not any(o in w for o in words - {w}))
-    keyed = reduce(lambda a, b: a | b, (F.contains("low", F.lit(w)) for w in least), F.lit(False))
-    rows = rows.withColumn("scores", F.when(keyed, F.array(*(_score(F.col("low"), f) for f in pack))))
+    keyed = holds_keyword(F.col("low"), pack)
+    rows = rows.withColumn("scores", F.when(keyed, F.array(*(keyword_score(F.col("low"), f) for f in pack))))
     parts = []
     for i, f in enumerate(pack):
         node, score = F.col(f"nodes.{_category(f)}"), F.coalesce(F.col("scores")[i], F.lit(0))
@@ -232,7 +226,7 @@ def _of_subsection(profiled: DataFrame, subs: DataFrame, chosen: DataFrame, pack
     lines = sentences(parts, "part", F.col("start"))
     body, low = strip(F.col("sentence")), F.lower("sentence")
     hit = F.struct("sent_idx", (F.col("sent_start") + F.length(F.regexp_extract("sentence", r"(?U)^\s*", 0))).alias("start"), body.alias("text"))
-    scores = F.map_from_entries(F.array(*(F.struct(F.lit(f.field_id), _score(low, f)) for f in pack)))
+    scores = F.map_from_entries(F.array(*(F.struct(F.lit(f.field_id), keyword_score(low, f)) for f in pack)))
     flat = lines.where(F.length(body) > 0).select("doc_id", "header", hit.alias("hit"), substantive(body).alias("good"), scores.alias("scores"), F.explode("asked").alias("field_id"))
     score = F.element_at("scores", F.col("field_id"))
     keyword = F.struct((-score).alias("s"), F.col("hit.sent_idx").alias("i"), F.col("hit.start").alias("start"), F.col("hit.text").alias("text"))
@@ -310,9 +304,8 @@ def scoping_misses(profiled: DataFrame, absent: DataFrame, pack: tuple[Field, ..
     absent: doc_id, field_id. The best sentence by score, the first on ties.
     """
     window = F.substring(F.col("canonical_text"), F.col("m_start") + 1, F.col("m_end") - F.col("m_start"))
-    rows = sentences(profiled.select("doc_id", "m_start", window.alias("window")), "window", F.col("m_start")).withColumn("low", F.lower("sentence"))
-    digit = F.col("sentence").rlike(r"(?U)\d")
-    hits = F.array(*(F.struct(F.lit(f.field_id).alias("field_id"), (F.when(digit, _score(F.col("low"), f)).otherwise(0) if f.type == "quantity" else _score(F.col("low"), f)).alias("score")) for f in pack))
-    flat = rows.select("doc_id", "sent_idx", "sent_start", "sentence", F.explode(F.filter(hits, lambda x: x["score"] > 0)).alias("x"))
+    rows = sentences(profiled.select("doc_id", "m_start", window.alias("window")), "window", F.col("m_start")).withColumns({"low": F.lower("sentence"), "digit": F.col("sentence").rlike(r"(?U)\d")})
+    hits = F.array(*(F.struct(F.lit(f.field_id).alias("field_id"), (F.when(F.col("digit"), keyword_score(F.col("low"), f)).otherwise(0) if f.type == "quantity" else keyword_score(F.col("low"), f)).alias("score")) for f in pack))
+    flat = rows.select("doc_id", "sent_idx", "sent_start", "sentence", F.explode(F.when(holds_keyword(F.col("low"), pack), F.filter(hits, lambda x: x["score"] > 0))).alias("x"))
     best = flat.groupBy("doc_id", "x.field_id").agg(F.min(F.struct((-F.col("x.score")).alias("s"), "sent_idx", "sentence", "sent_start")).alias("b"))
     return absent.select("doc_id", "field_id").join(best, ["doc_id", "field_id"]).select("doc_id", "field_id", strip(F.col("b.sentence")).alias("sentence"), F.col("b.sent_start").alias("start"))

@@ -11,6 +11,7 @@ from lacuna.operators import anchors, audit, cache, profile, retrieve, score, se
 from lacuna.plans import audit_sql as A
 from lacuna.plans import planted_queries, shaped
 from lacuna.plans.pack import STARTER, keyword_frame, pack_frame
+from lacuna.sources.shared import written
 
 ALWAYS = tuple(f for f in STARTER if not f.all_of and not f.any_of)
 
@@ -45,7 +46,7 @@ def keyword_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def absence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Always-on fields without a keyword candidate, anchored and identified."""
-    docs = _docs(spark, sf_dir)
+    docs = written(_docs(spark, sf_dir), "texts")
     hit = retrieve.ranked_candidates(docs, ALWAYS).where("rank = 1").select("doc_id", "field_id")
     found = retrieve.absence_anchors(docs, ALWAYS).join(hit, ["doc_id", "field_id"], "anti").join(docs.select("doc_id", "text_sha"), "doc_id")
     code = F.lit("GAP_ABSENT")

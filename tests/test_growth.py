@@ -63,3 +63,20 @@ def test_stems_miss_no_sign(spark):
     found = P.study_profiles(docs.localCheckpoint()).select("k", "features").collect()
     assert [r.k for r in found if not r.features[r.k.split("|")[0]]] == []
     assert all(r.features["has_wet_lab"] for r in found)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_sentence_is_lowered_once_for_all_keywords(spark):
+    from lacuna.operators import retrieve
+
+    docs = T.canonicalize(spark.createDataFrame([("1", "Mice were kept. Cells were spun at 5 x g. Nothing.")], "doc_id string, text string"))
+    assert _plan(retrieve.ranked_candidates(docs)).count("lower(") <= 2
+    plan = _plan(retrieve.absence_anchors(docs, retrieve.STARTER))
+    assert plan.count("lower(") <= 2 and "SortAggregate" not in plan  # a sort would take all sentences along
+    words = ["cell", "CELL CULTURE at", "excellent", "no such"]
+    low = spark.createDataFrame([(w.lower(),) for w in words], "low string")
+    got = low.select(retrieve.holds_keyword(F.col("low"), retrieve.STARTER).alias("any"), *(retrieve.keyword_score(F.col("low"), f).alias(f.field_id.replace(".", "_")) for f in retrieve.STARTER)).collect()
+    assert all(r["any"] == (sum(r[1:]) > 0) for r in got)
