@@ -80,3 +80,15 @@ def test_a_sentence_is_lowered_once_for_all_keywords(spark):
     low = spark.createDataFrame([(w.lower(),) for w in words], "low string")
     got = low.select(retrieve.holds_keyword(F.col("low"), retrieve.STARTER).alias("any"), *(retrieve.keyword_score(F.col("low"), f).alias(f.field_id.replace(".", "_")) for f in retrieve.STARTER)).collect()
     assert all(r["any"] == (sum(r[1:]) > 0) for r in got)
+
+
+def test_sentences_that_state_no_quantity_are_one(spark):
+    from lacuna.functions import verdicts as V
+    from lacuna.plans.pack import STARTER
+
+    texts = ["", "Nothing is stated.", "per cent %", "rcf was given", "RCF", "at 5 x g", "\u0663 cells", "12 cells", "at 37 °C", "rpm"]
+    fields = [f for f in STARTER if f.type == "quantity"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", V.may_state(F.col("t")).alias("may"), *(V.verdict(F.col("t"), f).alias(f"v{i}") for i, f in enumerate(fields))).collect()
+    empty = rows[0][2:]
+    assert not rows[0].may and {r.t for r in rows if not r.may} == {"", "Nothing is stated.", "per cent %", "rpm"}
+    assert all(r[2:] == empty for r in rows if not r.may)
