@@ -21,6 +21,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -69,6 +71,49 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh32_intdigest(p.encode()) % BUCKETS for p in parts]
 
 
+class Coded:
+    """Texts as numbers of words, with the features of all words side by side: a few bytes a word, where lists take hundreds."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.parts, self.ends = array("i"), array("i", [0])
+
+    def text(self, words: list[str]) -> "Words":
+        for w in words:
+            if w not in self.numbers:
+                self.numbers[w] = len(self.numbers)
+                self.parts.extend(features(w))
+                self.ends.append(len(self.parts))
+        return Words(self, np.fromiter(map(self.numbers.__getitem__, words), np.int32, len(words)))
+
+
+class Words(Sequence):
+    """The features of each word of a coded text."""
+
+    def __init__(self, coded: Coded, numbers: np.ndarray):
+        self.coded, self.numbers = coded, numbers
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getitem__(self, i: int) -> list[int]:
+        n = self.numbers[i]
+        return self.coded.parts[self.coded.ends[n] : self.coded.ends[n + 1]].tolist()
+
+    def flat(self) -> tuple[np.ndarray, np.ndarray]:
+        parts, ends = np.frombuffer(self.coded.parts, np.intc), np.frombuffer(self.coded.ends, np.intc).astype(np.int64)
+        sizes = ends[self.numbers + 1] - ends[self.numbers]
+        edges = np.cumsum(sizes) - sizes
+        return parts[np.repeat(ends[self.numbers] - edges, sizes) + np.arange(sizes.sum())].astype(np.int64), edges
+
+
+def flat_of(ids: Sequence[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The features of all words of a text, and where each word's begin."""
+    if isinstance(ids, Words):
+        return ids.flat()
+    return np.array([f for word in ids for f in word], np.int64), np.cumsum([0, *map(len, ids)])[:-1]
+
+
 class ToxicityModel:
     def __init__(self, seed: int = 1):
         rng = np.random.default_rng(seed)
@@ -94,9 +139,8 @@ class ToxicityModel:
             out.append(np.maximum.reduceat(h, starts, axis=0))
         return np.maximum(np.concatenate(out, 1), 0)
 
-    def _train_one(self, ids: list[list[int]], label: int, weight: float, rate: float, without: np.ndarray) -> None:
-        flat = np.array([f for word in ids for f in word], np.int64)
-        edges = np.cumsum([0, *map(len, ids)])[:-1]
+    def _train_one(self, ids: Sequence[list[int]], label: int, weight: float, rate: float, without: np.ndarray) -> None:
+        flat, edges = flat_of(ids)
         x = np.zeros((len(ids) + 2, DIM), np.float32)
         x[: len(ids)] = np.add.reduceat(self.table[flat], edges, axis=0)
         x[: len(ids), 0] += np.add.reduceat(without[flat], edges)
@@ -131,14 +175,13 @@ class ToxicityModel:
             offset -= rate * d
 
     def fit(self, texts: list[str | None], labels: list[int], seed: int = 1) -> "ToxicityModel":
-        seen = dict(zip(texts, labels, strict=True))
-        memo, docs = {"": features("")}, []
-        for text, y in sorted(seen.items(), key=lambda r: zlib.crc32((r[0] or "").encode())):
-            words = words_of(text)  # one text's words at a time: only their features stay
-            for w in words:
-                if w not in memo:
-                    memo[w] = features(w)
-            docs.append(([memo[w] for w in words or [""]], int(y), language_of(words)))
+        seen, coded, docs = dict(zip(texts, labels, strict=True)), Coded(), []
+        del texts, labels
+        for text in sorted(seen, key=lambda t: zlib.crc32((t or "").encode())):
+            y = seen.pop(text)  # one text's words at a time: only their numbers stay
+            words = words_of(text)
+            docs.append((coded.text(words or [""]), int(y), language_of(words)))
+        coded.numbers.clear()
         held, train = docs[::5], [d for i, d in enumerate(docs) if i % 5]
         positive = sum(y for _, y, _ in train)
         if not positive or positive == len(train) or not any(y for _, y, _ in held):
@@ -162,7 +205,7 @@ class ToxicityModel:
         """
         n, toxic = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
         for ids, y, _ in train:
-            found = np.unique(np.fromiter((f for word in ids for f in word), np.int64))
+            found = np.unique(flat_of(ids)[0])
             n[found] += 1
             toxic[found] += y
 
@@ -182,12 +225,12 @@ class ToxicityModel:
                 self.thresholds[name] = float((n * _threshold(z[own], y[own]) + SHRINK * self.common) / (n + SHRINK))
         self.scale = 2.0 / max(1e-3, float(np.std(z)))
 
-    def logits_of(self, docs: list[list[list[int]]]) -> np.ndarray:
+    def logits_of(self, docs: list[Sequence[list[int]]]) -> np.ndarray:
         out = []
         for ids in docs:
             x = np.zeros((len(ids) + 2, DIM), np.float32)
-            flat = np.array([f for word in ids for f in word], np.int64)
-            x[: len(ids)] = np.add.reduceat(self.table[flat], np.cumsum([0, *map(len, ids)])[:-1], axis=0)
+            flat, edges = flat_of(ids)
+            x[: len(ids)] = np.add.reduceat(self.table[flat], edges, axis=0)
             out.append(float(self.maxima(x, np.array([0]), np.array([len(ids)]))[0] @ self.out) + self.bias)
         return np.array(out)
 
@@ -254,7 +297,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int
     fits = drawn.sparkSession.createDataFrame(held, "rank long, bytes int")
     taken: pd.DataFrame = drawn.join(F.broadcast(fits), ["rank", "bytes"], "left_semi").select("doc_id", "text", "toxic").toPandas()
     taken = taken.sort_values(["doc_id", "text"], na_position="first")
-    return ToxicityModel().fit(taken["text"].where(taken["text"].notna(), None).tolist(), taken["toxic"].tolist())
+    return ToxicityModel().fit(_texts_out_of(taken), taken["toxic"].tolist())
+
+
+def _texts_out_of(taken: pd.DataFrame) -> list[str | None]:
+    """The texts, which taken and the caller then hold no more, so that training frees each as it is coded."""
+    texts = taken.pop("text")
+    return texts.where(texts.notna(), None).tolist()
 
 
 def _scorer(sent, key: str):

@@ -84,3 +84,23 @@ def test_few_positives_do_not_turn_the_model_round(spark, monkeypatch, few, most
     scored = toxicity.score_documents(docs, toxicity.train(docs, labels))
     rejected = scored.join(labels.where("toxic = 0"), "doc_id").where("predicted = 1").count()
     assert rejected <= most and (few or rejected > 8)
+
+
+def test_coded_texts_are_the_lists_in_few_bytes():
+    coded, lists = toxicity.Coded(), [[f"word{(i * k) % 997}" for k in range(50)] for i in range(40)]
+    for words in lists:
+        text, plain = coded.text(words), [toxicity.features(w) for w in words]
+        assert [*text] == plain and len(text) == len(plain)
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(toxicity.flat_of(text), toxicity.flat_of(plain), strict=True))
+        assert text.numbers.nbytes == 4 * len(words)
+
+
+def test_training_holds_no_text_that_is_coded(monkeypatch):
+    import sys
+
+    held, language_of = [], toxicity.language_of
+    texts = ["".join(r[1:2]) for r in rows(40)]
+    monkeypatch.setattr(toxicity, "language_of", lambda words: held.append(len(sys._getframe(1).f_locals["seen"])) or language_of(words))
+    distinct = len(set(texts))
+    toxicity.ToxicityModel().fit(texts, [0] * len(texts))
+    assert held == list(range(distinct - 1, -1, -1))
