@@ -101,8 +101,8 @@ class Words(Sequence):
         return self.coded.parts[self.coded.ends[n] : self.coded.ends[n + 1]].tolist()
 
     def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        parts, ends = np.frombuffer(self.coded.parts, np.intc), np.frombuffer(self.coded.ends, np.intc).astype(np.int64)
-        sizes = ends[self.numbers + 1] - ends[self.numbers]
+        parts, ends = np.frombuffer(self.coded.parts, np.intc), np.frombuffer(self.coded.ends, np.intc)
+        sizes = (ends[self.numbers + 1] - ends[self.numbers]).astype(np.int64)
         edges = np.cumsum(sizes) - sizes
         return parts[np.repeat(ends[self.numbers] - edges, sizes) + np.arange(sizes.sum())].astype(np.int64), edges
 
