@@ -97,3 +97,43 @@ def test_filter_against_all_pairs_of_texts(spark):
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     assert set(root) <= kept
     assert pairs > 50 and len(kept - set(root)) <= 0.1 * (len(texts) - len(set(root)))
+
+
+def test_unlike_texts_meet_in_no_shard(spark):
+    """The near-duplicate search compares near copies only, however many texts of one size there are."""
+    rng = random.Random(3)
+    texts = [[f"w{rng.randrange(99999)}" for _ in range(100)] for _ in range(600)]
+    texts += [[*t[:50], "other", *t[51:]] for t in texts[:40]]
+    docs = spark.createDataFrame([(i, str(i), " ".join(t)) for i, t in enumerate(texts)], "doc_id long, row string, text string")
+    prints = simhash.set_fingerprints(docs, 5, 2, ("doc_id", "row"), 0.8)
+    of = {r.fid: r.doc_id for r in prints.collect()}
+    met = {of[r.fid] for r in simhash.in_cells(simhash.sketched(prints, 2), alone=False).select("fid").distinct().collect()}
+    assert met == {*range(40), *range(600, 640)}
+
+
+def test_bands_miss_hardly_a_pair_of_the_wanted_similarity():
+    rng = np.random.default_rng(5)
+    for similarity, size in ((0.8, 9), (0.8, 900), (0.5, 300)):
+        rows, missed, met = simhash.band_rows(similarity), 0, 0
+        for _ in range(300):
+            x = rng.integers(0, 1 << 64, size + round(size * (1 - similarity) / (1 + similarity)), np.uint64)
+            a, b, c = (simhash.band_keys(np.sort(s), rows) for s in (x[:size], x[len(x) - size :], rng.integers(0, 1 << 64, size, np.uint64)))
+            missed, met = missed + (not (a == b).any()), met + (a == c).any()
+        assert missed <= 1 and met == 0
+
+
+@pytest.mark.parametrize("little, cell", [(64, 4096), (2, 4096), (2, 8)])
+def test_sketched_links_are_those_of_all_pairs(spark, monkeypatch, little, cell):
+    """A large group of near copies, small ones and unlike texts, by lots, by trees and by cells."""
+    monkeypatch.setattr(simhash, "LITTLE", little)
+    monkeypatch.setattr(simhash, "CELL", cell)
+    rng = random.Random(4)
+    base = [[f"w{rng.randrange(99999)}" for _ in range(120)] for _ in range(20)]
+    texts = [[*b[:at], f"x{i}", *b[at + 1 :]] for i, (b, at) in enumerate((base[min(k // 3, 19)], 7 * k % 120) for k in range(90))]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    prints = simhash.set_fingerprints(docs, 5, 2, ("doc_id",), 0.8)
+    of = {r.fid: r.doc_id for r in prints.collect()}
+    roots = {}
+    for r in connected_components(simhash.link_sketched(prints, 90, 2, 26, 0.8)).collect():
+        roots.setdefault(r.root, set()).add(of[r.node])
+    assert sorted(map(min, roots.values())) == [3 * k for k in range(20)] and max(map(len, roots.values())) == 33
