@@ -25,7 +25,6 @@ from array import array
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -295,15 +294,17 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, folds: int
             held.append((r["rank"], r["bytes"]))
             left -= r["bytes"]
     fits = drawn.sparkSession.createDataFrame(held, "rank long, bytes int")
-    taken: pd.DataFrame = drawn.join(F.broadcast(fits), ["rank", "bytes"], "left_semi").select("doc_id", "text", "toxic").toPandas()
-    taken = taken.sort_values(["doc_id", "text"], na_position="first")
-    return ToxicityModel().fit(_texts_out_of(taken), taken["toxic"].tolist())
+    # A partition at a time, so that the driver never holds the sample's texts as a result, as Arrow and as strings at once.
+    taken = [tuple(r) for r in drawn.join(F.broadcast(fits), ["rank", "bytes"], "left_semi").select("doc_id", "text", "toxic").toLocalIterator()]
+    taken.sort(key=lambda r: (r[0], r[1] is not None, r[1] or ""))
+    return ToxicityModel().fit(*_texts_out_of(taken))
 
 
-def _texts_out_of(taken: pd.DataFrame) -> list[str | None]:
-    """The texts, which taken and the caller then hold no more, so that training frees each as it is coded."""
-    texts = taken.pop("text")
-    return texts.where(texts.notna(), None).tolist()
+def _texts_out_of(taken: list[tuple]) -> tuple[list[str | None], list[int]]:
+    """The texts and labels, which taken and the caller then hold no more, so that training frees each as it is coded."""
+    texts, labels = [r[1] for r in taken], [r[2] for r in taken]
+    taken.clear()
+    return texts, labels
 
 
 def _scorer(sent, key: str):
