@@ -3,6 +3,7 @@
 import re
 import unicodedata
 
+import pytest
 from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
@@ -92,3 +93,18 @@ def test_sentences_that_state_no_quantity_are_one(spark):
     empty = rows[0][2:]
     assert not rows[0].may and {r.t for r in rows if not r.may} == {"", "Nothing is stated.", "per cent %", "rpm"}
     assert all(r[2:] == empty for r in rows if not r.may)
+
+
+@pytest.mark.parametrize("query", ["planted_scoping", "planted_counts"])
+def test_copies_are_given_results_not_findings(spark, tmp_path, monkeypatch, query):
+    """Ids 4620 apart have one text: what is found is worked out for one of them, and each gets its rows."""
+    from lacuna.plans import planted_queries
+
+    ids = [*range(1, 9), *range(4621, 4629), *range(9241, 9249)]
+    spark.createDataFrame([(i, "") for i in ids], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    audited, findings = [], planted_queries.audit.findings
+    monkeypatch.setattr(planted_queries.audit, "findings", lambda docs: audited.append(docs.count()) or findings(docs))
+    rows = [r.asDict() for r in getattr(planted_queries, query)(spark, str(tmp_path)).collect()]
+    assert audited == [8] and rows
+    of = lambda k: sorted(str({**r, "doc_id": int(r["doc_id"]) - 4620 * k}) for r in rows if (int(r["doc_id"]) - 1) // 4620 == k)
+    assert of(0) == of(1) == of(2) and 3 * len(of(0)) == len(rows)
