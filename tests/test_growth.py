@@ -108,3 +108,21 @@ def test_copies_are_given_results_not_findings(spark, tmp_path, monkeypatch, que
     assert audited == [8] and rows
     of = lambda k: sorted(str({**r, "doc_id": int(r["doc_id"]) - 4620 * k}) for r in rows if (int(r["doc_id"]) - 1) // 4620 == k)
     assert of(0) == of(1) == of(2) and 3 * len(of(0)) == len(rows)
+
+
+def test_a_text_without_methods_is_split_once_and_gives_one_head_a_scope(spark):
+    # the methods of a text without their heading are the whole document: one row stands for both, and only the first
+    # substantive sentence of a scope goes to the aggregation, not all of them
+    from lacuna.operators import audit, profile
+
+    body = "A plain line of words was written. " * 40
+    docs = T.canonicalize(spark.createDataFrame([("a", "Ok. 12. " + body), ("b", "Methods\n" + body + "\nReferences\nSmith."), ("c", "1. 2."), ("d", "")], "doc_id string, text string")).drop("text")
+    profiled = profile.study_profiles(docs)
+    rows = {(r.doc_id, r.scope): r for r in audit.scopes(profiled, audit.STARTER, once=True).collect()}
+    assert {k for k in rows if k[0] != "b"} == {("a", audit.METHODS), ("c", audit.METHODS), ("d", audit.METHODS)} and {("b", audit.METHODS), ("b", audit.DOCUMENT)} <= set(rows)
+    assert {k[0]: r.twice for k, r in rows.items() if k[1] == audit.METHODS} == {"a": True, "b": False, "c": True, "d": True}
+    texts = spark.createDataFrame([(t,) for t in ("Ok. 12. A plain line of words. Another line here.", "A plain line. B.", "1. 2.", "", "  \n")], "t string")
+    assert [r.n for r in texts.select(audit._first_good(F.col("t")).alias("n")).collect()] == [1, 0, -1, -1, -1]
+    heads = {(r.doc_id, r.head_of): r["head"].text if r["head"] else None for r in audit._bearing(profiled, audit.STARTER).where("field_id is null").collect()}
+    assert heads[("a", audit.METHODS)] == heads[("a", audit.DOCUMENT)] == "A plain line of words was written."
+    assert heads[("c", audit.DOCUMENT)] is None and heads[("d", audit.DOCUMENT)] is None and ("c", audit.METHODS) not in heads
