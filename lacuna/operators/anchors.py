@@ -15,8 +15,9 @@ from lacuna.functions.text import strip
 
 #: Characters of anchors in one automaton, at most: larger sets are searched for in blocks.
 BLOCK_CHARS = 4_000_000
-#: White space as Unicode has it, a run of it, and texts at a time.
-_RUN, _ROWS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"), 64
+#: White space as Unicode has it but for the blank, a run of white space that isn't one blank (which stays as it is), and texts at a time.
+_OTHER = "\\t-\\r\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_RUN, _ROWS = re.compile(f"[{_OTHER}][ {_OTHER}]*| [ {_OTHER}]+"), 64
 
 
 def fold(text: str) -> tuple[str, list[tuple[int, int]]]:

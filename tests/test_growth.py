@@ -126,3 +126,13 @@ def test_a_text_without_methods_is_split_once_and_gives_one_head_a_scope(spark):
     heads = {(r.doc_id, r.head_of): r["head"].text if r["head"] else None for r in audit._bearing(profiled, audit.STARTER).where("field_id is null").collect()}
     assert heads[("a", audit.METHODS)] == heads[("a", audit.DOCUMENT)] == "A plain line of words was written."
     assert heads[("c", audit.DOCUMENT)] is None and heads[("d", audit.DOCUMENT)] is None and ("c", audit.METHODS) not in heads
+
+
+def test_folding_visits_only_the_runs_that_change():
+    # single blanks, most of a text's white space, stay as they are without a step in Python for each
+    from lacuna.operators import anchors
+
+    text = "a b\n c\td  e\u00a0f \r\n\r\n g" + " word" * 50 + "  "
+    folded, cuts = anchors.fold(text)
+    assert folded == "a b c d e f g" + " word" * 50 + " " and cuts == [(4, 1), (8, 2), (12, 7), (264, 8)]
+    assert [m.group() for m in anchors._RUN.finditer(text)] == ["\n ", "\t", "  ", "\u00a0", " \r\n\r\n ", "  "]
