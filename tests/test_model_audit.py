@@ -3,6 +3,7 @@
 import http.server
 import json
 import os
+import re
 import subprocess
 import sys
 import threading
@@ -13,7 +14,10 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from lacuna.functions import text as T
+from lacuna.functions.triggers import STARTER_LEXICON
 from lacuna.operators import audit, cache, calls, model
+from lacuna.operators.profile import study_profiles
+from lacuna.plans.pack import STARTER
 from lacuna.plans.planted import planted
 from lacuna.sources.client import CallError, HttpClient, read_env
 from lacuna.sources.shared import create_if_absent, names_in, read_small
@@ -73,6 +77,12 @@ def test_a_budget_without_calls_falls_back(spark, docs, plain, tmp_path):
     assert errors and all(refused[k].start == plain[k].start for k in errors)
 
 
+def test_the_plan_keeps_what_is_judged(spark, docs):
+    """Spark dropped text_sha beside a generator whose input had pruned structs; such a plan's node is marked by !."""
+    judged = audit._judged(study_profiles(docs), STARTER, STARTER_LEXICON, ("in_methods", "in_document"))
+    assert "text_sha" in judged.columns and not re.search(r"^[\s:+-]*!", judged._jdf.queryExecution().optimizedPlan().toString(), re.M)
+
+
 @pytest.mark.parametrize(("budget", "most"), [(calls.Budget(None, 37), 37), (calls.Budget(20 * 520, None), 60), (calls.Budget(10**9, 10**9), 300), (None, 300)])
 def test_calls_of_200_tasks_keep_to_the_budget(spark, tmp_path, budget, most):
     log = tmp_path / "calls"
