@@ -10,8 +10,9 @@ in memory and gives out a star for each local component, never all pairs; distri
 Trees are fitted to a bounded sample of the distinct fingerprints; all fingerprints are routed.
 
 The filter's radius (26 of 128 bits) is so wide that trees prune nothing, so its shards come from the shingle sets instead:
-sets with an equal band of least hashes (a sketch of BANDS bands) meet in a shard, where their fingerprints are compared.
-Texts that are unlike share no band, so the search grows with the texts and their near copies, not with all pairs.
+sets meet in the shards of their rarest shingles, where their fingerprints are compared. Two sets of the wanted similarity
+always have one of these shingles in common (prefix_sizes), so no pair is left out, whatever order they are taken in; unlike
+texts seldom share a rare one, so the search grows with the texts and their near copies, not with all pairs.
 
 Cases: null and blank texts have fingerprint 0, linked like any other; fewer words than a shingle: the whole sequence is
 one; repeated rows link; null ids are no candidates for component_id (a component of null ids only has a null one);
@@ -40,7 +41,9 @@ SEED = 42
 LEAF_AIM, MAX_DEPTH, LEAF_SAMPLE, LEAST_SAMPLE = 4_000, 14, 16, 20_000
 #: Members and visitors of a cell, about.
 CELL = 4_096
-#: Bands of a sketch, and the share of pairs just at the wanted similarity that may have none in common, at most.
+#: Common shingles that are told apart from the others, at most; the part of the texts (one in so many) that they are counted in, and how often.
+MOST_COMMON, COUNTED, OFTEN = 16_384, 16, 8
+#: Bands of a sketch (band_keys; the filter's shards no longer depend on them), and the share of pairs just at the wanted similarity that may have none in common, at most.
 BANDS, MISSED = 20, 1e-4
 #: Rows of a shard up to which its pairs are taken together with those of other shards.
 LITTLE = 64
@@ -98,6 +101,35 @@ def band_keys(found: np.ndarray, rows: int) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, rows))], np.uint64)
 
 
+def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
+    """(as the smaller of a pair, as any): so many of a set's n shingles, the first in an order that all sets share, meet each set so similar.
+
+    Of sets a and b, a not larger, the overlap o is at least 2s / (1 + s) of a and s of b. The first |a| - o + 1 and |b| - o + 1
+    shingles have one in common: else the set whose such part ends first would have all o common ones in its last o - 1.
+    """
+    least = lambda share: math.ceil(share * n - 1e-9 * n)
+    return (n - least(2 * similarity / (1 + similarity)) + 1, n - least(similarity) + 1) if n else (0, 0)
+
+
+def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; rank of each by rising frequency, from 1) of common shingles, counted in a part of the texts. They only order shingles: those that aren't seen cost time, no pair."""
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(COUNTED)) == 0).select("text")
+    counted = shingle_sets(part, words).select(F.explode("shingle_set").alias("shingle")).groupBy("shingle").count()
+    found = counted.where(F.col("count") >= OFTEN).orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).toPandas()
+    hashes = found["shingle"].to_numpy(np.int64).view(np.uint64)
+    at = np.argsort(hashes)
+    return hashes[at], (len(found) - np.arange(len(found)))[at]
+
+
+def rarest(found: np.ndarray, n: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n of sorted hashes: those that aren't common by their value, then the common ones by frequency."""
+    hashes, ranks = common
+    if not len(hashes) or not len(found):
+        return found[:n]
+    at = np.minimum(np.searchsorted(hashes, found), len(hashes) - 1)
+    return found[np.argsort(np.where(hashes[at] == found, ranks[at], 0), kind="stable")[:n]]
+
+
 def set_fingerprint(text: str | None, words: int = 5, lanes: int = 2) -> tuple[list[int], int, int]:
     """(one unsigned 64-bit integer a lane, number of distinct shingles, hash of their set); repeats count for nothing."""
     return _hashed_set(text, words, lanes)[:3]
@@ -120,22 +152,23 @@ def _hashed_set(text: str | None, words: int, lanes: int) -> tuple[list[int], in
 
 
 def set_fingerprints(docs: DataFrame, words: int, lanes: int, keep: tuple[str, ...], similarity: float) -> DataFrame:
-    """The kept columns with f0 .. and shingles as set_fingerprint has them, fid: the hash of the shingle set, and bands: the set's keys for this similarity."""
+    """The kept columns with f0 .. and shingles as set_fingerprint has them, fid: the hash of the shingle set, rare: the shingles that meet all sets so similar, homes: so many first ones meet the larger."""
     names = [f"f{k}" for k in range(lanes)]
-    kept, rows = [docs.schema[c] for c in keep], band_rows(similarity)
+    kept, common = [docs.schema[c] for c in keep], common_shingles(docs, words)
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            bits, sizes, bands = [], [], []
+            bits, sizes, homes, rare = [], [], [], []
             for text in batch.column("text").to_pylist():
                 prints, n, fid, found = _hashed_set(text, words, lanes)
-                bits.append([*prints, fid]), sizes.append(n), bands.append(band_keys(found, rows).view(np.int64))
+                own, most = prefix_sizes(n, similarity)
+                bits.append([*prints, fid]), sizes.append(n), homes.append(own), rare.append(rarest(found, most, common).view(np.int64))
             bits = np.array(bits, np.uint64).reshape(-1, lanes + 1).view(np.int64)
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(bits[:, k]) for k in range(lanes + 1)), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], [*keep, *names, "fid", "shingles", "bands"])
+            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(bits[:, k]) for k in range(lanes + 1)), pa.array(sizes, pa.int64()), pa.array(homes, pa.int64()), pa.array(rare, pa.list_(pa.int64()))], [*keep, *names, "fid", "shingles", "homes", "rare"])
 
         return step
 
-    return arrow_map(docs.select(*keep, "text"), make, ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in kept), *(f"{n} long" for n in names), "fid long, shingles long, bands array<long>"]))
+    return arrow_map(docs.select(*keep, "text"), make, ", ".join([*(f"`{c.name}` {c.dataType.simpleString()}" for c in kept), *(f"{n} long" for n in names), "fid long, shingles long, homes long, rare array<long>"]))
 
 
 def fingerprints(docs: DataFrame, words: int = 3, lanes: int = 1, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -206,9 +239,9 @@ def link_fingerprints(distinct: DataFrame, n: int, lanes: int, max_bits: int) ->
 
 
 def link_sketched(distinct: DataFrame, n: int, lanes: int, max_bits: int, size_ratio: float) -> DataFrame:
-    """u, v: as link_fingerprints, of the pairs that have a band in common, differ in max_bits at most and whose counts differ by no more than the factor.
+    """u, v: as link_fingerprints, of the pairs that meet by a rare shingle, differ in max_bits at most and whose counts differ by no more than the factor.
 
-    distinct: fid, f0 .., shingles, bands; n: its rows.
+    distinct: fid, f0 .., shingles, homes, rare; n: its rows.
     """
     names = [f"f{k}" for k in range(lanes)]
 
@@ -236,25 +269,26 @@ def link_sketched(distinct: DataFrame, n: int, lanes: int, max_bits: int, size_r
 
     # Tasks follow the rows; the small shards are dealt out to them in lots, as there are many more than tasks.
     tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // (CELL // 2))
-    lot = F.when(F.col("member") & F.col("visitor"), F.pmod(F.xxhash64("shard"), F.lit(tasks))).otherwise(F.xxhash64("shard", "cell"))
-    return in_cells(sketched(distinct, lanes), alone=False).withColumn("lot", lot).repartition(tasks, "lot").groupBy("lot").applyInPandas(link, "u long, v long")
+    met = in_cells(sketched(distinct, lanes), alone=False).join(distinct.select("fid", "shingles", *names), "fid")
+    return met.withColumn("lot", F.pmod(F.xxhash64("shard", "cell"), F.lit(tasks))).repartition(tasks, "lot").groupBy("lot").applyInPandas(link, "u long, v long")
 
 
 def sketched(distinct: DataFrame, lanes: int) -> DataFrame:
-    """The visits of fingerprints to the shards of their bands, all at home."""
-    return distinct.select(F.explode("bands").alias("shard"), F.lit(True).alias("home"), "fid", "shingles", *(f"f{k}" for k in range(lanes)))
+    """shard, home, fid: the visits of sets to the shards of their rarest shingles, at home where they may be the smaller of a pair."""
+    visits = distinct.select("fid", "homes", F.posexplode("rare").alias("at", "shard"))
+    return visits.select("shard", (F.col("at") < F.col("homes")).alias("home"), "fid")
 
 
 def in_cells(visits: DataFrame, alone: bool = True) -> DataFrame:
     """visits (shard, home, fid ..) with cell, member and visitor for home: each home row meets each row of its shard in one cell.
 
-    alone: whether shards of a single row are kept.
+    alone: whether shards of a single row, or without a home row, are kept.
 
     A shard of up to CELL home rows and CELL rows is one cell. Others are a grid: a home row is a member of a row of cells,
     and any row a visitor of a column, both by a hash of fid. Only shards, counted with partial sums, are joined.
     """
     parts = lambda n: F.ceil(n / CELL).cast("int")
-    sizes = visits.groupBy("shard").agg(parts(F.count_if("home")).alias("down"), parts(F.count("*")).alias("across"), F.count("*").alias("rows")).where("across > 1" if alone else "rows > 1").drop("rows")
+    sizes = visits.groupBy("shard").agg(parts(F.count_if("home")).alias("down"), parts(F.count("*")).alias("across"), F.count("*").alias("rows")).where("across > 1" if alone else "rows > 1 and down > 0").drop("rows")
     row, column = F.pmod(F.xxhash64("fid"), "down").cast("int"), F.pmod(F.xxhash64("fid", F.lit(1)), "across").cast("int")
     cell = lambda at, member, visitor: F.struct(at.alias("cell"), member.alias("member"), visitor.alias("visitor"))
     counted = lambda n: F.sequence(F.lit(0), n - 1)
@@ -269,10 +303,10 @@ def in_cells(visits: DataFrame, alone: bool = True) -> DataFrame:
 def simhash_components(prints: DataFrame, lanes: int, max_bits: int, size_ratio: float | None = None) -> DataFrame:
     """fid, root for the distinct fid of prints (materialized; fid, f0 .., shingles) that have a partner.
 
-    fid: the fingerprint itself, or a hash of the shingle set that it was made from. With size_ratio prints have bands too,
-    and only fingerprints with one in common are partners.
+    fid: the fingerprint itself, or a hash of the shingle set that it was made from. With size_ratio prints have homes and rare
+    too, by which all sets of that similarity meet; others are partners only where they meet.
     """
-    firsts = [f"f{k}" for k in range(lanes)] + (["bands"] if size_ratio else [])
+    firsts = [f"f{k}" for k in range(lanes)] + (["homes", "rare"] if size_ratio else [])
     distinct = prints.select("fid", *firsts, "shingles").groupBy("fid").agg(*(F.first(c).alias(c) for c in firsts), F.min("shingles").alias("shingles"))
     distinct = materialize(distinct, "prints")
     edges = link_sketched(distinct, distinct.count(), lanes, max_bits, size_ratio) if size_ratio else link_fingerprints(distinct, distinct.count(), lanes, max_bits)
@@ -367,8 +401,8 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, lanes: int = 2, max_bi
     is 0.8 or more. Fingerprints and counts are of distinct shingles too, so the ratio of counts bounds the similarity.
     Such sets have vectors at cosine 8/9 or more, and so differ in 128 * acos(8/9) / pi = 19.4 bits expected at most
     (deviation 4); 26 bits miss about one in twenty of those that stand at 0.8 itself, and fewer above; unrelated texts
-    differ in 64 (deviation 5.7). Only fingerprints whose sets have a band of their sketches in common are compared, which
-    misses one pair in 38000 of those at 0.8, and fewer above. Only texts with one shingle set (by its 64-bit hash) are alike without a check.
+    differ in 64 (deviation 5.7). Only fingerprints whose sets share one of their rarest shingles are compared, as all sets of
+    0.8 do, so that search misses none. Only texts with one shingle set (by its 64-bit hash) are alike without a check.
     """
     row = fresh(docs, "lacuna_row")
     named = F.concat_ws(":", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).cast("string"), F.col(id_col).cast("string"))

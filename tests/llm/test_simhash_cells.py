@@ -111,6 +111,31 @@ def test_unlike_texts_meet_in_no_shard(spark):
     assert met == {*range(40), *range(600, 640)}
 
 
+@pytest.mark.parametrize("common", [0, 60])
+def test_rare_shingles_miss_no_pair_of_the_wanted_similarity(common):
+    """Each pair of 0.8 and more meets where the smaller is at home, in any order; the shards of bands missed some in 40000."""
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 1 << 64, 400, np.uint64))
+    told = np.sort(rng.choice(pool, common, replace=False)), rng.permutation(common) + 1
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        a = rng.choice(pool, n, replace=False)
+        both, more = int(rng.integers(-(-4 * n // 5), n + 1)), int(rng.integers(0, n // 4 + 1))
+        b = np.concatenate([a[:both], np.setdiff1d(pool, a)[:more]])
+        if 5 * both >= 4 * (n + more):
+            small, large = sorted((np.sort(a), np.sort(b)), key=len)
+            homes, most = simhash.prefix_sizes(len(small), 0.8)[0], simhash.prefix_sizes(len(large), 0.8)[1]
+            assert np.intersect1d(simhash.rarest(small, homes, told), simhash.rarest(large, most, told)).size
+    assert simhash.prefix_sizes(10, 0.8) == (2, 3) and simhash.prefix_sizes(1, 0.8) == (1, 1) and simhash.prefix_sizes(0, 0.8) == (0, 0)
+
+
+def test_a_pair_without_a_band_in_common_is_found(spark):
+    """Eight of ten shingles in common, found by search: all twenty bands differ, the fingerprints by 26 bits at most."""
+    words = [f"w52323x{i}" for i in range(14)]
+    docs = spark.createDataFrame([(0, " ".join(words[:13])), (1, " ".join(words[1:]))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.drop_near_duplicates(docs).collect()] == [0]
+
+
 def test_bands_miss_hardly_a_pair_of_the_wanted_similarity():
     rng = np.random.default_rng(5)
     for similarity, size in ((0.8, 9), (0.8, 900), (0.5, 300)):
