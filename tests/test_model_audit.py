@@ -232,3 +232,13 @@ def test_prompts_of_one_block_equal_each_fields_own(spark):
     for f in STARTER[:3]:
         a, b = rows.select(model.prompt(f, F.col("o")), model.prompts(STARTER, F.lit(f.field_id), model.parts_block(F.col("o")))).first()
         assert a == b and a.endswith("1. One\n   body text\n2. Two\n\nReply with the number only.")
+
+
+def test_equal_lists_of_parts_are_worked_on_once(spark, monkeypatch, tmp_path):
+    seen, ask = [], model.ask_once
+    monkeypatch.setattr(model, "ask_once", lambda requests, *more: seen.append(requests.count()) or ask(requests, *more))
+    lists = spark.createDataFrame([(f"d{i}", ["One", "Two"], ["a", f"b{i % 2}"]) for i in range(40)], "doc_id string, titles array<string>, bodies array<string>")
+    chosen = model.choose_nodes(lists, STARTER, lambda: Counting(str(tmp_path / "calls")), path=str(tmp_path / "cache")).collect()
+    assert seen == [2 * len(STARTER)] and made(tmp_path / "calls") == 2 * len(STARTER)
+    assert {(r.doc_id, r.field_id) for r in chosen} == {(f"d{i}", f.field_id) for i in range(40) for f in STARTER} and len(chosen) == 40 * len(STARTER)
+    assert {(r.node, r.how) for r in chosen} == {(1, "node:model-2of2")}
