@@ -5,6 +5,7 @@ import pytest
 
 from lacuna.operators import degenerate, model
 from lacuna.plans import queries as Q
+from lacuna.plans.pack import STARTER
 
 SF = "/root/testdata/sf0.001"
 
@@ -49,3 +50,10 @@ def test_degenerate_cases(spark):
     rows = degenerate.report(docs).collect()
     assert {r.kind: r.documents for r in rows} == dict.fromkeys(degenerate.KINDS, 2)
     assert degenerate.report(docs.limit(0)).count() == 0
+
+
+def test_degenerate_texts_are_canonicalized_once(spark):
+    """Their sizes come from what was written; before, the report canonicalized all texts again for them."""
+    docs = spark.createDataFrame([(1, "Methods\nMice were kept. The plain line.")], "doc_id long, text string")
+    plan = degenerate.report(docs, STARTER[:2])._jdf.queryExecution().optimizedPlan().toString()
+    assert "canonical_text" in plan and "compose" not in plan
